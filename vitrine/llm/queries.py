@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vitrine.llm.minhash import near_duplicates
 from vitrine.llm.packing import pack
+from vitrine.llm.suffix import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,19 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated 200-byte strings leaves of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["begin"])
+    return remove_repeats(docs, span=200).select(
+        "doc_id",
+        (F.octet_length("kept") + removed).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces placed in sequences of 2048."""
     import public_tokenizers
@@ -27,7 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op10_packing)}
+    return {f.__name__: f for f in (op1_minhash, op9_suffix, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
