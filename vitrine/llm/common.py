@@ -96,15 +96,19 @@ def as_bytes(texts) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else bytes(t) for t in texts]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes between words if only letters, digits and what isn't ASCII make words.
+NO_WORD = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts in order, and the number of words of each text.
 
-    Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased.
+    Words are runs of bytes other than those marked in `between` (space and 0x09-0x0D), A-Z lower-cased.
     """
     if not texts:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)]
-    blank = _SPACE[data]
+    blank = between[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
     ends_of_text = np.cumsum([len(t) + 1 for t in texts])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.decontaminate import overlaps
 from vitrine.llm.minhash import near_duplicates
 from vitrine.llm.packing import pack
 from vitrine.llm.suffix import remove_repeats
@@ -21,6 +22,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages, with the passage and how much of it."""
+    found = overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What removing repeated 200-byte strings leaves of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op9_suffix, op10_packing)}
+    return {f.__name__: f for f in (op1_minhash, op7_decontaminate, op9_suffix, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
