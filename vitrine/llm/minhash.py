@@ -124,33 +124,65 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return save(wide.mapInArrow(_confirm(words, percent), "a long, b long"), "links")
 
 
-def _compare(floor: int):
-    """Of one block against another of the same bucket: pairs in different components whose short signatures agree in `floor` positions."""
+def _compare(floor: int, words: int = 0, percent: int = 0):
+    """Of one block against another: a spanning forest, over components, of the members that agree.
+
+    Members agree if their short signatures do so in `floor` positions and, where `percent` is given, their
+    full sets meet that limit. At most one row less than there are members comes out, however many agree.
+    """
 
     def run(key, table):
-        ids, comp = (table.column(c).to_numpy() for c in ("id", "component"))
-        side = table.column("side").to_numpy()
+        table = table.sort_by("id")
+        ids, names, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
         sign = np.frombuffer(b"".join(table.column("short").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        if percent:
+            sets, sizes = shingle_sets(as_bytes(table.column("text").to_pylist()), words)
+            ends = np.cumsum(sizes)
+        group = np.unique(names, return_inverse=True)[1]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(right):
             right = left
-        out_a, out_b = [], []
+        out = []
         for i in left:
-            hit = right[((sign[right] == sign[i]).sum(axis=1) >= floor) & (comp[right] != comp[i])]
-            out_a.append(np.minimum(ids[i], ids[hit]))
-            out_b.append(np.maximum(ids[i], ids[hit]))
-        return pa.table({"a": np.concatenate(out_a) if out_a else ids[:0], "b": np.concatenate(out_b) if out_b else ids[:0]})
+            near = right[((sign[right] == sign[i]).sum(axis=1) >= floor) & (group[right] != group[i])]
+            if percent and len(near):
+                own = sets[ends[i] - sizes[i] : ends[i]]
+                other = np.concatenate([sets[ends[j] - sizes[j] : ends[j]] for j in near])
+                same = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                both = np.add.reduceat(same, np.concatenate([[0], np.cumsum(sizes[near])[:-1]]), dtype=np.int64)
+                near = near[100 * both >= percent * (sizes[i] + sizes[near] - both)]
+            for j in near:
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    out.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return run
 
 
+def _in_blocks(members: DataFrame, key: str, blocks: DataFrame, run) -> DataFrame:
+    """Edges (a, b) from `run` on every two blocks of the members of a key; blocks: (key, blocks)."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    spread = members.join(blocks, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    return spread.drop("own", "other", "blocks").groupBy(key, "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _blocks(members: DataFrame, key: str) -> DataFrame:
+    """(key, blocks) of the keys whose members are in several components."""
+    sizes = members.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+    return sizes.where("lo <> hi").select(key, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row: groups of documents linked by Jaccard >= percent / 100.
 
     Documents with equal sets are one class from the start. Classes that share a band of the signature are
-    candidates: first each against the best connected class of the bucket, then, in buckets that still hold
-    several components, block against block by signature. Candidates are confirmed on full sets. A linked
-    pair goes unseen with a chance below 1e-5 at the limit itself, less above it.
+    candidates. First each is confirmed on full sets against the best connected class of its bucket. Buckets
+    that then still hold several components are compared by signature, block against block, which leaves
+    clusters of similar classes; each cluster is confirmed on full sets, block against block. Blocks give a
+    spanning forest, so rows stay in proportion to documents. A linked pair goes unseen with a chance below
+    1e-5 at the limit itself, less above it.
 
     Null or blank texts have no shingles and stand alone; rows with a null id come back with null
     component_id and kept false; repeated ids count as one document; other columns are ignored.
@@ -175,19 +207,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(known, star, words, percent)
     groups = components(links)
 
-    held = members.join(groups, members.id == groups.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    held = save(held, "held")
-    mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rest = save(held.join(mixed, "key").where("blocks is not null").join(reps.select("id", "short"), "id"), "rest")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    spread = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "short")
+    held = save(members.join(groups, members.id == groups.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")), "held")
+    mixed = _blocks(held, "key")
+    rest = save(held.join(mixed.select("key"), "key", "left_semi").join(reps.select("id", "short").distinct(), "id"), "rest")
     limit = percent / 100
     floor = int(SIZE * (limit - 5.5 * (limit * (1 - limit) / SIZE) ** 0.5))
-    again = spread.groupBy("key", "i", "j").applyInArrow(_compare(floor), "a long, b long").where("a <> b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(known, again, words, percent)
-    if not more.isEmpty():
-        groups = components(links.unionByName(more))
+    alike = save(_in_blocks(rest, "key", mixed, _compare(floor)), "alike")
+    if not alike.isEmpty():
+        nodes = save(rest.select("id", "component", "short").distinct(), "rest_nodes")
+        named = [nodes.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
+        clusters = components(alike.join(named[0], "a").join(named[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+        near = save(nodes.join(clusters, nodes.component == clusters.node).select(clusters.component.alias("cluster"), "id", nodes.component, "short"), "clusters")
+        texts = known.join(few(near.select("id")), "id", "left_semi").dropDuplicates(["id"])
+        more = save(_in_blocks(near.join(texts, "id"), "cluster", _blocks(near, "cluster"), _compare(floor, words, percent)), "more")
+        if not more.isEmpty():
+            groups = components(links.unionByName(more))
 
     out = rows.join(groups, rows.rep == groups.node, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     lost = docs.where("id is null").mapInArrow(_signatures(words), schema).select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
