@@ -45,9 +45,12 @@ def few(df: DataFrame) -> DataFrame:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x = x ^ (x >> U64(30))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -84,6 +87,12 @@ class SpanHash:
         raw = (self.sums[end] - self.sums[start]) * self.down[start]
         return mix(raw + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
+    def every(self, width: int) -> np.ndarray:
+        """Hashes of all spans of one width, in order."""
+        count = max(0, len(self.sums) - width)
+        raw = (self.sums[width:] - self.sums[:count]) * self.down[:count]
+        return mix(raw + U64(width * 0x9E3779B97F4A7C15 & _MASK))
+
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

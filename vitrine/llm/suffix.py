@@ -20,7 +20,7 @@ from vitrine.llm.chunks import answers_by_chunk, chunked, decode, pack_array, pa
 from vitrine.llm.common import U64, SpanHash, as_bytes, int64, save
 
 GRAM, SHALLOW = 40, 24
-RANGE_BYTES = 32 << 20
+RANGE_BYTES, CHUNK_BYTES = 64 << 20, 2 << 20
 #: Different surroundings of one k-gram beyond which windows are counted across tasks instead of sorted in one.
 HOT = 50_000
 COVERED, SHIP = 2, 1
@@ -41,26 +41,25 @@ def anchors(texts: list[bytes], span: int, gram: int) -> dict[str, np.ndarray]:
     """Anchor positions in the joined texts with key, surroundings' bounds and digest, ordered by key and digest."""
     data, begins = text_buffer(texts)
     n = len(data)
-    top = np.iinfo(U64).max
+    top = np.iinfo(np.uint32).max
     if n < span:
         at = np.zeros(0, np.int64)
         return {"at": at, "key": at.view(U64), "lo": at, "hi": at, "digest": at.view(U64)}
     hashed = SpanHash(data)
-    start = np.arange(n - gram + 1)
-    value = hashed(start, start + gram)
-    lengths = np.diff(begins)
-    last = np.repeat(np.where(lengths >= span, begins[1:] - gram, -1), lengths)[: len(start)]
-    value[start > last] = top
+    key = hashed.every(gram)
+    value = np.minimum((key >> U64(32)).astype(np.uint32), top - 1)
+    for begin, end in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):  # k-grams over an end, and short texts
+        value[end - gram + 1 if end - begin >= span else begin : end] = top
     width = span - gram + 1
     least = _sliding(value, width, np.minimum, top)
-    around = np.concatenate([np.zeros(width - 1, U64), least, np.zeros(width - 1, U64)])
-    at = np.flatnonzero((_sliding(around, width, np.maximum, U64(0)) == value) & (value != top))
+    around = np.concatenate([np.zeros(width - 1, np.uint32), least, np.zeros(width - 1, np.uint32)])
+    at = np.flatnonzero((_sliding(around, width, np.maximum, 0) == value) & (value != top))
     owner = np.searchsorted(begins, at, side="right") - 1
     lo = np.maximum(begins[owner], at - (span - gram))
     hi = np.minimum(begins[owner + 1], at + span)
     digest = hashed(lo, hi) + (at - lo).astype(U64) * U64(0x9E3779B97F4A7C15)
-    order = np.lexsort((digest, value[at]))
-    return {"at": at[order], "key": value[at][order], "lo": lo[order], "hi": hi[order], "digest": digest[order]}
+    order = np.lexsort((digest, key[at]))
+    return {"at": at[order], "key": key[at][order], "lo": lo[order], "hi": hi[order], "digest": digest[order]}
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -360,7 +359,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", span: int = 200, gra
     if {"kept", "spans"} & set(docs.columns):
         raise ValueError("columns kept and spans are made here; rename those of the input")
     parts, at = ranges(docs, text_col, RANGE_BYTES), docs.columns.index(text_col)
-    chunks = chunked(docs, text_col)
+    chunks = chunked(docs, text_col, CHUNK_BYTES)
     asked = chunks.mapInArrow(_ask(at, span, gram, parts), "part int, chunk long, keys binary, digests binary, counts binary")
     answers = save(answers_by_chunk(asked.groupBy("part").applyInArrow(_answer, "chunk long, kind int, part int, data binary")), "codes")
     told = chunks.join(answers, "chunk", "left").select("chunk", "blob", "answers")
