@@ -1,8 +1,72 @@
-"""Corpus pipeline: filter, deduplicate, decontaminate and pack the documents table."""
+"""Corpus pipeline: toxicity filter, near-duplicate and repeated-passage removal, decontamination, packing."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vitrine.llm import toxicity
+from vitrine.llm.common import few, save
+from vitrine.llm.decontaminate import overlaps
+from vitrine.llm.minhash import near_duplicates
+from vitrine.llm.packing import pack
+from vitrine.llm.suffix import remove_repeats
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id isn't among `ids`, a table that is broadcast only while it is small."""
+    return docs.join(few(save(ids.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network, trained on the labelled ones among them, doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs.join(labels, "doc_id")))
+    return _without(docs, scored.where("score >= 0.5"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the smallest doc_id. Rows without an id stay."""
+    found = near_duplicates(docs, words=5, percent=80)
+    return _without(docs, found.where("not kept and doc_id is not null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 200 bytes or more that occur more than once; n_chars follows the text."""
+    cut = remove_repeats(docs, span=200, whole_chars=True)
+    changed = F.size("spans") > 0
+    text = F.when(changed, F.decode("kept", F.lit("utf-8"))).otherwise(F.col("text"))
+    made = cut.withColumn("text", text)
+    return made.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return _without(docs, overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents in sequences of 2048."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=0)
+
+
+STAGES = [
+    ("toxicity", filter_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("decontamination", decontaminate),
+    ("packing", pack_sequences),
+]
+
+#: The network, the sketches and the packing have no SQL form; tests compare stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over documents, each written to the shared folder before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm import toxicity
 from vitrine.llm.decontaminate import overlaps
 from vitrine.llm.minhash import near_duplicates
 from vitrine.llm.packing import pack
@@ -22,6 +23,19 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def held_out(column: str, fold: int):
+    """Whether crc32 of the id as text leaves `fold` modulo 5."""
+    return F.crc32(F.col(column).cast("string")) % 5 == fold
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a network trained on the labels outside the held-out fold."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.join(labels, "doc_id").where(~held_out("doc_id", 0)))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages, with the passage and how much of it."""
     found = overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -49,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op7_decontaminate, op9_suffix, op10_packing)}
+    return {f.__name__: f for f in (op1_minhash, op6_toxicity, op7_decontaminate, op9_suffix, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
