@@ -35,7 +35,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 200 bytes or more that occur more than once; n_chars follows the text."""
     cut = remove_repeats(docs, span=200, whole_chars=True)
     changed = F.size("spans") > 0
-    text = F.when(changed, F.decode("kept", F.lit("utf-8"))).otherwise(F.col("text"))
+    text = F.when(changed, F.decode("kept", "utf-8")).otherwise(F.col("text"))
     made = cut.withColumn("text", text)
     return made.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
