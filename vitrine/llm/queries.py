@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import toxicity
+from vitrine.llm import toxicity, urls, warc
 from vitrine.llm.decontaminate import overlaps
 from vitrine.llm.minhash import near_duplicates
 from vitrine.llm.packing import pack
@@ -28,6 +28,12 @@ def held_out(column: str, fold: int):
     return F.crc32(F.col(column).cast("string")) % 5 == fold
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through their index."""
+    records = warc.round_trip(_read(spark, sf_dir, "pages"), least=0)
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a network trained on the labels outside the held-out fold."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -42,6 +48,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("tiles").alias("n_tiles"))
 
 
+#: Rules of the URL query: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL by rule, else by the trained weights."""
+    judged = urls.judge(_read(spark, sf_dir, "pages"), URL_RULES, urls.fit(urls.labelled_urls(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What removing repeated 200-byte strings leaves of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,7 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op6_toxicity, op7_decontaminate, op9_suffix, op10_packing)}
+    return {f.__name__: f for f in (op1_minhash, op5_warc, op6_toxicity, op7_decontaminate, op8_urls, op9_suffix, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
