@@ -16,7 +16,7 @@ from vitrine.llm.common import _LOWER, NO_WORD, U64, SpanHash, text_rows
 
 WINDOW, STRIDE = 64, 48
 #: Labelled documents of each class that training may use; the driver holds no more.
-MOST_POSITIVE, MOST_NEGATIVE, MOST_WINDOWS = 1500, 2500, 24
+MOST_POSITIVE, MOST_NEGATIVE, MOST_WINDOWS = 1000, 2000, 24
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN = 16, 16, 8, 16
 GAIN = 4.0
 _LUT = np.random.default_rng(7).integers(0, 1 << 32, (8, 256), dtype=np.uint32)
@@ -46,6 +46,14 @@ class Words:
         self.five = ((five * odd) >> shift).astype(np.int32)
         self.five[at + 4 > last] = 0
 
+    @classmethod
+    def joined(cls, parts: list[Words]) -> Words:
+        out = cls.__new__(cls)
+        for name in ("counts", "word", "length", "three", "five"):
+            setattr(out, name, np.concatenate([getattr(p, name) for p in parts]))
+        out.first = np.concatenate([[0], np.cumsum(out.length)])
+        return out
+
     def strongest(self, table: np.ndarray, grams: np.ndarray) -> np.ndarray:
         return np.maximum.reduceat(table[grams], self.first[:-1]) if len(self.word) else table[:0]
 
@@ -162,15 +170,17 @@ def _spread(begin: np.ndarray, size: np.ndarray, total: int) -> tuple[np.ndarray
     return np.where(mask, begin + t, total), mask.astype(np.float32)
 
 
-def logits(p: dict, inputs: np.ndarray, begin: np.ndarray, size: np.ndarray, at_once: int = 1024) -> np.ndarray:
-    """Logits of windows over word inputs, windows of like length together."""
+def logits(p: dict, inputs: np.ndarray, begin: np.ndarray, size: np.ndarray, at_once: int = 1024, run: int = 4096) -> np.ndarray:
+    """Logits of windows over word inputs, in word order `run` at a time, of these windows of like length together."""
     out = np.empty(len(begin), np.float32)
-    rows = {w: np.concatenate([inputs @ p[f"W{w}"] + p[f"c{w}"], np.zeros((1, 3 * HIDDEN), np.float32)]) for w in "fb"}
-    order = np.argsort(size, kind="stable")
-    for k in range(0, len(order), at_once):
-        part = order[k : k + at_once]
-        where, mask = _spread(begin[part], size[part], len(inputs))
-        out[part] = forward(p, {w: rows[w][where] for w in "fb"}, mask)
+    for k in range(0, len(begin), run):
+        low, high = begin[k], int((begin + size)[k : k + run].max())
+        rows = {w: np.concatenate([inputs[low:high] @ p[f"W{w}"] + p[f"c{w}"], np.zeros((1, 3 * HIDDEN), np.float32)]) for w in "fb"}
+        order = k + np.argsort(size[k : k + run], kind="stable")
+        for j in range(0, len(order), at_once):
+            part = order[j : j + at_once]
+            where, mask = _spread(begin[part] - low, size[part], high - low)
+            out[part] = forward(p, {w: rows[w][where] for w in "fb"}, mask)
     return out
 
 
@@ -199,13 +209,14 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
         p["bias"][:] = 4.0 if toxic.any() else -4.0
         return {"p": p, "assoc": full}
     other = [assoc_of(np.flatnonzero(half != k)) for k in (0, 1)]
-    all_words = Words(texts)
+    all_words = Words.joined(docs)
+    del docs
     owner, begin, size = all_words.windows()
     rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
     many = np.bincount(owner)[owner]
     use = (many <= MOST_WINDOWS) | ((rank * MOST_WINDOWS) // many != ((rank - 1) * MOST_WINDOWS) // many)
     owner, begin, size = owner[use], begin[use], size[use]
-    doc_of_word = np.repeat(np.arange(len(docs)), all_words.counts)
+    doc_of_word = np.repeat(np.arange(len(texts)), all_words.counts)
     fixed = np.where((half[doc_of_word] == 0)[:, None], *[np.stack([o[0][all_words.word], all_words.strongest(o[1], all_words.three), all_words.strongest(o[2], all_words.five)], axis=1) for o in other])
 
     def word_inputs() -> np.ndarray:
@@ -224,7 +235,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
         best = np.lexsort((score, owner))
         best = best[np.append(owner[best][1:] != owner[best][:-1], True)]
         clean = np.flatnonzero(toxic[owner] == 0)
-        chosen = np.concatenate([best, rng.choice(clean, min(len(clean), len(docs)), replace=False)])
+        chosen = np.concatenate([best, rng.choice(clean, min(len(clean), len(texts)), replace=False)])
         rng.shuffle(chosen)
         for k in range(0, len(chosen), batch):
             part = chosen[k : k + batch]
