@@ -64,7 +64,11 @@ class Words:
             out[:, 1] = self.strongest(assoc[1], self.three)
             out[:, 2] = self.strongest(assoc[2], self.five)
             out[:, 3 : 3 + WIDTH] = p["words"][self.word]
-            out[:, 3 + WIDTH :] = np.add.reduceat(p["grams"][self.five], self.first[:-1]) / self.length[:, None]
+            for k in range(0, len(self.word), 1 << 15):
+                first = self.first[k : k + (1 << 15) + 1]
+                bytes_ = self.five[first[0] : first[-1]]
+                total = np.add.reduceat(p["grams"][bytes_], first[:-1] - first[0])
+                out[k : k + (1 << 15), 3 + WIDTH :] = total / self.length[k : k + (1 << 15), None]
         return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,8 +224,9 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
     fixed = np.where((half[doc_of_word] == 0)[:, None], *[np.stack([o[0][all_words.word], all_words.strongest(o[1], all_words.three), all_words.strongest(o[2], all_words.five)], axis=1) for o in other])
 
     def word_inputs() -> np.ndarray:
-        x = all_words.inputs(p, full)
-        x[:, :3] = fixed
+        x = np.zeros((len(all_words.word) + 1, 2 * WIDTH + 3), np.float32)
+        x[:-1] = all_words.inputs(p, full)
+        x[:-1, :3] = fixed
         return x
 
     dense = [k for k in p if k not in ("words", "grams")]
@@ -229,7 +234,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
     squares = {k: np.full(len(p[k]), 1e-6, np.float32) for k in ("words", "grams")}
     step = 0
     for _ in range(epochs):
-        padded = np.concatenate([word_inputs(), np.zeros((1, 2 * WIDTH + 3), np.float32)])
+        padded = word_inputs()
         inputs = padded[:-1]
         score = logits(p, inputs, begin, size)
         best = np.lexsort((score, owner))
