@@ -33,7 +33,7 @@ class Words:
         start, end = edge[0::2] + 1, edge[1::2] + 1
         ends = np.cumsum([len(t) + 1 for t in texts]) + 1
         self.counts = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
-        self.word = (SpanHash(data)(start, end) >> U64(64 - WORD_BITS)).astype(np.int32)
+        self.word = (SpanHash(data)(start, end) >> U64(64 - WORD_BITS)).astype(np.uint16)
         at = np.flatnonzero(~blank)
         self.length = end - start
         self.first = np.concatenate([[0], np.cumsum(self.length)])
@@ -42,8 +42,8 @@ class Words:
         three = _LUT[0][near[0]] + _LUT[1][near[1]] + _LUT[2][near[2]]
         five = _LUT[3][near[0]] + _LUT[4][near[1]] + _LUT[5][near[2]] + _LUT[6][near[3]] + _LUT[7][near[4]]
         shift, odd = np.uint32(32 - GRAM_BITS), np.uint32(0x9E3779B1)
-        self.three = ((three * odd) >> shift).astype(np.int32)
-        self.five = ((five * odd) >> shift).astype(np.int32)
+        self.three = ((three * odd) >> shift).astype(np.uint16)
+        self.five = ((five * odd) >> shift).astype(np.uint16)
         self.five[at + 4 > last] = 0
 
     @classmethod
@@ -57,8 +57,10 @@ class Words:
     def strongest(self, table: np.ndarray, grams: np.ndarray) -> np.ndarray:
         return np.maximum.reduceat(table[grams], self.first[:-1]) if len(self.word) else table[:0]
 
-    def inputs(self, p: dict, assoc: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(self.word), 2 * WIDTH + 3), np.float32)
+    def inputs(self, p: dict, assoc: list[np.ndarray], spare: int = 0) -> np.ndarray:
+        """A row for each word, and `spare` rows of zeros."""
+        whole = np.zeros((len(self.word) + spare, 2 * WIDTH + 3), np.float32)
+        out = whole[: len(self.word)]
         if len(self.word):
             out[:, 0] = assoc[0][self.word]
             out[:, 1] = self.strongest(assoc[1], self.three)
@@ -69,7 +71,7 @@ class Words:
                 bytes_ = self.five[first[0] : first[-1]]
                 total = np.add.reduceat(p["grams"][bytes_], first[:-1] - first[0])
                 out[k : k + (1 << 15), 3 + WIDTH :] = total / self.length[k : k + (1 << 15), None]
-        return out
+        return whole
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, first word and words of every window; a text without words has one empty window."""
@@ -224,8 +226,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
     fixed = np.where((half[doc_of_word] == 0)[:, None], *[np.stack([o[0][all_words.word], all_words.strongest(o[1], all_words.three), all_words.strongest(o[2], all_words.five)], axis=1) for o in other])
 
     def word_inputs() -> np.ndarray:
-        x = np.zeros((len(all_words.word) + 1, 2 * WIDTH + 3), np.float32)
-        x[:-1] = all_words.inputs(p, full)
+        x = all_words.inputs(p, full, spare=1)
         x[:-1, :3] = fixed
         return x
 
@@ -266,7 +267,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
                 if not len(ids):
                     continue
                 order = np.argsort(ids, kind="stable")
-                head = np.flatnonzero(np.diff(ids[order], prepend=-1))
+                head = np.flatnonzero(np.diff(ids[order].astype(np.int32), prepend=-1))
                 rows, total = ids[order][head], np.add.reduceat(g[order], head)
                 squares[name][rows] += (total**2).mean(axis=1)
                 p[name][rows] -= (0.02 * total / np.sqrt(squares[name][rows])[:, None]).astype(np.float32)
