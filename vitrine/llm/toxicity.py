@@ -16,7 +16,7 @@ from vitrine.llm.common import _LOWER, NO_WORD, U64, SpanHash, text_rows
 
 WINDOW, STRIDE = 64, 48
 #: Labelled documents of each class that training may use; the driver holds no more.
-MOST_POSITIVE, MOST_NEGATIVE, MOST_WINDOWS = 1000, 2000, 24
+MOST_POSITIVE, MOST_NEGATIVE, MOST_WINDOWS = 800, 1600, 24
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN = 16, 16, 8, 16
 GAIN = 4.0
 _LUT = np.random.default_rng(7).integers(0, 1 << 32, (8, 256), dtype=np.uint32)
