@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm import toxicity, urls, warc
 from vitrine.llm.decontaminate import overlaps
+from vitrine.llm.fingerprint import with_next
 from vitrine.llm.html import extract
 from vitrine.llm.minhash import near_duplicates
 from vitrine.llm.packing import pack
@@ -29,6 +30,11 @@ def held_out(column: str, fold: int):
     return F.crc32(F.col(column).cast("string")) % 5 == fold
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return with_next(_read(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     texts = extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -86,7 +92,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op4_html, op5_warc, op6_toxicity, op7_decontaminate, op8_urls, op9_suffix, op10_packing)}
+    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op4_html, op5_warc, op6_toxicity, op7_decontaminate, op8_urls, op9_suffix, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
