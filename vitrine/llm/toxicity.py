@@ -7,6 +7,8 @@ overlapping windows; a document scores as its highest window.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import _LOWER, NO_WORD, U64, SpanHash, text_rows
 
 WINDOW, STRIDE = 64, 48
-#: Labelled documents of each class that training may use; the driver holds no more.
-MOST_POSITIVE, MOST_NEGATIVE, MOST_WINDOWS = 800, 1600, 24
+#: Labelled documents of each class, and windows of each, that training may use.
+MOST_POSITIVE, MOST_NEGATIVE, MOST_WINDOWS = 1000, 2000, 24
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN = 16, 16, 8, 16
 GAIN = 4.0
 _LUT = np.random.default_rng(7).integers(0, 1 << 32, (8, 256), dtype=np.uint32)
@@ -283,17 +285,24 @@ def score_texts(model: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE) -> dict:
-    """Train on at most `most_positive` and `most_negative` labelled rows, chosen by a hash of the id.
+    """Train on at most `most_positive` and `most_negative` labelled rows, chosen by a hash of the id, in one task.
 
     Rows with a null label are left out; null texts count as empty. Without rows of both labels the score is
     constant: near 1 if all are positive, else near 0.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y is not null")
     order = (F.xxhash64("id", F.lit(5)), F.col("id"), F.col("text"))
-    parts = [rows.where("y = 1").orderBy(*order).limit(most_positive), rows.where("y <> 1").orderBy(*order).limit(most_negative)]
-    table = pa.concat_tables([p.select("text", "y").toArrow() for p in parts])
-    texts = [b"" if t is None else t.encode() for t in table.column("text").to_pylist()]
-    return train(texts, np.array(table.column("y").to_pylist(), dtype=np.int64))
+    chosen = rows.where("y = 1").orderBy(*order).limit(most_positive).unionByName(rows.where("y <> 1").orderBy(*order).limit(most_negative))
+    return pickle.loads(chosen.select("text", "y").coalesce(1).mapInArrow(_trained, "model binary").first().model)
+
+
+def _trained(batches):
+    """One row: the model of all rows (text, y), a bounded number, in this task."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += [b"" if t is None else t.encode() for t in batch.column(0).to_pylist()]
+        labels += batch.column(1).to_pylist()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(labels, dtype=np.int64)))], pa.binary())], names=["model"])
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
