@@ -21,7 +21,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network, trained on the labelled ones among them, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = toxicity.score(docs, toxicity.fit(docs.join(labels, "doc_id")))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
     return _without(docs, scored.where("score >= 0.5"))
 
 

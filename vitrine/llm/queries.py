@@ -50,7 +50,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a network trained on the labels outside the held-out fold."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.join(labels, "doc_id").where(~held_out("doc_id", 0)))
+    model = toxicity.fit(docs, labels.where(~held_out("doc_id", 0)))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

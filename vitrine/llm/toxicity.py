@@ -284,16 +284,19 @@ def score_texts(model: dict, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.maximum.reduceat(got, np.searchsorted(owner, np.arange(len(texts))))))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE) -> dict:
-    """Train on at most `most_positive` and `most_negative` labelled rows, chosen by a hash of the id, in one task.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE) -> dict:
+    """Train on the texts of at most `most_positive` and `most_negative` labelled ids, chosen by a hash of the id, in one task.
 
-    Rows with a null label are left out; null texts count as empty. Without rows of both labels the score is
+    Labels of null or without a document are left out; of several labels of an id the highest counts, of
+    several texts the first in order; null texts count as empty. Without rows of both labels the score is
     constant: near 1 if all are positive, else near 0.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y is not null")
-    order = (F.xxhash64("id", F.lit(5)), F.col("id"), F.col("text"))
-    chosen = rows.where("y = 1").orderBy(*order).limit(most_positive).unionByName(rows.where("y <> 1").orderBy(*order).limit(most_negative))
-    return pickle.loads(chosen.select("text", "y").coalesce(1).mapInArrow(_trained, "model binary").first().model)
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
+    known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(5)), "id")
+    chosen = known.where("y = 1").limit(most_positive).unionByName(known.where("y <> 1").limit(most_negative))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = texts.groupBy("id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "y", "id")
+    return pickle.loads(rows.coalesce(1).sortWithinPartitions(F.xxhash64("id", F.lit(5)), "id").mapInArrow(_trained, "model binary").first().model)
 
 
 def _trained(batches):
