@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import toxicity, urls, warc
+from vitrine.llm import language_model, toxicity, urls, warc
 from vitrine.llm.decontaminate import overlaps
 from vitrine.llm.fingerprint import with_next
 from vitrine.llm.html import extract
@@ -35,6 +35,11 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_next(_read(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under deleted interpolation."""
+    return language_model.score(_read(spark, sf_dir, "documents"), held_out("doc_id", 1))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     texts = extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -92,7 +97,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op4_html, op5_warc, op6_toxicity, op7_decontaminate, op8_urls, op9_suffix, op10_packing)}
+    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_language_model, op4_html, op5_warc, op6_toxicity, op7_decontaminate, op8_urls, op9_suffix, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
