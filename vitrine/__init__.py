@@ -1 +1 @@
-"""vitrine"""
+"""Price-catalog analytics on Spark."""

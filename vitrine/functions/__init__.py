@@ -1 +1 @@
-"""functions"""
+"""Column functions: text, URLs, money and attributes."""

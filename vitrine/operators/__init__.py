@@ -1 +1 @@
-"""operators"""
+"""Operators over DataFrames: filters, queries, offers, merging and workflows."""

@@ -1 +1 @@
-"""plans"""
+"""Named queries over the driver tables with their SQL."""

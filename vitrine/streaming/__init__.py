@@ -1 +1 @@
-"""streaming"""
+"""Queue processing and change detection as streams."""
