@@ -83,8 +83,8 @@ def _pieces(path: str, length: int, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        tokens = _LOADED.get(path) or _LOADED.setdefault(path, WordTokens(path))
         for batch in batches:
+            tokens = _LOADED.get(path) or _LOADED.setdefault(path, WordTokens(path))
             sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
             for a, b in slices(sizes, 1 << 22):
                 rows: list[tuple] = []
@@ -93,7 +93,7 @@ def _pieces(path: str, length: int, end_id: int):
                     for k, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]
                         rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

@@ -296,7 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.where("y = 1").limit(most_positive).unionByName(known.where("y <> 1").limit(most_negative))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     rows = texts.groupBy("id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "y", "id")
-    return pickle.loads(rows.coalesce(1).sortWithinPartitions(F.xxhash64("id", F.lit(5)), "id").mapInArrow(_trained, "model binary").first().model)
+    got = rows.coalesce(1).sortWithinPartitions(F.xxhash64("id", F.lit(5)), "id").mapInArrow(_trained, "model binary").first()
+    return pickle.loads(got.model) if got else train([], np.zeros(0, np.int64))
 
 
 def _trained(batches):
