@@ -16,7 +16,7 @@ from vitrine.llm.common import save, slices
 
 #: Tokens that one packing task takes, and the bins that it holds open.
 TASK_TOKENS, OPEN_BINS = 1 << 24, 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 END_MARKS = ".,;:!?"
 _CONTROL = re.compile("[\x1c-\x1f]")
 _LOADED: dict = {}
@@ -36,17 +36,16 @@ class WordTokens:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # of words, and of the parts of words that were cut
 
     def _encode(self, part: str) -> bytes:
-        got = self.parts.get(part)
+        got = self.words.get(part)
         if got is None:
             if part.isascii() and part.isalpha():
                 ids = [k.id for k in self.model.tokenize(part)]
             else:
                 ids = self.whole.encode(part, add_special_tokens=False).ids
-            got = self.parts[part] = np.array(ids, dtype="<u4").tobytes()
+            got = self.words[part] = np.array(ids, dtype="<u4").tobytes()
         return got
 
     def _learn(self, words: list[str]) -> list[bytes]:
@@ -72,9 +71,8 @@ class WordTokens:
         try:
             return b"".join([self.words[w] for w in words])
         except KeyError:
-            if len(self.words) + len(self.parts) > 2 * CACHE_WORDS:
+            if len(self.words) > CACHE_WORDS:
                 self.words.clear()
-                self.parts.clear()
             return b"".join(self._learn(words))
 
 
