@@ -197,10 +197,10 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
 
     Associations for training come from the half of the documents that a document isn't in, so that the
     network learns how far to trust them on new texts; the model carries those of all documents. Each epoch
-    takes every document's highest window, and one more of a clean document, as examples of its label.
+    takes every document's highest window, and some more of clean documents, as examples of their label.
     """
     rng = np.random.default_rng(seed)
-    epochs = epochs or int(np.clip(24_000 // max(1, len(texts)), 6, 20))
+    epochs = epochs or int(np.clip(18_000 // max(1, len(texts)), 5, 20))
     docs = [Words([t]) for t in texts]
     half = np.arange(len(docs)) % 2
     seen = [[np.unique(f) for f in fs] for fs in zip(*((d.word, d.three, d.five) for d in docs), strict=True)] if docs else [[], [], []]
@@ -243,7 +243,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
         best = np.lexsort((score, owner))
         best = best[np.append(owner[best][1:] != owner[best][:-1], True)]
         clean = np.flatnonzero(toxic[owner] == 0)
-        chosen = np.concatenate([best, rng.choice(clean, min(len(clean), len(texts)), replace=False)])
+        chosen = np.concatenate([best, rng.choice(clean, min(len(clean), len(texts) // 3), replace=False)])
         rng.shuffle(chosen)
         for k in range(0, len(chosen), batch):
             part = chosen[k : k + batch]
@@ -289,15 +289,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Labels of null or without a document are left out; of several labels of an id the highest counts, of
     several texts the first in order; null texts count as empty. Without rows of both labels the score is
-    constant: near 1 if all are positive, else near 0.
+    constant: near 1 if all are positive, else near 0. Scores are set to the shares of all labels.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
-    known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(5)), "id")
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
+    shift = _prior_shift(known.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") != 1)).first(), most_positive, most_negative)
+    known = known.orderBy(F.xxhash64("id", F.lit(5)), "id")
     chosen = known.where("y = 1").limit(most_positive).unionByName(known.where("y <> 1").limit(most_negative))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     rows = texts.groupBy("id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "y", "id")
     got = rows.coalesce(1).sortWithinPartitions(F.xxhash64("id", F.lit(5)), "id").mapInArrow(_trained, "model binary").first()
-    return pickle.loads(got.model) if got else train([], np.zeros(0, np.int64))
+    model = pickle.loads(got.model) if got else train([], np.zeros(0, np.int64))
+    model["p"]["bias"] += shift
+    return model
+
+
+def _prior_shift(counts, most_positive: int, most_negative: int) -> np.float32:
+    """What turns log odds learned on the chosen labels into those at the shares of all labels."""
+    positive, negative = (max(1, n) for n in counts)
+    return np.float32(np.log(positive / negative) - np.log(min(positive, most_positive) / min(negative, most_negative)))
 
 
 def _trained(batches):
