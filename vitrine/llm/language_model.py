@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.chunks import answers_by_chunk, chunked, decode, pack_array, pack_sorted, range_bounds, ranges, unpack_array, unpack_sorted
 from vitrine.llm.common import U64, as_bytes, mix, save, word_hashes
 
-CHUNK_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
+CHUNK_BYTES, RANGE_BYTES = 2_000_000, 16 << 20
 END, START = U64(0x51ED270B1F2A3C4D), U64(0x2545F4914F6CDD1D)
 #: Context buckets by powers of two, and half powers of two in which the two estimates are told apart for the weights.
 BUCKETS, STEPS_TWO, STEPS_ONE = 24, 64, 80
