@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import few, save, text_rows
 
 BUCKETS = 128
-#: Bytes of text that one task takes.
-TASK_BYTES = 16 << 20
+#: Bytes of text that one task takes, and the most ranges; beyond, ranges grow (a task streams its own).
+TASK_BYTES, MOST_RANGES = 16 << 20, 20_000
 #: Triplets of a five-byte window: the newest byte with every pair of the others.
 TRIPLETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _TABLE = np.random.default_rng(11).integers(0, 1 << 16, (len(TRIPLETS), 3, 256), dtype=np.uint16)
@@ -151,15 +151,15 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     low, high, total, count = bounds[0] or 0, bounds[1] or 0, bounds[2] or 0, bounds[3]
     if not count:
         return docs.sparkSession.createDataFrame([], _SCHEMA)
-    parts = int(max(1, min(count, -(-total // task_bytes))))
+    parts = int(max(1, min(count, MOST_RANGES, -(-total // task_bytes))))
     cuts = [int(x) for x in sizes.where("id is not null").approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts)] if parts > 1 else []
     cuts = sorted({c for c in cuts if low < c <= high})
     part = _place(F.coalesce(F.col("id"), F.lit(low)), cuts)
     marked = rows.withColumn("part", part)
-    first = few(save(sizes.withColumn("part", part).groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull(), "id")).alias("low")).select("part", F.col("low.id").alias("id")), "range_starts"))
+    first = save(sizes.withColumn("part", part).groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull(), "id")).alias("low")).select("part", F.col("low.id").alias("id")), "range_starts")
     last = len(cuts)
     starts = first.select(F.col("id").alias("first"), (F.when(F.col("part") == 0, last + 1).otherwise(F.col("part")) - 1).alias("to"))
-    copies = rows.join(F.broadcast(starts), F.col("id").eqNullSafe(F.col("first"))).select("id", "text", F.col("to").alias("part"))
+    copies = rows.join(few(starts), F.col("id").eqNullSafe(F.col("first"))).select("id", "text", F.col("to").alias("part"))
     copies = copies.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(F.coalesce("text", F.lit(""))))).where("rank = 1").select("id", "text", "part", F.lit(False).alias("own"))
     both = marked.select("id", "text", "part", F.lit(True).alias("own")).unionByName(copies)
     dealt = both.repartition(last + 1, "part").sortWithinPartitions("part", F.desc("own"), F.asc_nulls_first("id"), F.coalesce("text", F.lit("")))
