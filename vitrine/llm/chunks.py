@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import U64, slices
+from vitrine.llm.common import U64, release, slices
 
 CHUNK_BYTES = 8 << 20
 #: Most ranges that a chunk's requests are dealt to.
@@ -48,6 +48,17 @@ def _cut(text_at: int, limit: int):
     return run
 
 
+def from_documents(docs: DataFrame, text_col: str, limit: int, run, schema: str) -> DataFrame:
+    """`run` over the rows of chunked(docs, text_col, limit), cut and used in the same Python process."""
+    cut = _cut(docs.columns.index(text_col), limit)
+
+    def both(batches):
+        yield from run(cut(batches))
+        release()
+
+    return docs.mapInArrow(both, schema)
+
+
 def chunked(docs: DataFrame, text_col: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, blob): all columns of the documents in rows of about `limit` text bytes, named by a digest of their content.
 

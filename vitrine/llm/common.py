@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -180,5 +181,14 @@ def text_rows(batches, limit: int = 1 << 20) -> Iterator[tuple[list, list[bytes]
             yield batch.column(0).slice(a, b - a).to_pylist(), as_bytes(column.slice(a, b - a).cast(pa.large_binary()).to_pylist())
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and an executor's are many."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def int64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.chunks import answers_by_chunk, chunked, decode, pack_array, pack_sorted, range_bounds, ranges, unpack_array, unpack_sorted
+from vitrine.llm.chunks import answers_by_chunk, chunked, decode, from_documents, pack_array, pack_sorted, range_bounds, ranges, unpack_array, unpack_sorted
 from vitrine.llm.common import U64, as_bytes, mix, save, word_hashes
 
 CHUNK_BYTES, RANGE_BYTES = 2_000_000, 16 << 20
@@ -182,7 +182,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = rows.toDF("id", "text", "train")
     parts = ranges(rows, "text", RANGE_BYTES)
     chunks = chunked(rows, "text", CHUNK_BYTES)
-    asked = chunks.mapInArrow(_ask(parts), "part int, kind int, chunk long, keys binary, counts binary")
+    asked = from_documents(rows, "text", CHUNK_BYTES, _ask(parts), "part int, kind int, chunk long, keys binary, counts binary")
     answers = save(asked.groupBy("part", "kind").applyInArrow(_answer, "chunk long, kind int, part int, data binary, tokens long, types long"), "counts")
     total, types = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
     told = chunks.join(answers_by_chunk(answers), "chunk", "left").select("chunk", "blob", "answers")

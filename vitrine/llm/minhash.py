@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import U64, as_bytes, few, int64, mix, save, shingle_sets, text_rows
+from vitrine.llm.common import U64, as_bytes, few, int64, mix, release, save, shingle_sets, text_rows
 from vitrine.llm.components import components
 
 SIZE, ROWS, BANDS = 128, 5, 25
@@ -78,6 +78,7 @@ def _signatures(words: int):
                 ],
                 names=["id", "n", "d1", "d2", "bands", "short"],
             )
+        release()
 
     return run
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import save, slices
+from vitrine.llm.common import release, save, slices
 
 #: Tokens that one packing task takes, and the bins that it holds open.
 TASK_TOKENS, OPEN_BINS = 1 << 24, 4096
@@ -92,6 +92,7 @@ def _pieces(path: str, length: int, end_id: int):
                         part = ids[at : at + 4 * length]
                         rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return run
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.chunks import answers_by_chunk, chunked, decode, pack_array, pack_sorted, range_bounds, ranges, text_buffer, unpack_array, unpack_sorted
+from vitrine.llm.chunks import answers_by_chunk, chunked, decode, from_documents, pack_array, pack_sorted, range_bounds, ranges, text_buffer, unpack_array, unpack_sorted
 from vitrine.llm.common import U64, SpanHash, as_bytes, int64, save
 
 GRAM, SHALLOW = 40, 24
@@ -360,7 +360,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", span: int = 200, gra
         raise ValueError("columns kept and spans are made here; rename those of the input")
     parts, at = ranges(docs, text_col, RANGE_BYTES), docs.columns.index(text_col)
     chunks = chunked(docs, text_col, CHUNK_BYTES)
-    asked = chunks.mapInArrow(_ask(at, span, gram, parts), "part int, chunk long, keys binary, digests binary, counts binary")
+    asked = from_documents(docs, text_col, CHUNK_BYTES, _ask(at, span, gram, parts), "part int, chunk long, keys binary, digests binary, counts binary")
     answers = save(answers_by_chunk(asked.groupBy("part").applyInArrow(_answer, "chunk long, kind int, part int, data binary")), "codes")
     told = chunks.join(answers, "chunk", "left").select("chunk", "blob", "answers")
     shipped = save(told.mapInArrow(_ship(at, span, gram), "key long, chunk long, pair int, covered boolean, before binary, after binary"), "surroundings")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import _LOWER, NO_WORD, U64, SpanHash, text_rows
+from vitrine.llm.common import _LOWER, NO_WORD, U64, SpanHash, release, text_rows
 
 WINDOW, STRIDE = 64, 48
 #: Labelled documents of each class, and windows of each, that training may use.
@@ -317,6 +317,8 @@ def _trained(batches):
         texts += [b"" if t is None else t.encode() for t in batch.column(0).to_pylist()]
         labels += batch.column(1).to_pylist()
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(labels, dtype=np.int64)))], pa.binary())], names=["model"])
+    del texts, labels
+    release()
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,5 +332,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def run(batches):
         for ids, texts in text_rows(batches, 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score_texts(shared.value, texts))], names=["id", "score"])
+        release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
