@@ -20,7 +20,7 @@ from vitrine.llm.chunks import answers_by_chunk, chunked, decode, from_documents
 from vitrine.llm.common import U64, SpanHash, as_bytes, int64, save
 
 GRAM, SHALLOW = 40, 24
-RANGE_BYTES, CHUNK_BYTES = 64 << 20, 1_000_000
+RANGE_BYTES, CHUNK_BYTES = 16 << 20, 1_000_000
 #: Different surroundings of one k-gram beyond which windows are counted across tasks instead of sorted in one.
 HOT = 50_000
 COVERED, SHIP = 2, 1
