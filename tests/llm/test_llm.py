@@ -233,6 +233,12 @@ def test_url_verdicts(spark):
         assert (g.rule, g.verdict) == cases[g.page_id][1:], g
 
 
+def test_url_table_holds_no_site_of_the_test_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    parts = {w for r in pages.select(urls.host_of(F.col("url")).alias("h")).distinct().collect() for w in r.h.split(".")} - {"www", "m", "blog", "example", "com", "org", "net"}
+    assert len(parts) > 50 and not parts & {*urls.BLOCKED_WORDS, *urls.ALLOWED_WORDS}
+
+
 def brute_repeats(texts, span):
     data = as_bytes(texts)
     seen = Counter(x[i : i + span] for x in data for i in range(len(x) - span + 1))

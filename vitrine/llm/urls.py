@@ -5,12 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
-#: The labelled table: host names and paths made of these words, one URL for each word and pattern.
-BLOCKED_WORDS = ("cheap-pills", "casino-win", "free-bets", "adult-x", "spam-farm", "ads-track", "poker-bonus", "xxx-cams", "payday-loans", "viagra-shop", "click-track", "lottery-win", "replica-watches", "torrent-warez")
-ALLOWED_WORDS = ("library", "weather", "garden", "history", "recipes", "museum", "science", "journal", "theatre", "cycling", "school", "music-notes", "the-town", "tionble", "ththand", "therin", "research", "council", "news-desk", "sports-club", "ththon", "therre", "thertion", "theres", "thering", "tionsh", "ththor", "thernt", "ththst", "theror", "ththsh", "ththtion", "tiontion", "thered", "therou", "ththre")
-PATTERNS = (("", "example.com", "/en/12"), ("www.", "example.net", "/fr/345.html"), ("blog.", "example.org", "/de/67?page=2"), ("m.", "example.com", "/es/890/"), ("", "example.org", "/en/401#top"), ("m.", "example.net", "/en/77?utm_source=feed"))
+#: The labelled table: names of sites, general vocabulary of unwanted and of ordinary sites, each with SHAPES_EACH shapes of URL.
+BLOCKED_WORDS = tuple(
+    "casino poker slots roulette blackjack jackpot betting bets bookmaker gambling lotto lottery bingo sportsbet casino-bonus freespins online-casino royalvegas luckyslots bet365x megajackpot poker-room livecasino "
+    "viagra cialis levitra pills pharmacy-discount rx-meds tramadol xanax weightloss-pills diet-pills buy-cialis genericviagra canadian-pharma steroids-shop ed-pills "
+    "porn xxx sex nude adult-videos webcam-girls escorts hentai milf sexcams hotsex pornhub-free nudecams adultchat hardcore-tube fetish camgirls "
+    "payday-loan fast-cash quickloan instant-credit bad-credit-loans debt-relief easymoney cash-advance make-money-fast getrich bitcoin-doubler crypto-profit forex-signals binary-options "
+    "replica rolex-replica fake-watches cheap-handbags louisvuitton-outlet cheap-jerseys nike-outlet counterfeit cheap-rolex discount-uggs cheap-shoes cheapest-deals "
+    "torrent warez cracks keygen serialkeys nulled crack-download free-movies-stream pirate-stream cracked-apps free-serials "
+    "adserver adclick banner-ads popads popunder adtracker tracking-pixel clicktracker doubleclick adnetwork adsyndication trafficjunky clickbank pop-ads ads-media web-tracker "
+    "spam spammer spamlinks linkfarm seo-backlinks buy-followers buy-likes autosurf bulk-email cheap-traffic email-spam "
+    "free-iphone win-prize youwon survey-rewards giftcard-free claim-prize free-gift-cards winner-alert verify-account secure-login-update account-suspended phishing malware-scan virus-alert free-antivirus "
+    "online-poker online-slots online-pharmacy online-dating-sex online-loans cheap cheap-meds cheap-viagra cheap-followers cheap-watches cheap-ads free-porn free-casino free-slots free-torrents free-sex free-credit "
+    "best-casino best-poker best-loans bestpharmacy buy-viagra buy-traffic buy-pills-online win-casino win-money bigwin hot-porn hot-girls hot-singles live-sex live-poker live-betting adult adultxxx adult-dating pharmacy meds "
+    "gamble gambling-tips sex-webcams loans-online credit-now ads adsfeed track-clicks clickads tracker spamming spam-mail farm-links".split()
+)
+ALLOWED_WORDS = tuple(
+    "library weather garden history recipes museum science journal theatre cycling school research council news-desk sports-club music-notes city-archive university observatory botany "
+    "springfield-gazette morning-herald daily-chronicle evening-post national-tribune local-news parliament ministry statistics health-service hospital clinic dentist veterinary fire-brigade police court "
+    "bakery butcher restaurant coffee-house brewery vineyard farm-shop market orchard dairy hotel campsite travel-guide railway airport ferries bus-timetable maps tourism hiking mountaineering sailing rowing "
+    "football-league tennis swimming athletics chess-club gymnastics volleyball rugby badminton climbing skiing photography painting sculpture gallery orchestra choir opera cinema film-review literature poetry "
+    "bookshop publisher dictionary encyclopedia grammar translation linguistics philosophy theology cathedral parish monastery heritage archaeology genealogy geology chemistry physics biology astronomy mathematics "
+    "engineering carpentry plumbing electrician architecture construction gardening beekeeping forestry fishing birdwatch wildlife nature-reserve climate oceanography software opensource kernel compiler python-docs database "
+    "networking developers engineering-blog tutorials university-press kindergarten primary-school college alumni scholarship volunteers charity red-cross foundation community-centre neighbourhood town-hall "
+    "insurance savings-bank accountants notary law-office consumer-advice recycling waterworks energy solar bicycles car-repair furniture ceramics knitting sewing quilts toys puzzles board-games aquarium planetarium zoo".split()
+)
+#: What stands before the name, after it, and the path: dealt to all names alike, so that they tell nothing of the label.
+FRONTS = ("", "www.", "blog.", "m.", "shop.", "en.", "static.")
+DOMAINS = ("com", "net", "org", "info", "co.uk", "de", "example.com", "example.net", "example.org", "fr", "eu")
+PATHS = ("/", "", "/index.html", "/en/12", "/fr/345.html", "/de/67", "/es/890/", "/en/401", "/2021/05/post-17", "/about", "/articles/a-short-title", "/p/93", "/category/page/2/")
+SHAPES_EACH = 4
+#: Unwanted ones among all URLs, as assumed for the constant.
+BLOCKED_SHARE = 0.35
 
 
 def host_of(url: Column) -> Column:
@@ -38,25 +66,32 @@ def buckets(host: Column, path: Column) -> Column:
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, blocked): the built-in training table."""
-    rows = [(f"https://{a}{word}.{b}{c}", label) for label, words in ((1.0, BLOCKED_WORDS), (0.0, ALLOWED_WORDS)) for word in words for a, b, c in PATTERNS]
+    rows = []
+    for label, words in ((1.0, BLOCKED_WORDS), (0.0, ALLOWED_WORDS)):
+        for n, word in enumerate(words):
+            for k in range(SHAPES_EACH * n, SHAPES_EACH * (n + 1)):
+                rows.append((f"https://{FRONTS[k % len(FRONTS)]}{word}.{DOMAINS[k % len(DOMAINS)]}{PATHS[k % len(PATHS)]}", label))
     return spark.createDataFrame(rows, "url string, blocked double")
 
 
-def fit(labelled: DataFrame, penalty: float = 0.001) -> list[float]:
+def fit(labelled: DataFrame, penalty: float = 0.0001, blocked_share: float = BLOCKED_SHARE) -> list[float]:
     """Weights of a logistic regression on a small labelled table (url, blocked), the constant last.
 
-    Both classes weigh the same; what comes to the driver is one weight for each bucket.
+    Both classes weigh the same, then the constant is set to `blocked_share`, the share of unwanted ones among
+    URLs to be judged; what comes to the driver is one weight for each bucket.
     """
+    import math
+
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import CountVectorizerModel
 
-    on = buckets(host_of(F.col("url")), path_of(F.col("url")))
-    flags = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.array_contains("on", b).cast("double"))
+    on = buckets(host_of(F.col("url")), path_of(F.col("url"))).cast("array<string>")
+    sparse = CountVectorizerModel.from_vocabulary([str(k) for k in range(BUCKETS)], "on", "features")
     shares = F.broadcast(labelled.groupBy("blocked").agg((F.lit(1.0) / F.count("*")).alias("weight")))
-    rows = labelled.withColumn("on", on).join(shares, "blocked").select(F.col("blocked").alias("label"), "weight", array_to_vector(flags).alias("features")).coalesce(1).cache()
+    rows = sparse.transform(labelled.withColumn("on", on).join(shares, "blocked")).select(F.col("blocked").alias("label"), "weight", "features").coalesce(1).cache()
     model = LogisticRegression(regParam=penalty, weightCol="weight", standardization=False, maxIter=50).fit(rows)
     rows.unpersist()
-    return [*model.coefficients.toArray().tolist(), model.intercept]
+    return [*model.coefficients.toArray().tolist(), model.intercept + math.log(blocked_share / (1 - blocked_share))]
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -77,7 +112,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], weights: list[flo
     made = {"host", "path", "rule", "verdict", "block_score"}
     if made & set(pages.columns):
         raise ValueError(f"columns {sorted(made)} are made here; rename those of the input")
-    table = F.array(*[F.lit(x) for x in weights[:-1]])
+    table = F.split(F.lit(" ".join(map(repr, weights[:-1]))), " ").cast("array<double>")  # one constant
     url = F.col(url_col)
     parts = pages.withColumns({"host": host_of(url), "path": path_of(url)})
     total = F.aggregate(buckets(F.col("host"), F.col("path")), F.lit(weights[-1]), lambda s, k: s + F.element_at(table, k + 1))
