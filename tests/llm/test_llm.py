@@ -302,6 +302,18 @@ def test_packing(spark):
         assert end <= 256
 
 
+def test_packing_keeps_literals_of_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, tokens = Tokenizer.from_file(path), packing.WordTokens(path)
+    for mark in ("<|endoftext|>", "<|startoftext|>"):
+        assert len(tokenizer.encode(mark, add_special_tokens=False).ids) == 1
+        for text in (mark, f"hello {mark} world", f"ab{mark}cd", f"{mark}{mark}.", f"É{mark},x", f"a\x1c{mark}", mark.upper(), f"Two {mark}\nlines{mark}!"):
+            assert np.frombuffer(tokens(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_closes_the_fullest():
     bins = packing.BestFit(10, 2, 0)
     assert [bins.place(n) for n in (6, 7, 8, 3, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6), (3, 0)]  # 8 closes bin 1, 4 closes bin 0

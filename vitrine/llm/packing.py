@@ -34,7 +34,6 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.words: dict[str, bytes] = {}  # of words, and of the parts of words that were cut
 
