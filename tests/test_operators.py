@@ -16,6 +16,21 @@ def test_price_log_compares_with_what_was_kept(spark):
     assert sorted(r.price for r in got.collect()) == [10.0, 10.012, 11.0]
 
 
+def test_price_log_holds_no_group_whole(spark):
+    rows = [(k, datetime(2020, 1, 1 + n // 24, n % 24), p) for k, ps in ((1, [float(n % 3) for n in range(600)]), (2, [None, 5.0]), (None, [1.0, None, 1.005, 3.0])) for n, p in enumerate(ps)]
+    log = offers.price_log(spark.createDataFrame(rows, "id int, at timestamp_ntz, price double"), ["id"], "at", "price")
+    assert "collect_list" not in log._jdf.queryExecution().toString()
+    got = log.groupBy("id").count().collect()
+    assert {(r.id, r["count"]) for r in got} == {(1, 600), (2, 1), (None, 2)}
+
+
+def test_positional_zip_pairs_all_rows(spark, tmp_path):
+    spark.range(1000, 1250).select(F.col("id").alias("s_suppkey")).repartition(3).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(230).select(F.col("id").alias("n_nationkey"), F.concat(F.lit("n"), "id").alias("n_name")).repartition(5).write.parquet(f"{tmp_path}/nation.parquet")
+    got = entry.queries()["positional_zip"](spark, str(tmp_path)).collect()
+    assert sorted((r.s_suppkey, r.n_name) for r in got) == [(1000 + i, f"n{i}") for i in range(230)]
+
+
 @pytest.mark.parametrize("given, expected", [(None, 5), (2.5, 5), (0, 1), (99, 10), (7, 7)])
 def test_clamp(given, expected):
     assert query.clamp(given) == expected

@@ -80,3 +80,14 @@ def clamp(value, default: int = 5, low: int = 1, high: int = 10) -> int:
 def best_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """First row of each key in the order; plans as a grouped top-1 before the shuffle."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
+def numbered(rows: DataFrame, key: str, name: str = "_number") -> DataFrame:
+    """All rows with their number from 0 in order of the key: ranges are numbered apart, after the counts of earlier ones."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(tasks, key).sortWithinPartitions(key).withColumn(name, F.monotonically_increasing_id())
+    part = F.shiftright(F.col(name), 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    joined = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return joined.select(*rows.columns, (F.col(name).bitwiseAND((1 << 33) - 1) + F.col("_start")).alias(name))

@@ -191,11 +191,10 @@ def recommend_top8(spark, d):
 
 @_named("WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier), b AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS n FROM nation) SELECT s_suppkey, n_name FROM a JOIN b USING (n)")
 def positional_zip(spark, d):
-    """The n-th of one list with the n-th of another; the lists are a page and a pasted text, so 100 rows at most."""
-    left = _t(spark, d, "supplier").orderBy("s_suppkey").limit(100).agg(F.sort_array(F.collect_list("s_suppkey")).alias("a"))
-    right = _t(spark, d, "nation").orderBy("n_nationkey").limit(100).agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("b"))
-    pairs = left.join(F.broadcast(right)).select(F.inline(F.arrays_zip("a", "b")))
-    return pairs.where("a is not null and b is not null").select(F.col("a").alias("s_suppkey"), F.col("b").alias("n_name"))
+    """The n-th of one list with the n-th of another."""
+    left = query.numbered(_t(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
+    right = query.numbered(_t(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    return left.join(right, "_number").select("s_suppkey", "n_name")
 
 
 @_named(
