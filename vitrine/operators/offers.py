@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +46,29 @@ def price_log(observations: DataFrame, keys: list[str], at: str, price: str, tol
 
     The fold compares with what was kept, so a slow drift is logged once it exceeds the tolerance.
     """
-    none = F.array().cast("array<struct<at: timestamp_ntz, price: double>>")
-    series = observations.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("timestamp_ntz").alias("at"), F.col(price).cast("double").alias("price")))).alias("s"))
-    kept = F.aggregate("s", none, lambda out, x: F.when((F.size(out) == 0) | (F.abs(F.element_at(out, -1)["price"] - x["price"]) > tolerance), F.array_append(out, x)).otherwise(out))
-    return series.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.at").alias(at), F.col("k.price").alias(price))
+    rows = observations.select(*keys, F.col(at).cast("timestamp_ntz").alias(at), F.col(price).cast("double").alias(price))
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, at, price).mapInArrow(_kept(len(keys), tolerance), schema)
+
+
+def _kept(keys: int, tolerance: float):
+    """Of rows (keys, time, price) in order those that differ from the last one kept; only that one is held."""
+
+    def run(batches):
+        key = last = None
+        for batch in batches:
+            keep = []
+            for *row, price in zip(*(batch.column(k).to_pylist() for k in [*range(keys), keys + 1]), strict=True):
+                row = ["NaN" if x != x else x for x in row]
+                if row != key:
+                    key, last = row, price
+                    keep.append(True)
+                    continue
+                keep.append(last is not None and price is not None and not abs(last - price) <= tolerance)
+                last = price if keep[-1] else last
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def recommend(products: DataFrame, anchor: dict, k: int = 8, id: str = "id") -> DataFrame:
