@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import few, save
 from vitrine.llm.urls import host_of
 
-#: A subtree is the site's own if it is on so many pages of the host, and on that share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A subtree is the site's own if it is on pages of the host with so many different main texts;
+#: a block of plain text within an article if with so many.
+LEAST_PAGES, LEAST_BLOCK_PAGES = 5, 20
 
 # Element names of HTML by their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr dt dd figcaption caption".split())
+CELLS = frozenset("td th tr".split())
 FURNITURE = frozenset("nav footer aside form button select dialog menu head object audio video canvas".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -104,12 +106,17 @@ def digest_subtrees(root: Node) -> None:
 
 
 def removable(node: Node, inside: bool) -> bool:
-    """Whether recurrence may delete the element: not the page itself, the article or, within it, a block of plain text."""
+    """Whether recurrence may delete the element: not the page itself, the article or, within it, part of a sentence or table."""
     if node.tag in ("#", "html", "body", "article", "main"):
         return False
     return not (inside and (node.tag in TEXT_BLOCKS or node.tag in INLINE or node.tag in VOID))
 
 
+def template_key(node: Node, inside: bool) -> int:
+    """The mark that the host's templates are asked for; that of a text block within an article is another."""
+    return node.mark ^ 1 if inside and node.tag in TEXT_BLOCKS else node.mark
+
+
 def furniture(node: Node, inside: bool) -> bool:
     """Whether the element is page furniture by its tag, role or names; a header counts outside the article only."""
     if node.tag in FURNITURE or (node.tag == "header" and not inside):
@@ -127,7 +134,7 @@ def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
     """Text of the article (of all that is left, if the page marks none), blocks and words one space apart."""
     found = False
     for node, inside in _walk(root):
-        node.gone = furniture(node, inside) or (node.mark in templates and node.mark is not None and removable(node, inside))
+        node.gone = furniture(node, inside) or (node.mark is not None and template_key(node, inside) in templates and removable(node, inside))
     out: list[str] = []
 
     def text_of(top: Node) -> None:
@@ -158,54 +165,61 @@ def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
 
 def _subtrees(batches):
     for batch in batches:
-        hosts, keys = [], []
+        hosts, keys, blocks, contents = [], [], [], []
         for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             root = parse(page or "")
             digest_subtrees(root)
-            own = {node.mark for node, inside in _walk(root) if node.mark is not None and removable(node, inside)}
-            hosts += [host] * (len(own) + 1)
-            keys += [None, *own]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64())], names=["host", "mark"])
+            own = {(template_key(node, inside), inside and node.tag in TEXT_BLOCKS) for node, inside in _walk(root) if node.mark is not None and removable(node, inside)}
+            text = main_text(root).encode("utf-8", "surrogatepass")
+            hosts += [host] * len(own)
+            keys += [k for k, _ in own]
+            blocks += [b for _, b in own]
+            contents += [int.from_bytes(blake2b(text, digest_size=8).digest(), "big", signed=True)] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(blocks, pa.bool_()), pa.array(contents, pa.int64())], names=["host", "mark", "block", "content"])
 
 
-def _extract(html_at: int, marks_at: int):
+def _extract(html_at: int, host_at: int, marks_at: int):
     def run(batches):
+        last, known = None, frozenset()
         for batch in batches:
             texts = []
-            for page, marks in zip(batch.column(html_at).to_pylist(), batch.column(marks_at).to_pylist(), strict=True):
+            marks = batch.column(marks_at)
+            for k, (page, host) in enumerate(zip(batch.column(html_at).to_pylist(), batch.column(host_at).to_pylist(), strict=True)):
+                if host != last:
+                    last, known = host, frozenset(marks[k].as_py() or ())
                 root = parse(page or "")
-                if marks:
+                if known:
                     digest_subtrees(root)
-                texts.append(main_text(root, frozenset(marks or ())))
-            columns = [c for k, c in enumerate(batch.columns) if k not in (html_at, marks_at)]
-            names = [n for k, n in enumerate(batch.schema.names) if k not in (html_at, marks_at)]
+                texts.append(main_text(root, known))
+            columns = [c for k, c in enumerate(batch.columns) if k not in (html_at, host_at, marks_at)]
+            names = [n for k, n in enumerate(batch.schema.names) if k not in (html_at, host_at, marks_at)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*names, "main_text"])
 
     return run
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_block_pages: int = LEAST_BLOCK_PAGES) -> DataFrame:
     """(host hash, marks): the subtrees of each host that recur on its pages."""
     rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), F.col(html_col))
-    counts = rows.mapInArrow(_subtrees, "host long, mark long").groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    counts = save(counts, "subtrees")
-    whole = counts.where("mark is null").select("host", F.col("n").alias("pages"))
-    often = counts.where("mark is not null").join(whole, "host").where(F.col("n") >= least_share * F.col("pages"))
+    seen = rows.mapInArrow(_subtrees, "host long, mark long, block boolean, content long")
+    counts = seen.groupBy("host", "mark", "block").agg(F.count_distinct("content").alias("n"))
+    often = counts.where(F.col("n") >= F.when(F.col("block"), least_block_pages).otherwise(least_pages))
     return save(often.groupBy("host").agg(F.collect_list("mark").alias("marks")), "templates")
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_block_pages: int = LEAST_BLOCK_PAGES) -> DataFrame:
     """All rows and columns but the html, with main_text.
 
     Deleted are elements that name themselves menus, footers, adverts and the like, and, per host, subtrees
-    that are the same on least_pages pages and least_share of the pages or more; within an article only
-    containers recur, so that repeated sentences of articles stay. Character references are decoded and white
+    that are the same on pages with least_pages different main texts, however many pages the host has; a
+    block of text within an article goes from least_block_pages on, inline elements and table rows there stay
+    unless what holds them goes. Character references are decoded and white
     space becomes one space. Null or empty html gives an empty text; null urls and urls without a host form
-    one host; repeated pages count as pages. A column named main_text or _marks must not exist.
+    one host; pages of the same main text count once. A column named main_text, _host or _marks must not exist.
     """
-    if {"main_text", "_marks"} & set(pages.columns):
-        raise ValueError("columns main_text and _marks are made here; rename those of the input")
-    found = templates(pages, url_col, html_col, least_pages, least_share).select(F.col("host").alias("_host"), F.col("marks").alias("_marks"))
-    told = pages.join(few(found), F.xxhash64(host_of(F.col(url_col))) == F.col("_host"), "left").drop("_host")
-    schema = [f"`{c}` {kind}" for c, kind in told.dtypes if c not in (html_col, "_marks")]
-    return told.mapInArrow(_extract(told.columns.index(html_col), told.columns.index("_marks")), ", ".join([*schema, "main_text string"]))
+    if {"main_text", "_host", "_marks"} & set(pages.columns):
+        raise ValueError("columns main_text, _host and _marks are made here; rename those of the input")
+    found = templates(pages, url_col, html_col, least_pages, least_block_pages).select(F.col("host").alias("_host"), F.col("marks").alias("_marks"))
+    told = pages.join(few(found), F.xxhash64(host_of(F.col(url_col))) == F.col("_host"), "left")
+    schema = [f"`{c}` {kind}" for c, kind in told.dtypes if c not in (html_col, "_host", "_marks")]
+    return told.mapInArrow(_extract(told.columns.index(html_col), told.columns.index("_host"), told.columns.index("_marks")), ", ".join([*schema, "main_text string"]))
