@@ -242,10 +242,11 @@ def test_url_table_holds_no_site_of_the_test_tables(spark):
 def test_templates_go_by_absolute_counts_and_within_articles(spark):
     side, notice = "<div><p>Advice of the section</p></div>", "<p>All rights kept by us.</p>"
     rows = [(i, f"http://big.com/{i}", f"<body>{side if i % 20 == 0 else ''}<div>text {i}</div></body>") for i in range(400)]
+    rows += [(1000 + i, "http://art.com/x", f"<article><h2>About {i}</h2><p>own {i} <b>bold</b></p>{notice}</article>") for i in range(30)]
     rows += [(2000 + i, "http://copy.com/x", f"<article><div>same</div></article>") for i in range(30)]
     got = {r.page_id: r.main_text for r in html.extract(stored(spark, rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"text {i}" for i in range(400))
-    assert all(got[2000 + i] == "same" for i in range(30))
+    assert all(got[1000 + i] == f"About {i} own {i} bold" and got[2000 + i] == "same" for i in range(30))
 
 
 def brute_repeats(texts, span):

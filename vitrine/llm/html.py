@@ -109,7 +109,7 @@ def removable(node: Node, inside: bool) -> bool:
     """Whether recurrence may delete the element: not the page itself, the article or, within it, part of a sentence or table."""
     if node.tag in ("#", "html", "body", "article", "main"):
         return False
-    return not (inside and (node.tag in TEXT_BLOCKS or node.tag in INLINE or node.tag in VOID))
+    return not (inside and (node.tag in CELLS or node.tag in INLINE or node.tag in VOID))
 
 
 def template_key(node: Node, inside: bool) -> int:
