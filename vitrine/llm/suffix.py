@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm.chunks import answers_by_chunk, chunked, decode, from_documents, pack_array, pack_sorted, range_bounds, ranges, text_buffer, unpack_array, unpack_sorted
-from vitrine.llm.common import U64, SpanHash, as_bytes, int64, save
+from vitrine.llm.common import U64, SpanHash, as_bytes, few, int64, mix, release, save
 
 GRAM, SHALLOW = 40, 24
 RANGE_BYTES, CHUNK_BYTES = 16 << 20, 1_000_000
@@ -38,7 +38,10 @@ def _sliding(values: np.ndarray, width: int, of: np.ufunc, pad) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], span: int, gram: int) -> dict[str, np.ndarray]:
-    """Anchor positions in the joined texts with key, surroundings' bounds and digest, ordered by key and digest."""
+    """Anchor positions in the joined texts with key, surroundings' bounds and digest, ordered by key and digest.
+
+    Anchors have the least hashes of their windows, so the key is mixed once more: else all fall into the lowest range.
+    """
     data, begins = text_buffer(texts)
     n = len(data)
     top = np.iinfo(np.uint32).max
@@ -58,8 +61,9 @@ def anchors(texts: list[bytes], span: int, gram: int) -> dict[str, np.ndarray]:
     lo = np.maximum(begins[owner], at - (span - gram))
     hi = np.minimum(begins[owner + 1], at + span)
     digest = hashed(lo, hi) + (at - lo).astype(U64) * U64(0x9E3779B97F4A7C15)
-    order = np.lexsort((digest, key[at]))
-    return {"at": at[order], "key": key[at][order], "lo": lo[order], "hi": hi[order], "digest": digest[order]}
+    key = mix(key[at] ^ U64(0x5851F42D4C957F2D))
+    order = np.lexsort((digest, key))
+    return {"at": at[order], "key": key[order], "lo": lo[order], "hi": hi[order], "digest": digest[order]}
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -364,10 +368,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", span: int = 200, gra
     answers = save(answers_by_chunk(asked.groupBy("part").applyInArrow(_answer, "chunk long, kind int, part int, data binary")), "codes")
     told = chunks.join(answers, "chunk", "left").select("chunk", "blob", "answers")
     shipped = save(told.mapInArrow(_ship(at, span, gram), "key long, chunk long, pair int, covered boolean, before binary, after binary"), "surroundings")
-    often = shipped.groupBy("key").count().where(F.col("count") > hot).select("key")
+    often = few(save(shipped.groupBy("key").count().where(F.col("count") > hot).select("key"), "often"))
     runs = shipped.join(often, "key", "left_anti").groupBy(F.pmod(F.xxhash64("key"), F.lit(4 * parts))).applyInArrow(_compare(span, gram), "chunk long, pair int, first int, last int")
     if not often.isEmpty():
-        wide = shipped.join(F.broadcast(often), "key", "left_semi").mapInArrow(_windows(span, gram), "chunk long, pair int, covered boolean, offset int, mark binary")
+        wide = shipped.join(often, "key", "left_semi").mapInArrow(_windows(span, gram), "chunk long, pair int, covered boolean, offset int, mark binary")
         twice = wide.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
         runs = runs.unionByName(wide.where("not covered").join(twice, "mark").select("chunk", "pair", F.col("offset").alias("first"), F.col("offset").alias("last")))
     runs = save(runs.groupBy("chunk").agg(F.collect_list(F.struct("pair", "first", "last")).alias("runs")), "runs")
