@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of ids may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 400_000
+#: Rows and bytes up to which a table may be broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 
@@ -22,10 +25,12 @@ _MASK = (1 << 64) - 1
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent, as in local tests, a temporary folder stands in for it.
+    Where the setting is absent a temporary folder stands in for it, in local mode only; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
@@ -39,9 +44,24 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def weight(df: DataFrame) -> tuple[int, int]:
+    """Rows of a frame, and about how many bytes they hold."""
+
+    def bytes_of(field) -> Column:
+        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        return F.greatest(F.size(c), F.lit(0)) * 16 if kind == "array" else F.lit(16)
+
+    each = reduce(add, [bytes_of(f).cast("long") for f in df.schema.fields])
+    got = df.agg(F.count("*"), F.sum(each)).first()
+    return got[0], got[1] or 0
+
+
 def few(df: DataFrame) -> DataFrame:
-    """The frame with a broadcast hint if its rows, counted here, are within BROADCAST_ROWS."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """The frame with a broadcast hint if its rows and bytes, counted here, are within the limits."""
+    rows, size = weight(df)
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def mix(x: np.ndarray) -> np.ndarray:

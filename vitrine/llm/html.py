@@ -1,21 +1,31 @@
-"""Main text of web pages: elements named as page furniture go, and subtrees that recur on many pages of the host."""
+"""Main text of web pages: subtrees that recur on many pages of a host go first, then what names itself page furniture.
+
+On hosts of fewer than LEAST_PAGES pages nothing recurs often enough; there the names of elements decide alone.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vitrine.llm.common import few, save
+from vitrine.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, save, weight
 from vitrine.llm.urls import host_of
 
 #: A subtree is the site's own if it is on pages of the host with so many different main texts;
 #: a block of plain text within an article if with so many.
 LEAST_PAGES, LEAST_BLOCK_PAGES = 5, 20
+#: Within an article, near copies must not pass for different texts: one of so many pages at least must differ in the rest.
+COPIES_EACH = 3
+SHINGLE = 5
+#: Shares that a host's pages are dealt to where its templates don't fit a broadcast.
+SALTS = 16
 
 # Element names of HTML by their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,6 +40,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login menu modal nav navbar navigation newsletter notice overlay pagination popup promo promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that make a name of furniture with one of NAMES: before it, and after it.
+BEFORE = frozenset("site page main top bottom left right global primary secondary side google user reader cookie gdpr privacy social sticky mobile".split())
+AFTER = frozenset("bar bars box slot unit area block banner list links link menu section container wrapper wrap form thread panel popup modal notice widget widgets buttons button icons inner outer top bottom left right main primary secondary 1 2 3".split())
+CONTAINERS = frozenset("div section ul ol dl table header figure center".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(script|style|noscript|template|textarea|title|iframe|svg|math|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -37,14 +51,14 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[-_]+")
 
 
 class Node:
-    __slots__ = ("tag", "named", "parts", "gone", "mark")
+    __slots__ = ("tag", "named", "parts", "gone", "mark", "size", "span")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.parts, self.mark = tag, [], None
+        self.tag, self.parts, self.mark, self.size, self.span = tag, [], None, 0, (0, 0)
         self.named = {k.lower(): (a or b or c or "") for k, a, b, c in _NAMED.findall(attributes)} if "=" in attributes or "hidden" in attributes else {}
         self.gone = False
 
@@ -105,10 +119,13 @@ def digest_subtrees(root: Node) -> None:
             node.mark = int.from_bytes(blake2b(key, digest_size=8).digest(), "big", signed=True)
 
 
-def removable(node: Node, inside: bool) -> bool:
-    """Whether recurrence may delete the element: not the page itself, the article or, within it, part of a sentence or table."""
+def removable(node: Node, inside: bool, page_size: int) -> bool:
+    """Whether recurrence may delete the element: not the page itself, the article or, within it, part of a sentence
+    or table or a container of more than half of the page's text."""
     if node.tag in ("#", "html", "body", "article", "main"):
         return False
+    if inside and node.tag not in TEXT_BLOCKS and 2 * node.size > page_size:
+        return False
     return not (inside and (node.tag in CELLS or node.tag in INLINE or node.tag in VOID))
 
 
@@ -117,24 +134,74 @@ def template_key(node: Node, inside: bool) -> int:
     return node.mark ^ 1 if inside and node.tag in TEXT_BLOCKS else node.mark
 
 
-def furniture(node: Node, inside: bool) -> bool:
-    """Whether the element is page furniture by its tag, role or names; a header counts outside the article only."""
+def named_furniture(name: str) -> bool:
+    """Whether a class or id, whole, names furniture: sidebar, ad-slot or site_footer, but not post-header."""
+    parts = [x for x in _PART.split(name) if x]
+    if not parts or len(parts) > 4:
+        return False
+    for k, part in enumerate(parts):
+        if part in NAMES and all(x in BEFORE or x in NAMES for x in parts[:k]) and all(x in AFTER or x in NAMES or x.isdigit() for x in parts[k + 1 :]):
+            return True
+    return False
+
+
+def furniture(node: Node, inside: bool, page_size: int) -> str | None:
+    """Why the element is page furniture: "element" by its tag, role or state, "name" by class or id; else None.
+
+    A header counts outside the article only. Names count for containers, and not for one that holds more
+    than half of the page's text.
+    """
     if node.tag in FURNITURE or (node.tag == "header" and not inside):
-        return True
+        return "element"
     named = node.named
-    if not named or node.tag in ("html", "body", "main"):
-        return False
+    if not named or node.tag in ("#", "html", "body", "main", "article"):
+        return None
     if named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower():
-        return True
-    words = set(_WORD.findall((named.get("class", "") + " " + named.get("id", "")).lower()))
-    return bool(words & NAMES)
+        return "element"
+    if node.tag not in CONTAINERS or 2 * node.size > page_size:
+        return None
+    names = (named.get("class", "") + " " + named.get("id", "")).lower().split()
+    return "name" if any(named_furniture(n) and not (inside and "header" in _PART.split(n)) for n in names) else None
+
+
+def measure(root: Node) -> None:
+    """Give every element the length of its text without what tags alone mark as furniture."""
+    for node, inside in reversed(list(_walk(root))):
+        if node.tag in FURNITURE or (node.tag == "header" and not inside):
+            node.size = 0
+        else:
+            node.size = sum(len(p.strip()) if isinstance(p, str) else p.size for p in node.parts)
+
+
+def strip(root: Node, templates: frozenset | set = frozenset()) -> dict[str, int]:
+    """Mark the elements that go: recurring subtrees first, then furniture. Tells how many went by each rule, outermost ones."""
+    measure(root)
+    counts = {"template": 0, "element": 0, "name": 0}
+    todo = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        why = None
+        if node.mark is not None and templates and template_key(node, inside) in templates and removable(node, inside, root.size):
+            why = "template"
+        why = why or furniture(node, inside, root.size)
+        node.gone = why is not None
+        if why:
+            counts[why] += 1
+            continue
+        deeper = inside or node.tag in ("article", "main") or node.named.get("role") == "main"
+        todo += [(c, deeper) for c in node.parts if isinstance(c, Node)]
+    return counts
 
 
 def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
     """Text of the article (of all that is left, if the page marks none), blocks and words one space apart."""
+    strip(root, templates)
+    return left_text(root)
+
+
+def left_text(root: Node) -> str:
+    """The text of what strip() left."""
     found = False
-    for node, inside in _walk(root):
-        node.gone = furniture(node, inside) or (node.mark is not None and template_key(node, inside) in templates and removable(node, inside))
     out: list[str] = []
 
     def text_of(top: Node) -> None:
@@ -163,63 +230,130 @@ def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
     return " ".join("".join(out).split())
 
 
+class Surroundings:
+    """What an article says outside one of its elements, as the least hash of five words in a row there.
+
+    Near copies have mostly the same least hash, pages of different articles hardly ever.
+    """
+
+    def __init__(self, root: Node):
+        words: list[str] = []
+        todo: list = [(root, False, False)]
+        while todo:
+            part, inside, end = todo.pop()
+            if isinstance(part, str):
+                if inside:
+                    words += part.split()
+            elif end:
+                part.span = (part.span[0], len(words))
+            else:
+                part.span = (len(words), 0)
+                deeper = inside or part.tag in ("article", "main") or part.named.get("role") == "main"
+                todo.append((part, inside, True))
+                todo += [(c, deeper, False) for c in reversed(part.parts)]
+        hashes = [zlib.crc32(" ".join(words[i : i + SHINGLE]).encode("utf-8", "surrogatepass")) for i in range(len(words) - SHINGLE + 1)]
+        self.words, self.before, self.after = words, [1 << 32], [1 << 32]
+        for x in hashes:
+            self.before.append(min(self.before[-1], x))
+        for x in reversed(hashes):
+            self.after.append(min(self.after[-1], x))
+        self.after.reverse()
+
+    def of(self, node: Node) -> int:
+        a, b = node.span
+        found = min(self.before[max(0, a - SHINGLE + 1)], self.after[min(b, len(self.after) - 1)])
+        if found == 1 << 32:  # too few words for a run of five
+            return zlib.crc32(" ".join([*self.words[:a], *self.words[b:]]).encode("utf-8", "surrogatepass"))
+        return found
+
+
 def _subtrees(batches):
     for batch in batches:
-        hosts, keys, blocks, contents = [], [], [], []
+        hosts, keys, blocks, articles, contents = [], [], [], [], []
         for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             root = parse(page or "")
             digest_subtrees(root)
-            own = {(template_key(node, inside), inside and node.tag in TEXT_BLOCKS) for node, inside in _walk(root) if node.mark is not None and removable(node, inside)}
             text = main_text(root).encode("utf-8", "surrogatepass")
+            content = int.from_bytes(blake2b(text, digest_size=8).digest(), "big", signed=True)
+            around = Surroundings(root)
+            own = {}
+            for node, inside in _walk(root):
+                if node.mark is not None and removable(node, inside, root.size):
+                    own[template_key(node, inside)] = (inside and node.tag in TEXT_BLOCKS, inside, around.of(node) if inside else content)
             hosts += [host] * len(own)
-            keys += [k for k, _ in own]
-            blocks += [b for _, b in own]
-            contents += [int.from_bytes(blake2b(text, digest_size=8).digest(), "big", signed=True)] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(blocks, pa.bool_()), pa.array(contents, pa.int64())], names=["host", "mark", "block", "content"])
+            keys += own
+            blocks += [b for b, _, _ in own.values()]
+            articles += [i for _, i, _ in own.values()]
+            contents += [c for _, _, c in own.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(blocks, pa.bool_()), pa.array(articles, pa.bool_()), pa.array(contents, pa.int64())], names=["host", "mark", "block", "inside", "content"])
 
 
-def _extract(html_at: int, host_at: int, marks_at: int):
+def _extract(html_at: int, keep: list[int]):
+    """Main text and removal counts of each page; the last two columns are its host and the host's templates."""
+
     def run(batches):
         last, known = None, frozenset()
+        kind = pa.struct([(k, pa.int32()) for k in RULES])
         for batch in batches:
-            texts = []
-            marks = batch.column(marks_at)
-            for k, (page, host) in enumerate(zip(batch.column(html_at).to_pylist(), batch.column(host_at).to_pylist(), strict=True)):
-                if host != last:
+            texts, counts = [], []
+            marks = batch.column(batch.num_columns - 1)
+            for k, (page, host) in enumerate(zip(batch.column(html_at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), strict=True)):
+                if host is None or host != last:
                     last, known = host, frozenset(marks[k].as_py() or ())
                 root = parse(page or "")
                 if known:
                     digest_subtrees(root)
-                texts.append(main_text(root, known))
-            columns = [c for k, c in enumerate(batch.columns) if k not in (html_at, host_at, marks_at)]
-            names = [n for k, n in enumerate(batch.schema.names) if k not in (html_at, host_at, marks_at)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*names, "main_text"])
+                counts.append(strip(root, known))
+                texts.append(left_text(root))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(texts, pa.string()), pa.array(counts, kind)], names=[*[batch.schema.names[i] for i in keep], "main_text", "removed"])
 
     return run
 
 
+RULES = ("template", "element", "name")
+
+
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_block_pages: int = LEAST_BLOCK_PAGES) -> DataFrame:
-    """(host hash, marks): the subtrees of each host that recur on its pages."""
+    """(host hash, marks): the subtrees of each host that recur on its pages.
+
+    Counts are aggregated before they are shuffled, by host, subtree and the page's other text, so a host of
+    very many pages is many keys.
+    """
     rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), F.col(html_col))
-    seen = rows.mapInArrow(_subtrees, "host long, mark long, block boolean, content long")
-    counts = seen.groupBy("host", "mark", "block").agg(F.count_distinct("content").alias("n"))
-    often = counts.where(F.col("n") >= F.when(F.col("block"), least_block_pages).otherwise(least_pages))
-    return save(often.groupBy("host").agg(F.collect_list("mark").alias("marks")), "templates")
+    seen = rows.mapInArrow(_subtrees, "host long, mark long, block boolean, inside boolean, content long")
+    texts = seen.groupBy("host", "mark", "block", "inside", "content").agg(F.count("*").alias("pages"))
+    counts = texts.groupBy("host", "mark", "block", "inside").agg(F.count("*").alias("n"), F.sum("pages").alias("pages"))
+    enough = F.col("n") >= F.when(F.col("block"), least_block_pages).otherwise(least_pages)
+    often = counts.where(enough & (~F.col("inside") | (COPIES_EACH * F.col("n") > F.col("pages"))))
+    return save(often.groupBy("host").agg(F.collect_set("mark").alias("marks")), "templates")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_block_pages: int = LEAST_BLOCK_PAGES) -> DataFrame:
-    """All rows and columns but the html, with main_text.
-
-    Deleted are elements that name themselves menus, footers, adverts and the like, and, per host, subtrees
-    that are the same on pages with least_pages different main texts, however many pages the host has; a
-    block of text within an article goes from least_block_pages on, inline elements and table rows there stay
-    unless what holds them goes. Character references are decoded and white
-    space becomes one space. Null or empty html gives an empty text; null urls and urls without a host form
-    one host; pages of the same main text count once. A column named main_text, _host or _marks must not exist.
+    """All rows and columns but the html, with main_text and removed (elements that went, by rule, outermost ones).
+
+    First go, per host, subtrees that are the same on pages with least_pages different main texts, however
+    many pages the host has; within an article a block of text goes from least_block_pages on, and only if
+    the rest of those articles differs on one of COPIES_EACH pages, so that near copies don't delete one
+    another. Inline elements and table rows of an article, and its containers of more than half of a page's text,
+    stay. Then go elements that are furniture by tag, role or state, and containers that name themselves menu,
+    footer, advert and the like. Of what is left the article is taken, where a page marks one. On hosts of fewer
+    than least_pages pages nothing is found to recur.
+
+    Character references are decoded and white space becomes one space. Null or empty html gives an empty
+    text; null urls and urls without a host form one host; an empty table gives no rows; repeated rows stay.
+    Input columns named main_text or removed are replaced, others of any name are kept.
     """
-    if {"main_text", "_host", "_marks"} & set(pages.columns):
-        raise ValueError("columns main_text, _host and _marks are made here; rename those of the input")
-    found = templates(pages, url_col, html_col, least_pages, least_block_pages).select(F.col("host").alias("_host"), F.col("marks").alias("_marks"))
-    told = pages.join(few(found), F.xxhash64(host_of(F.col(url_col))) == F.col("_host"), "left")
-    schema = [f"`{c}` {kind}" for c, kind in told.dtypes if c not in (html_col, "_host", "_marks")]
-    return told.mapInArrow(_extract(told.columns.index(html_col), told.columns.index("_host"), told.columns.index("_marks")), ", ".join([*schema, "main_text string"]))
+    kept = [c for c in pages.columns if c not in (html_col, "main_text", "removed")]
+    columns = list(dict.fromkeys([*kept, html_col, url_col]))
+    host = F.xxhash64(host_of(F.col(url_col)))
+    found = templates(pages, url_col, html_col, least_pages, least_block_pages)
+    keyed = pages.select(F.struct(*columns).alias("page"), host.alias("host"), F.pmod(F.xxhash64(html_col), F.lit(SALTS)).cast("int").alias("salt"))
+    rows, size = weight(found)
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        told = keyed.join(F.broadcast(found), "host", "left")
+    else:  # each host's pages go to SALTS tasks, to a copy of its templates each
+        told = keyed.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+    told = told.select("page.*", F.col("host").alias("__host"), F.col("marks").alias("__marks"))
+    kind = T.StructType([T.StructField(r, T.IntegerType()) for r in RULES])
+    schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField("main_text", T.StringType()), T.StructField("removed", kind)])
+    return told.mapInArrow(_extract(columns.index(html_col), [columns.index(c) for c in kept]), schema)

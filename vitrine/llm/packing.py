@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -17,16 +18,30 @@ from vitrine.llm.common import release, save, slices
 #: Tokens that one packing task takes, and the bins that it holds open.
 TASK_TOKENS, OPEN_BINS = 1 << 24, 4096
 CACHE_WORDS = 500_000
-END_MARKS = ".,;:!?"
-_CONTROL = re.compile("[\x1c-\x1f]")
 _LOADED: dict = {}
 
+# The steps of a tokenizer, as its file lists them, under which words can be encoded one by one.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_CONTROL = re.compile("[\x1c-\x1f]")
+#: Letters that stay single letters in lower case (U+0130 doesn't), then marks that no letter joins.
+_PLAIN_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?]+)")
+
 
 class WordTokens:
-    """Token ids of texts, as little-endian 32-bit bytes, by way of the words seen before.
+    """Token ids of texts, as little-endian 32-bit bytes, equal to the tokenizer's own.
 
-    White space always ends a token in this vocabulary, so a text's ids are its words' ids in a row;
-    a run of letters followed by full stops and the like is also cut between the two.
+    Where the tokenizer takes the steps of WORD_STEPS, white space always ends a token, so a text's ids are
+    those of its words in a row, and words seen before are looked up; a plain word is also cut from the full
+    stops and the like after it. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -34,17 +49,19 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        spaced = any(t["lstrip"] or t["rstrip"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in steps["added_tokens"])
+        self.by_word = all(steps[k] == v for k, v in WORD_STEPS.items()) and not spaced
         self.words: dict[str, bytes] = {}  # of words, and of the parts of words that were cut
 
+    def _all(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def _encode(self, part: str) -> bytes:
         got = self.words.get(part)
         if got is None:
-            if part.isascii() and part.isalpha():
-                ids = [k.id for k in self.model.tokenize(part)]
-            else:
-                ids = self.whole.encode(part, add_special_tokens=False).ids
-            got = self.words[part] = np.array(ids, dtype="<u4").tobytes()
+            got = self.words[part] = np.array([k.id for k in self.whole.model.tokenize(part)], dtype="<u4").tobytes() if part.isascii() and part.isalpha() and part.islower() else self._all(part)
         return got
 
     def _learn(self, words: list[str]) -> list[bytes]:
@@ -52,20 +69,19 @@ class WordTokens:
         for w in words:
             got = known.get(w)
             if got is None:
-                head = w.rstrip(END_MARKS)
-                if head.isalpha() and len(head) < 256:
-                    got = self._encode(head.lower() if head.isascii() else head)
-                    if len(head) < len(w):
-                        got += self._encode(w[len(head) :])
+                cut = _PLAIN_WORD.fullmatch(w)
+                if cut and len(w) < 256:
+                    got = self._encode(cut[1].lower() if cut[1].isascii() else cut[1]) + self._encode(cut[2])
+                    known[w] = got
                 else:
-                    got = self._encode(w)
-                known[w] = got
+                    got = self._encode(w.lower() if w.isascii() and w.isalpha() else w)
+                    known[w] = got
             out.append(got)
         return out
 
     def __call__(self, text: str) -> bytes:
-        if _CONTROL.search(text):  # Python alone takes these for white space
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if not self.by_word or _CONTROL.search(text):  # Python alone takes these for white space
+            return self._all(text)
         words = text.split()
         try:
             return b"".join([self.words[w] for w in words])
@@ -157,7 +173,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     Only documents of more than `length` ids are cut. Pieces are dealt to as many tasks as `task_tokens`
     asks for; each packs its share longest first, online, with `open_bins` open sequences, of which the
     fullest closes when another is needed. Sequences hold pieces of one task only, so each task leaves at
-    most one under-filled tail of open bins, whatever the size of the input.
+    most one under-filled tail of open bins, whatever the size of the input. Ids are the tokenizer's own,
+    literals of its added tokens included.
 
     Null or empty texts are the end id alone; repeated ids or rows give their own pieces; a null id stays
     null; an empty table gives no rows; other columns are ignored.

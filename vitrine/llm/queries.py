@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitrine.llm import language_model, toxicity, urls, warc
 from vitrine.llm.decontaminate import overlaps
 from vitrine.llm.fingerprint import with_next
-from vitrine.llm.html import extract
+from vitrine.llm.html import RULES, extract
 from vitrine.llm.minhash import near_duplicates
 from vitrine.llm.packing import pack
 from vitrine.llm.suffix import remove_repeats
@@ -43,7 +43,7 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     texts = extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"), *[F.col(f"removed.{r}").alias(f"by_{r}") for r in RULES])
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
