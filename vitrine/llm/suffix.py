@@ -300,7 +300,7 @@ def _windows(span: int, gram: int):
     return run
 
 
-def _remove(text_at: int, span: int, gram: int, whole_chars: bool):
+def _remove(text_at: int, span: int, gram: int, whole_chars: bool, made_names: tuple[str, str]):
     def run(batches):
         for batch in batches:
             for blob, answers, runs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
@@ -341,7 +341,7 @@ def _remove(text_at: int, span: int, gram: int, whole_chars: bool):
                         parts.append(text[at:a])
                         at = b
                     kept.append(b"".join([*parts, text[at:]]))
-                names = [*rows.schema.names, "kept", "spans"]
+                names = [*rows.schema.names, *made_names]
                 kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
                 made = pa.RecordBatch.from_arrays([*rows.columns, pa.array(kept, pa.binary()), pa.array([[{"begin": a, "end": b} for a, b in cut] for cut in spans], kind)], names=names)
                 for a in range(0, made.num_rows, 1000):
@@ -350,18 +350,17 @@ def _remove(text_at: int, span: int, gram: int, whole_chars: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", span: int = 200, gram: int = GRAM, whole_chars: bool = False, hot: int = HOT) -> DataFrame:
-    """All rows and columns of docs with `kept` (the remaining bytes) and `spans` (removed runs, in bytes of the input).
+def remove_repeats(docs: DataFrame, text_col: str = "text", span: int = 200, gram: int = GRAM, whole_chars: bool = False, hot: int = HOT, kept_col: str = "kept", spans_col: str = "spans") -> DataFrame:
+    """All rows and columns of docs with the remaining bytes (kept_col) and the removed runs in bytes of the input (spans_col).
 
     Removed is each byte of the UTF-8 text that a `span`-byte string covers which also starts anywhere else, in
     the same text or another. With whole_chars a run shrinks to whole characters, so that what is left decodes.
 
     Null texts count as empty; shorter texts keep all; repeated rows count as copies; an empty table gives no
-    rows. docs must give the same rows in the same order when read again (a stored table does); columns named
-    kept or spans must not exist.
+    rows. docs must give the same rows in the same order when read again (a stored table does). Input columns
+    named as the two made here are replaced, others of any name are kept.
     """
-    if {"kept", "spans"} & set(docs.columns):
-        raise ValueError("columns kept and spans are made here; rename those of the input")
+    docs = docs.drop(kept_col, spans_col)
     parts, at = ranges(docs, text_col, RANGE_BYTES), docs.columns.index(text_col)
     chunks = chunked(docs, text_col, CHUNK_BYTES)
     asked = from_documents(docs, text_col, CHUNK_BYTES, _ask(at, span, gram, parts), "part int, chunk long, keys binary, digests binary, counts binary")
@@ -375,5 +374,5 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", span: int = 200, gra
         twice = wide.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
         runs = runs.unionByName(wide.where("not covered").join(twice, "mark").select("chunk", "pair", F.col("offset").alias("first"), F.col("offset").alias("last")))
     runs = save(runs.groupBy("chunk").agg(F.collect_list(F.struct("pair", "first", "last")).alias("runs")), "runs")
-    schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))])
-    return told.join(runs, "chunk", "left").select("chunk", "blob", "answers", "runs").mapInArrow(_remove(at, span, gram, whole_chars), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(kept_col, T.BinaryType()), T.StructField(spans_col, T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))])
+    return told.join(runs, "chunk", "left").select("chunk", "blob", "answers", "runs").mapInArrow(_remove(at, span, gram, whole_chars, (kept_col, spans_col)), schema)

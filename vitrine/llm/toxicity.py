@@ -11,14 +11,16 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vitrine.llm.common import _LOWER, NO_WORD, U64, SpanHash, release, text_rows
+from vitrine.llm.common import _LOWER, NO_WORD, U64, SpanHash, as_bytes, release, slices
 
 WINDOW, STRIDE = 64, 48
-#: Labelled documents of each class, and windows of each, that training may use.
-MOST_POSITIVE, MOST_NEGATIVE, MOST_WINDOWS = 1000, 2000, 24
+#: Labelled documents of each class that training may use, and examples that it takes in all epochs together.
+MOST_POSITIVE, MOST_NEGATIVE, EXAMPLES = 1000, 2000, 18_000
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN = 16, 16, 8, 16
 GAIN = 4.0
 _LUT = np.random.default_rng(7).integers(0, 1 << 32, (8, 256), dtype=np.uint32)
@@ -197,10 +199,11 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
 
     Associations for training come from the half of the documents that a document isn't in, so that the
     network learns how far to trust them on new texts; the model carries those of all documents. Each epoch
-    takes every document's highest window, and some more of clean documents, as examples of their label.
+    reads all windows and takes every document's highest one, and some more of clean documents, as examples of
+    their label. Without `epochs` there are as many as make EXAMPLES of the documents, 5 to 20.
     """
     rng = np.random.default_rng(seed)
-    epochs = epochs or int(np.clip(18_000 // max(1, len(texts)), 5, 20))
+    epochs = epochs or int(np.clip(EXAMPLES // max(1, len(texts)), 5, 20))
     docs = [Words([t]) for t in texts]
     half = np.arange(len(docs)) % 2
     seen = [[np.unique(f) for f in fs] for fs in zip(*((d.word, d.three, d.five) for d in docs), strict=True)] if docs else [[], [], []]
@@ -220,10 +223,6 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
     all_words = Words.joined(docs)
     del docs
     owner, begin, size = all_words.windows()
-    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    many = np.bincount(owner)[owner]
-    use = (many <= MOST_WINDOWS) | ((rank * MOST_WINDOWS) // many != ((rank - 1) * MOST_WINDOWS) // many)
-    owner, begin, size = owner[use], begin[use], size[use]
     doc_of_word = np.repeat(np.arange(len(texts)), all_words.counts)
     fixed = np.where((half[doc_of_word] == 0)[:, None], *[np.stack([o[0][all_words.word], all_words.strongest(o[1], all_words.three), all_words.strongest(o[2], all_words.five)], axis=1) for o in other])
 
@@ -321,17 +320,29 @@ def _trained(batches):
     release()
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row: all windows of the whole text are read.
+def with_score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "score") -> DataFrame:
+    """All rows and columns with their score: all windows of the whole text are read.
 
-    Null and empty texts get the network's score of no words; repeated ids are scored row by row; a null id
-    stays null; an empty table gives no rows; other columns are ignored.
+    Null and empty texts get the network's score of no words; each row is scored by its own text, repeated and
+    null ids too; an empty table gives no rows; an input column of the score's name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(name)
+    at = docs.columns.index(text_col)
 
     def run(batches):
-        for ids, texts in text_rows(batches, 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score_texts(shared.value, texts))], names=["id", "score"])
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(at)).fill_null(0).to_pylist()
+            for a, b in slices(sizes, 1 << 18):
+                part = batch.slice(a, b - a)
+                scores = score_texts(shared.value, as_bytes(part.column(at).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*batch.schema.names, name])
         release()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every row, as with_score gives it; a null id stays null; other columns are ignored."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return with_score(rows, model).select(F.col("id").alias(id_col), "score")
