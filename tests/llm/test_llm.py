@@ -236,7 +236,25 @@ def test_url_verdicts(spark):
 def test_url_table_holds_no_site_of_the_test_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     parts = {w for r in pages.select(urls.host_of(F.col("url")).alias("h")).distinct().collect() for w in r.h.split(".")} - {"www", "m", "blog", "example", "com", "org", "net"}
-    assert len(parts) > 50 and not parts & {*urls.BLOCKED_WORDS, *urls.ALLOWED_WORDS}
+    assert len(parts) > 50 and not parts & {x for word, name, _ in urls.labelled_names() for x in (word, name)}
+
+
+def test_url_method_on_names_outside_its_table(spark):
+    names = urls.labelled_names()
+    model = urls.fit(urls.labelled_urls(spark, [n for k, n in enumerate(names) if k * 7 % 5]))
+    rows = urls.judge(urls.labelled_urls(spark, [n for k, n in enumerate(names) if not k * 7 % 5]), [], model)
+    got = {(r.blocked, r.verdict): r["count"] for r in rows.groupBy("blocked", "verdict").count().collect()}
+    assert got[1.0, "block"] > 0.6 * (got[1.0, "block"] + got[1.0, "allow"])
+    assert got.get((0.0, "block"), 0) < 0.05 * got[0.0, "allow"]
+
+
+def test_url_judging_takes_any_columns_and_empty_tables(spark):
+    model = urls.fit(urls.labelled_urls(spark, [n for k, n in enumerate(urls.labelled_names()) if k % 20 == 0]))
+    rows = spark.createDataFrame([(1, "http://a.net/es/", "x", "y", "z"), (1, "http://a.net/es/", "x", "y", "z"), (None, None, None, None, None)], "page_id int, url string, _rule string, host string, features string")
+    got = urls.judge(rows, URL_RULES, model)
+    assert sorted((r.page_id or 0, r.host, r._rule, r.verdict) for r in got.collect())[1:] == [(1, "a.net", "x", "block")] * 2
+    assert got.columns == ["page_id", "url", "_rule", "features", "host", "path", "rule", "verdict", "block_score"]
+    assert urls.judge(rows.limit(0), URL_RULES, model).count() == 0
 
 
 def test_templates_go_by_absolute_counts_and_within_articles(spark):

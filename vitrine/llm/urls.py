@@ -2,43 +2,72 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
-#: The labelled table: names of sites, general vocabulary of unwanted and of ordinary sites, each with SHAPES_EACH shapes of URL.
-BLOCKED_WORDS = tuple(
-    "casino poker slots roulette blackjack jackpot betting bets bookmaker gambling lotto lottery bingo sportsbet casino-bonus freespins online-casino royalvegas luckyslots bet365x megajackpot poker-room livecasino "
-    "viagra cialis levitra pills pharmacy-discount rx-meds tramadol xanax weightloss-pills diet-pills buy-cialis genericviagra canadian-pharma steroids-shop ed-pills "
-    "porn xxx sex nude adult-videos webcam-girls escorts hentai milf sexcams hotsex pornhub-free nudecams adultchat hardcore-tube fetish camgirls "
-    "payday-loan fast-cash quickloan instant-credit bad-credit-loans debt-relief easymoney cash-advance make-money-fast getrich bitcoin-doubler crypto-profit forex-signals binary-options "
-    "replica rolex-replica fake-watches cheap-handbags louisvuitton-outlet cheap-jerseys nike-outlet counterfeit cheap-rolex discount-uggs cheap-shoes cheapest-deals "
-    "torrent warez cracks keygen serialkeys nulled crack-download free-movies-stream pirate-stream cracked-apps free-serials "
-    "adserver adclick banner-ads popads popunder adtracker tracking-pixel clicktracker doubleclick adnetwork adsyndication trafficjunky clickbank pop-ads ads-media web-tracker "
-    "spam spammer spamlinks linkfarm seo-backlinks buy-followers buy-likes autosurf bulk-email cheap-traffic email-spam "
-    "free-iphone win-prize youwon survey-rewards giftcard-free claim-prize free-gift-cards winner-alert verify-account secure-login-update account-suspended phishing malware-scan virus-alert free-antivirus "
-    "online-poker online-slots online-pharmacy online-dating-sex online-loans cheap cheap-meds cheap-viagra cheap-followers cheap-watches cheap-ads free-porn free-casino free-slots free-torrents free-sex free-credit "
-    "best-casino best-poker best-loans bestpharmacy buy-viagra buy-traffic buy-pills-online win-casino win-money bigwin hot-porn hot-girls hot-singles live-sex live-poker live-betting adult adultxxx adult-dating pharmacy meds "
-    "gamble gambling-tips sex-webcams loans-online credit-now ads adsfeed track-clicks clickads tracker spamming spam-mail farm-links".split()
+FIT_TASKS = 4
+#: The labelled table: words of unwanted and of ordinary sites, and words that go before or after either; names are made by rule.
+UNWANTED = tuple(
+    "casino poker slots roulette blackjack jackpot betting bookmaker gambling lottery bingo wager sportsbook "
+    "viagra cialis levitra pills pharmacy meds tramadol xanax steroids dietpill painkiller "
+    "porn xxx sex adult escort webcam nude hentai hookup fetish camgirl "
+    "payday loan cash forex doubler debtrelief creditfix getrich profit binaryoption "
+    "replica rolex handbag counterfeit knockoff outlet sneaker designer "
+    "torrent warez keygen serialkey nulled cracked pirate moviez "
+    "adserver banner popunder tracker clickbait adnetwork adtracking pixel doorway backlink "
+    "spam spammer bulkmail followers autosurf linkfarm emailblast robocall "
+    "prize winner giveaway giftcard freegift survey verifyaccount phishing virusalert scareware".split()
 )
-ALLOWED_WORDS = tuple(
-    "library weather garden history recipes museum science journal theatre cycling school research council news-desk sports-club music-notes city-archive university observatory botany "
-    "springfield-gazette morning-herald daily-chronicle evening-post national-tribune local-news parliament ministry statistics health-service hospital clinic dentist veterinary fire-brigade police court "
-    "bakery butcher restaurant coffee-house brewery vineyard farm-shop market orchard dairy hotel campsite travel-guide railway airport ferries bus-timetable maps tourism hiking mountaineering sailing rowing "
-    "football-league tennis swimming athletics chess-club gymnastics volleyball rugby badminton climbing skiing photography painting sculpture gallery orchestra choir opera cinema film-review literature poetry "
+ORDINARY = tuple(
+    "library weather garden history recipes museum science journal theatre cycling school research council news sports music archive university observatory botany "
+    "gazette herald chronicle evening tribune parliament ministry statistics health hospital clinic dentist veterinary firebrigade police court "
+    "bakery butcher restaurant coffee brewery vineyard farm market orchard dairy hotel campsite travel railway airport ferries timetable maps tourism hiking sailing rowing "
+    "football tennis swimming athletics chess gymnastics volleyball rugby badminton climbing skiing photography painting sculpture gallery orchestra choir opera cinema film literature poetry "
     "bookshop publisher dictionary encyclopedia grammar translation linguistics philosophy theology cathedral parish monastery heritage archaeology genealogy geology chemistry physics biology astronomy mathematics "
-    "engineering carpentry plumbing electrician architecture construction gardening beekeeping forestry fishing birdwatch wildlife nature-reserve climate oceanography software opensource kernel compiler python-docs database "
-    "networking developers engineering-blog tutorials university-press kindergarten primary-school college alumni scholarship volunteers charity red-cross foundation community-centre neighbourhood town-hall "
-    "insurance savings-bank accountants notary law-office consumer-advice recycling waterworks energy solar bicycles car-repair furniture ceramics knitting sewing quilts toys puzzles board-games aquarium planetarium zoo".split()
+    "engineering carpentry plumbing electrician architecture construction beekeeping forestry fishing birdwatch wildlife nature climate oceanography software kernel compiler docs database "
+    "network developer tutorial press kindergarten primary college alumni scholarship volunteers charity redcross foundation community neighbourhood townhall "
+    "insurance bank accountant notary law consumer recycling waterworks energy solar bicycle repair furniture ceramics knitting sewing quilts toys puzzles boardgames aquarium planetarium zoo".split()
 )
+AROUND_UNWANTED = tuple("best buy cheap free get hot live mega my new online pro quick real super top vip win deals hub king land now palace shop site store world zone discount".split())
+AROUND_ORDINARY = tuple("the my new old city royal national north green blue first open online best top live free real super club hub house land world center group shop store site zone".split())
+#: Parts of invented names, which ordinary sites often have.
+ONSETS, VOWELS, CODAS = ("b", "br", "c", "d", "f", "g", "h", "j", "k", "l", "m", "n", "p", "r", "s", "st", "t", "th", "tr", "v", "w"), ("a", "e", "i", "o", "u", "ai", "ea", "io"), ("", "l", "n", "r", "s", "x", "nt", "nd")
+INVENTED, COMBINATIONS = 500, 6
 #: What stands before the name, after it, and the path: dealt to all names alike, so that they tell nothing of the label.
 FRONTS = ("", "www.", "blog.", "m.", "shop.", "en.", "static.")
 DOMAINS = ("com", "net", "org", "info", "co.uk", "de", "example.com", "example.net", "example.org", "fr", "eu")
 PATHS = ("/", "", "/index.html", "/en/12", "/fr/345.html", "/de/67", "/es/890/", "/en/401", "/2021/05/post-17", "/about", "/articles/a-short-title", "/p/93", "/category/page/2/")
-SHAPES_EACH = 4
+SHAPES_EACH = 5
 #: Unwanted ones among all URLs, as assumed for the constant.
-BLOCKED_SHARE = 0.35
+BLOCKED_SHARE = 0.4
+
+
+def combined(words: tuple[str, ...], around: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(word, name): each word alone and with COMBINATIONS others before or after it, with a dash or without."""
+    out = []
+    for n, word in enumerate(words):
+        out.append((word, word))
+        for k in range(COMBINATIONS):
+            other = around[(7 * n + 5 * k + n // len(around)) % len(around)]
+            dash = "-" if (n + k) % 3 else ""
+            out.append((word, f"{other}{dash}{word}" if (n + k) % 2 else f"{word}{dash}{other}"))
+    return out
+
+
+def invented(count: int) -> list[tuple[str, str]]:
+    """(name, name): names of two or three syllables, in a fixed order."""
+    out = []
+    for n in range(count):
+        syllables = (ONSETS[(n * 11 + k * 5 + n // 7) % len(ONSETS)] + VOWELS[(n * 3 + k * 7 + n // 5) % len(VOWELS)] + CODAS[(n * 5 + k * 3 + n // 11) % len(CODAS)] for k in range(2 + n % 2))
+        name = "".join(syllables)
+        out.append((name, name))
+    return out
 
 
 def host_of(url: Column) -> Column:
@@ -54,44 +83,41 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(rest, F.lit("")), r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def buckets(host: Column, path: Column) -> Column:
-    """Distinct hash buckets of the character n-grams of host and path, each marked with its part."""
+def grams(host: Column, path: Column) -> Column:
+    """The character n-grams of host and path, each marked with its part."""
 
-    def grams(text: Column, mark: str) -> list[Column]:
+    def of(text: Column, mark: str) -> list[Column]:
         framed = F.concat(F.lit("^"), text, F.lit("$"))
-        return [F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - (n - 1), F.lit(1))), lambda i, n=n: F.pmod(F.xxhash64(F.lit(mark), F.substring(framed, i, n)), F.lit(BUCKETS)).cast("int")) for n in GRAMS]
+        return [F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - (n - 1), F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), F.substring(framed, i, n))) for n in GRAMS]
 
-    return F.array_distinct(F.concat(*grams(host, "h"), *grams(path, "p")))
+    return F.array_distinct(F.concat(*of(host, "h"), *of(path, "p")))
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, blocked): the built-in training table."""
-    rows = []
-    for label, words in ((1.0, BLOCKED_WORDS), (0.0, ALLOWED_WORDS)):
-        for n, word in enumerate(words):
-            for k in range(SHAPES_EACH * n, SHAPES_EACH * (n + 1)):
-                rows.append((f"https://{FRONTS[k % len(FRONTS)]}{word}.{DOMAINS[k % len(DOMAINS)]}{PATHS[k % len(PATHS)]}", label))
-    return spark.createDataFrame(rows, "url string, blocked double")
-
+def labelled_names() -> list[tuple[str, str, float]]:
+    """(word, name, blocked) of the built-in table."""
+    return [(w, n, 1.0) for w, n in combined(UNWANTED, AROUND_UNWANTED)] + [(w, n, 0.0) for w, n in combined(ORDINARY, AROUND_ORDINARY) + invented(INVENTED)]
 
-def fit(labelled: DataFrame, penalty: float = 0.0001, blocked_share: float = BLOCKED_SHARE) -> list[float]:
-    """Weights of a logistic regression on a small labelled table (url, blocked), the constant last.
 
-    Both classes weigh the same, then the constant is set to `blocked_share`, the share of unwanted ones among
-    URLs to be judged; what comes to the driver is one weight for each bucket.
-    """
-    import math
+def labelled_urls(spark: SparkSession, names: list[tuple[str, str, float]] | None = None) -> DataFrame:
+    """(url, blocked): the built-in training table, or one of the given names."""
+    rows = []
+    for n, (_, name, label) in enumerate(names or labelled_names()):
+        for k in range(SHAPES_EACH):
+            front, domain, path = FRONTS[(5 * k + n) % len(FRONTS)], DOMAINS[(3 * k + n // 7) % len(DOMAINS)], PATHS[(2 * k + n // 3) % len(PATHS)]
+            rows.append(f"{int(label)}https://{front}{name}.{domain}{path}")
+    row = F.explode(F.split(F.lit(" ".join(rows)), " "))
+    return spark.range(1).select(row.alias("row")).select(F.substring("row", 2, 1000).alias("url"), F.substring("row", 1, 1).cast("double").alias("blocked"))
 
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizerModel
 
-    on = buckets(host_of(F.col("url")), path_of(F.col("url"))).cast("array<string>")
-    sparse = CountVectorizerModel.from_vocabulary([str(k) for k in range(BUCKETS)], "on", "features")
+def fit(labelled: DataFrame, penalty: float = 0.00001) -> PipelineModel:
+    """Logistic regression on the hashed n-grams of a small labelled table (url, blocked); both classes weigh the same."""
     shares = F.broadcast(labelled.groupBy("blocked").agg((F.lit(1.0) / F.count("*")).alias("weight")))
-    rows = sparse.transform(labelled.withColumn("on", on).join(shares, "blocked")).select(F.col("blocked").alias("label"), "weight", "features").coalesce(1).cache()
-    model = LogisticRegression(regParam=penalty, weightCol="weight", standardization=False, maxIter=50).fit(rows)
+    rows = labelled.join(shares, "blocked").select(F.col("blocked").alias("label"), "weight", grams(host_of(F.col("url")), path_of(F.col("url"))).alias("__grams")).repartition(FIT_TASKS).cache()
+    hashed = HashingTF(numFeatures=BUCKETS, binary=True, inputCol="__grams", outputCol="__features")
+    regression = LogisticRegression(featuresCol="__features", labelCol="label", weightCol="weight", regParam=penalty, standardization=False, maxIter=25, probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction")
+    model = Pipeline(stages=[hashed, regression]).fit(rows)
     rows.unpersist()
-    return [*model.coefficients.toArray().tolist(), model.intercept + math.log(blocked_share / (1 - blocked_share))]
+    return model
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -103,19 +129,20 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], weights: list[float], url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: PipelineModel, url_col: str = "url", blocked_share: float = BLOCKED_SHARE) -> DataFrame:
     """All rows and columns with host, path, rule, verdict (allow or block) and block_score (the method's, 0 to 1).
 
-    The longest fitting rule decides, else the score from 0.5 on blocks. A null url or one without :// has
-    empty host and path and is judged by them. Repeated rows stay; columns of these names must not exist.
+    The longest fitting rule decides, else the score from 0.5 on blocks; the score is the regression's at
+    `blocked_share`, the share of unwanted ones among the URLs to be judged. A null url or one without :// has
+    empty host and path and is judged by them. Repeated rows stay; an empty table gives no rows; input columns
+    of these names are replaced, others of any name are kept.
     """
-    made = {"host", "path", "rule", "verdict", "block_score"}
-    if made & set(pages.columns):
-        raise ValueError(f"columns {sorted(made)} are made here; rename those of the input")
-    table = F.split(F.lit(" ".join(map(repr, weights[:-1]))), " ").cast("array<double>")  # one constant
+    made = ("host", "path", "rule", "verdict", "block_score")
+    kept = [c for c in pages.columns if c not in made]
     url = F.col(url_col)
-    parts = pages.withColumns({"host": host_of(url), "path": path_of(url)})
-    total = F.aggregate(buckets(F.col("host"), F.col("path")), F.lit(weights[-1]), lambda s, k: s + F.element_at(table, k + 1))
-    scored = parts.withColumns({"block_score": 1 / (1 + F.exp(-total)), "_rule": rule_of(F.col("host"), F.col("path"), rules)})
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
-    return scored.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).select(*pages.columns, "host", "path", "rule", "verdict", "block_score")
+    rows = pages.select(F.struct(*kept).alias("__row"), host_of(url).alias("__host"), path_of(url).alias("__path"))
+    scored = model.transform(rows.withColumn("__grams", grams(F.col("__host"), F.col("__path"))))
+    p, odds = vector_to_array(F.col("__probability"))[1], blocked_share / (1 - blocked_share)
+    found = scored.select("__row", F.col("__host").alias("host"), F.col("__path").alias("path"), rule_of(F.col("__host"), F.col("__path"), rules).alias("__rule"), (p * odds / (p * odds + (1 - p))).alias("block_score"))
+    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
+    return found.select("__row.*", "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "block_score")
