@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import partial
 
 import numpy as np
@@ -9,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import BROADCAST_ROWS, NO_WORD, U64, as_bytes, int64, mix, save, text_rows, word_hashes
+from vitrine.llm.common import BROADCAST_ROWS, NO_WORD, U64, as_bytes, few, int64, mix, save, text_rows, word_hashes
 
 _words = partial(word_hashes, between=NO_WORD)
+SEEDS = "id long, seed long, places long, words long"
 
 
 class _Rolling:
@@ -32,10 +34,12 @@ class _Rolling:
 
 
 def greedy_tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Tiles (text place, item place, words): longest matches first, none overlapping, of `least` words or more.
+    """Tiles (text place, item place, words): always the longest match left, none overlapping, of `least` words or more.
 
     The search length starts at the whole item and halves, as in running Karp-Rabin; runs of equal hash that
-    touch no marked word are extended to both sides, and the longest are marked first.
+    touch no marked word are extended to both sides. The longest is marked first; what is left of a match that
+    a tile cuts goes back among the others by its own length. Of equally long ones the first in the text, then
+    in the item, is marked.
     """
     mark_text, mark_item = np.zeros(len(text) + 1, bool), np.zeros(len(item) + 1, bool)
     roll_text, roll_item = _Rolling(text), _Rolling(item)
@@ -61,31 +65,38 @@ def greedy_tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[i
                     n += 1
                 done[at - i] = a + n
                 found.append((-n, a, b))
-        placed = False
-        for n, a, b in sorted(found):
-            if not mark_text[a : a - n].any() and not mark_item[b : b - n].any():
+        heapq.heapify(found)
+        while found:
+            n, a, b = heapq.heappop(found)
+            held = mark_text[a : a - n] | mark_item[b : b - n]
+            if not held.any():
                 mark_text[a : a - n] = mark_item[b : b - n] = True
                 tiles.append((a, b, -n))
-                placed = True
-        if not (placed and len(found) > 1):  # else shortened matches of this length may remain
-            length = length - 1 if length <= 2 * least else max(least, length // 2)
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], held, [True]])))
+            for begin, end in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+                if end - begin >= length:
+                    heapq.heappush(found, (begin - end, a + begin, b + begin))
+        length = length - 1 if length <= 2 * least else max(least, length // 2)
     return tiles
 
 
 def _seeds(least: int):
-    """(item, seed): each run of `least` words of an item, by hash."""
+    """(id, seed, places, words): each run of `least` words of a text, by hash, how often it is there and the text's words."""
 
     def run(batches):
         for ids, texts in text_rows(batches):
             words, counts = _words(texts)
             keys = _Rolling(words)(least)
-            out_id, out_key, at = [], [], 0
+            out_id, out_key, out_many, out_words, at = [], [], [], [], 0
             for i, n in zip(ids, counts.tolist(), strict=True):
-                own = np.unique(keys[at : at + n - least + 1]) if n >= least else keys[:0]
+                own, many = np.unique(keys[at : at + n - least + 1] if n >= least else keys[:0], return_counts=True)
                 out_id += [i] * len(own)
+                out_words += [n] * len(own)
                 out_key.append(own)
+                out_many.append(many)
                 at += n
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), int64(np.concatenate(out_key) if out_key else keys[:0])], names=["id", "seed"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), int64(np.concatenate([keys[:0], *out_key])), pa.array(np.concatenate([np.zeros(0, np.int64), *out_many]), pa.int64()), pa.array(out_words, pa.int64())], names=["id", "seed", "places", "words"])
 
     return run
 
@@ -137,26 +148,30 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = 5, coverage: float
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Documents and items that
     share a run of `least` words are tiled, in any order of the passages, and reported if the tiles cover
-    `coverage` of the item's words or more. The items' runs go to all tasks while they number `most_seeds`
-    or less, else they are joined by shuffle; both give the same rows.
+    `coverage` of the item's words or more. Texts travel only to items of which they share as many runs as that
+    coverage takes at least. The items' runs go to all tasks while they number `most_seeds` or less, else they
+    are joined by shuffle; both give the same rows.
 
     Null and empty texts and items of fewer than `least` words match nothing; rows with a null id are left
     out; repeated ids of equal text give one row per item; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")).where("item_id is not null").dropDuplicates()
-    seeds = save(items.mapInArrow(_seeds(least), "id long, seed long").withColumnRenamed("id", "item_id").distinct(), "seeds")
-    few = seeds.select("seed").distinct().limit(most_seeds + 1).toArrow().column(0)
-    if len(few) <= most_seeds:
-        known = np.sort(few.to_numpy().view(U64)) if len(few) else np.zeros(1, U64)
-        touched = save(docs.mapInArrow(_touched(known, least), "id long, text binary, seeds array<long>"), "touched")
+    seeds = save(items.mapInArrow(_seeds(least), SEEDS).withColumnRenamed("id", "item_id").distinct(), "seeds")
+    known = seeds.select("seed").distinct().limit(most_seeds + 1).toArrow().column(0)
+    if len(known) <= most_seeds:
+        sought = np.sort(known.to_numpy().view(U64)) if len(known) else np.zeros(1, U64)
+        touched = save(docs.mapInArrow(_touched(sought, least), "id long, text binary, seeds array<long>"), "touched")
         shared = touched.select("id", F.explode("seeds").alias("seed"))
         texts = touched.select("id", "text")
     else:
-        shared = docs.mapInArrow(_seeds(least), "id long, seed long").join(seeds.select("seed").distinct(), "seed", "left_semi")
+        shared = docs.mapInArrow(_seeds(least), SEEDS).join(seeds.select("seed").distinct(), "seed", "left_semi").select("id", "seed")
         texts = docs.withColumn("text", F.encode("text", "utf-8"))
-    pairs = shared.join(seeds, "seed").select("id", "item_id").distinct()
-    wide = pairs.join(texts.dropDuplicates(), "id").join(items, "item_id").select("id", "item_id", "text", "item_text")
+    # tiles of `least` words or more that cover c words hold c / least runs of `least` words at least
+    wanted = F.ceil((F.lit(coverage) * F.col("words") - 1e-6) / least)
+    met = shared.distinct().join(few(seeds), "seed").groupBy("id", "item_id", "words").agg(F.sum("places").alias("places"))
+    pairs = save(met.where(F.col("places") >= wanted).select("id", "item_id").distinct(), "item_pairs")
+    wide = few(pairs).join(texts.dropDuplicates(), "id").join(items, "item_id").select("id", "item_id", "text", "item_text")
     tiled = wide.mapInArrow(_tile(least), "doc_id long, item_id long, item_words int, covered_words int, tiles array<struct<text_at: int, item_at: int, words: int>>")
     share = F.col("covered_words") / F.col("item_words")
     return tiled.select("doc_id", "item_id", "item_words", "covered_words", share.alias("coverage"), "tiles").where(F.col("coverage") >= coverage)

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import few, save, text_rows
+from vitrine.llm.common import release, save, text_rows
 
 BUCKETS = 128
-#: Bytes of text that one task takes, and the most ranges; beyond, ranges grow (a task streams its own).
-TASK_BYTES, MOST_RANGES = 16 << 20, 20_000
+#: Bytes of text that one task takes.
+TASK_BYTES = 16 << 20
 #: Triplets of a five-byte window: the newest byte with every pair of the others.
 TRIPLETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _TABLE = np.random.default_rng(11).integers(0, 1 << 16, (len(TRIPLETS), 3, 256), dtype=np.uint16)
@@ -103,67 +103,75 @@ def _row(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
     )
 
 
-def _neighbours(limit: int):
-    """Rows (id, text, own) in order: each own row with the one after it. A row of another part ends the part."""
+def _pairs(limit: int):
+    """Rows (id, text) in order: each with the one after it. The first and the last of the partition go on with their texts."""
+
+    def edge(kind: str, doc, text: str) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        values = [doc, None, None, None, None, None, None, kind, TaskContext.get().partitionId(), text]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _TYPES, strict=True)], names=_NAMES)
+
+    def full(ids: list, texts: list[tuple[str, str]]) -> pa.RecordBatch:
+        made = _row(ids, [t for t, _ in texts], [f for _, f in texts])
+        return pa.RecordBatch.from_arrays([*made.columns, *[pa.nulls(len(ids), t) for t in _TYPES[-3:]]], names=_NAMES)
 
     def run(batches):
         ids, texts, size, before = [], [], 0, None
         for batch in batches:
-            for doc, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text or ""
-                if before is not None:
+                if before is None:
+                    yield edge("first", doc, text)
+                else:
                     ids.append(before[0])
                     texts.append((before[1], text))
                     size += len(text)
                     if size > limit:
-                        yield _row(ids, [t for t, _ in texts], [f for _, f in texts])
+                        yield full(ids, texts)
                         ids, texts, size = [], [], 0
-                before = (doc, text) if own else None
+                before = (doc, text)
         if ids:
-            yield _row(ids, [t for t, _ in texts], [f for _, f in texts])
+            yield full(ids, texts)
+        if before is not None:
+            yield edge("last", *before)
+        release()
 
     return run
 
 
-def _place(value, cuts: list[int]):
-    """How many of the ascending cuts are at most the value, by halving steps."""
-    if not cuts:
-        return F.lit(0)
-    edges, n = F.array(*[F.lit(c) for c in cuts]), len(cuts)
-    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.element_at(edges, F.least(at + s, F.lit(n))) <= value), at + s).otherwise(at))
+def _across(batches):
+    """Rows (id, text, following): the last document of a partition and the first of the next."""
+    for batch in batches:
+        ids, texts, following = (c.to_pylist() for c in batch.columns)
+        for k in range(len(ids)):
+            yield _row(ids[k : k + 1], texts[k : k + 1], following[k : k + 1])
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = TASK_BYTES) -> DataFrame:
     """Every document with its edited text's digest and fingerprint, and their likeness to its own.
 
     The edited text has its last quarter of characters replaced by the first as many of the next document by
-    id (the first follows the last). Ranges of ids of about `task_bytes` go to one task each, in order, with a
-    copy of the first row of the range after; only that order is shuffled.
+    id (the first follows the last). The documents are sorted once, in ranges of ids of about `task_bytes`; each
+    range pairs its own neighbours and passes on its first and last document only, which are joined after.
 
-    Null texts are empty; rows of equal id follow one another by text; rows with a null id come first; an
-    empty table gives no rows; other columns are ignored. A range is cut between ids, so rows of one id
-    share a task.
+    Null texts are empty; rows of equal id follow one another by text and share a range; rows with a null id
+    come first; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("size"))
-    bounds = sizes.agg(F.min("id"), F.max("id"), F.sum("size"), F.count("*")).first()
-    low, high, total, count = bounds[0] or 0, bounds[1] or 0, bounds[2] or 0, bounds[3]
-    if not count:
-        return docs.sparkSession.createDataFrame([], _SCHEMA)
-    parts = int(max(1, min(count, MOST_RANGES, -(-total // task_bytes))))
-    cuts = [int(x) for x in sizes.where("id is not null").approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts)] if parts > 1 else []
-    cuts = sorted({c for c in cuts if low < c <= high})
-    part = _place(F.coalesce(F.col("id"), F.lit(low)), cuts)
-    marked = rows.withColumn("part", part)
-    first = save(sizes.withColumn("part", part).groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull(), "id")).alias("low")).select("part", F.col("low.id").alias("id")), "range_starts")
-    last = len(cuts)
-    starts = first.select(F.col("id").alias("first"), (F.when(F.col("part") == 0, last + 1).otherwise(F.col("part")) - 1).alias("to"))
-    copies = rows.join(few(starts), F.col("id").eqNullSafe(F.col("first"))).select("id", "text", F.col("to").alias("part"))
-    copies = copies.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(F.coalesce("text", F.lit(""))))).where("rank = 1").select("id", "text", "part", F.lit(False).alias("own"))
-    both = marked.select("id", "text", "part", F.lit(True).alias("own")).unionByName(copies)
-    dealt = both.repartition(last + 1, "part").sortWithinPartitions("part", F.desc("own"), F.asc_nulls_first("id"), F.coalesce("text", F.lit("")))
-    return dealt.select("id", "text", "own").mapInArrow(_neighbours(1 << 20), _SCHEMA)
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = int(max(1, -(-total // task_bytes)))
+    ordered = rows.repartitionByRange(parts, F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), F.coalesce("text", F.lit("")))
+    made = save(ordered.mapInArrow(_pairs(1 << 20), f"{_SCHEMA}, kind string, part int, text string"), "neighbours")
+    ends = [made.where(F.col("kind") == kind).select("part", F.col("doc_id").alias("id"), F.col("text").alias(name)) for kind, name in (("last", "text"), ("first", "following"))]
+    numbers = made.where("kind = 'first'").select("part")
+    after = numbers.withColumn("next", F.lead("part").over(Window.orderBy("part")))  # one small number for each range
+    least = numbers.agg(F.min("part").alias("least"))
+    after = after.join(F.broadcast(least)).select("part", F.coalesce("next", "least").alias("next"))
+    across = ends[0].join(after, "part").join(ends[1].select(F.col("part").alias("next"), "following"), "next").select("id", "text", "following")
+    return made.where("kind is null").select(*_NAMES[:7]).unionByName(across.mapInArrow(_across, _SCHEMA))
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [*(c.split()[0] for c in _SCHEMA.split(", ")), "kind", "part", "text"]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.string()]
