@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a table may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
+#: Bytes of an Arrow batch between Spark and Python, and the setting's own default.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 
@@ -36,9 +39,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold some megabytes, where their size isn't set: texts differ much in length."""
+    if spark.conf.get(_BATCH_SETTING, None) in (None, _BATCH_DEFAULT):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps start from the files."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

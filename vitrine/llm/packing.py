@@ -17,7 +17,7 @@ from vitrine.llm.common import release, save, slices
 
 #: Tokens that one packing task takes, and the bins that it holds open.
 TASK_TOKENS, OPEN_BINS = 1 << 24, 4096
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _LOADED: dict = {}
 
 # The steps of a tokenizer, as its file lists them, under which words can be encoded one by one.

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.common import _LOWER, NO_WORD, U64, SpanHash, as_bytes, release, slices
+from vitrine.llm.common import _LOWER, NO_WORD, U64, SpanHash, as_bytes, bound_batches, release, slices
 
 WINDOW, STRIDE = 64, 48
 #: Labelled documents of each class that training may use, and examples that it takes in all epochs together.
@@ -61,21 +61,25 @@ class Words:
     def strongest(self, table: np.ndarray, grams: np.ndarray) -> np.ndarray:
         return np.maximum.reduceat(table[grams], self.first[:-1]) if len(self.word) else table[:0]
 
-    def inputs(self, p: dict, assoc: list[np.ndarray], spare: int = 0) -> np.ndarray:
-        """A row for each word, and `spare` rows of zeros."""
-        whole = np.zeros((len(self.word) + spare, 2 * WIDTH + 3), np.float32)
-        out = whole[: len(self.word)]
-        if len(self.word):
-            out[:, 0] = assoc[0][self.word]
-            out[:, 1] = self.strongest(assoc[1], self.three)
-            out[:, 2] = self.strongest(assoc[2], self.five)
-            out[:, 3 : 3 + WIDTH] = p["words"][self.word]
-            for k in range(0, len(self.word), 1 << 15):
-                first = self.first[k : k + (1 << 15) + 1]
-                bytes_ = self.five[first[0] : first[-1]]
-                total = np.add.reduceat(p["grams"][bytes_], first[:-1] - first[0])
-                out[k : k + (1 << 15), 3 + WIDTH :] = total / self.length[k : k + (1 << 15), None]
-        return whole
+    def known(self, assoc: list[np.ndarray]) -> np.ndarray:
+        """The three associations of each word."""
+        return np.stack([assoc[0][self.word], self.strongest(assoc[1], self.three), self.strongest(assoc[2], self.five)], axis=1)
+
+    def bytes_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words `at`: their bytes' numbers one after another, and their lengths."""
+        length = self.length[at]
+        return np.repeat(self.first[at] - np.cumsum(length) + length, length) + np.arange(length.sum()), length
+
+    def inputs(self, p: dict, known: np.ndarray, at: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+        """A row for each of the words `at`: associations, word vector and mean of the 5-gram vectors."""
+        out = np.empty((len(at), 2 * WIDTH + 3), np.float32)
+        out[:, :3] = known[at]
+        out[:, 3 : 3 + WIDTH] = p["words"][self.word[at]]
+        for k in range(0, len(at), block):
+            bytes_, length = self.bytes_of(at[k : k + block])
+            total = np.add.reduceat(p["grams"][self.five[bytes_]], np.cumsum(length) - length)
+            out[k : k + block, 3 + WIDTH :] = total / length[:, None]
+        return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, first word and words of every window; a text without words has one empty window."""
@@ -180,12 +184,16 @@ def _spread(begin: np.ndarray, size: np.ndarray, total: int) -> tuple[np.ndarray
     return np.where(mask, begin + t, total), mask.astype(np.float32)
 
 
-def logits(p: dict, inputs: np.ndarray, begin: np.ndarray, size: np.ndarray, at_once: int = 1024, run: int = 4096) -> np.ndarray:
-    """Logits of windows over word inputs, in word order `run` at a time, of these windows of like length together."""
+def logits(p: dict, inputs, begin: np.ndarray, size: np.ndarray, at_once: int = 1024, run: int = 4096) -> np.ndarray:
+    """Logits of windows, in word order `run` at a time, of these windows of like length together.
+
+    inputs(low, high) gives the rows of these words; only those of one run are held.
+    """
     out = np.empty(len(begin), np.float32)
     for k in range(0, len(begin), run):
         low, high = begin[k], int((begin + size)[k : k + run].max())
-        rows = {w: np.concatenate([inputs[low:high] @ p[f"W{w}"] + p[f"c{w}"], np.zeros((1, 3 * HIDDEN), np.float32)]) for w in "fb"}
+        words = inputs(low, high)
+        rows = {w: np.concatenate([words @ p[f"W{w}"] + p[f"c{w}"], np.zeros((1, 3 * HIDDEN), np.float32)]) for w in "fb"}
         order = k + np.argsort(size[k : k + run], kind="stable")
         for j in range(0, len(order), at_once):
             part = order[j : j + at_once]
@@ -224,21 +232,18 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
     del docs
     owner, begin, size = all_words.windows()
     doc_of_word = np.repeat(np.arange(len(texts)), all_words.counts)
-    fixed = np.where((half[doc_of_word] == 0)[:, None], *[np.stack([o[0][all_words.word], all_words.strongest(o[1], all_words.three), all_words.strongest(o[2], all_words.five)], axis=1) for o in other])
+    fixed = np.where((half[doc_of_word] == 0)[:, None], *[all_words.known(o) for o in other])
+    del doc_of_word, other, seen
 
-    def word_inputs() -> np.ndarray:
-        x = all_words.inputs(p, full, spare=1)
-        x[:-1, :3] = fixed
-        return x
+    def inputs(low: int, high: int) -> np.ndarray:
+        return all_words.inputs(p, fixed, np.arange(low, high))
 
     dense = [k for k in p if k not in ("words", "grams")]
     first, second = ({k: np.zeros_like(p[k]) for k in dense} for _ in range(2))
     squares = {k: np.full(len(p[k]), 1e-6, np.float32) for k in ("words", "grams")}
     step = 0
     for _ in range(epochs):
-        padded = word_inputs()
-        inputs = padded[:-1]
-        score = logits(p, inputs, begin, size)
+        score = logits(p, inputs, begin, size, run=1024)
         best = np.lexsort((score, owner))
         best = best[np.append(owner[best][1:] != owner[best][:-1], True)]
         clean = np.flatnonzero(toxic[owner] == 0)
@@ -246,8 +251,10 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
         rng.shuffle(chosen)
         for k in range(0, len(chosen), batch):
             part = chosen[k : k + batch]
-            where, mask = _spread(begin[part], size[part], len(inputs))
-            words = padded[where]
+            where, mask = _spread(begin[part], size[part], 0)
+            live = mask > 0
+            words = np.zeros((*mask.shape, 2 * WIDTH + 3), np.float32)
+            words[live] = all_words.inputs(p, fixed, where[live])
             x = {w: words @ p[f"W{w}"] + p[f"c{w}"] for w in "fb"}
             logit, saved = forward(p, x, mask, keep=True)
             grad, dx = backward(p, x, mask, saved, (_sigmoid(logit) - toxic[owner[part]].astype(np.float32)) / len(part))
@@ -260,10 +267,8 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 6
                 first[name] += 0.1 * (grad[name] - first[name])
                 second[name] += 0.001 * (grad[name] ** 2 - second[name])
                 p[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            live = mask > 0
             at, d = where[live], d_words[live]
-            length = all_words.length[at]
-            byte = np.repeat(all_words.first[at], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            byte, length = all_words.bytes_of(at)
             for name, ids, g in (("words", all_words.word[at], d[:, 3 : 3 + WIDTH]), ("grams", all_words.five[byte], np.repeat(d[:, 3 + WIDTH :] / length[:, None], length, axis=0))):
                 if not len(ids):
                     continue
@@ -279,7 +284,8 @@ def score_texts(model: dict, texts: list[bytes]) -> np.ndarray:
     """Score of each text: the logistic of its highest window."""
     words = Words(texts)
     owner, begin, size = words.windows()
-    got = logits(model["p"], words.inputs(model["p"], model["assoc"]), begin, size).astype(np.float64)
+    known = words.known(model["assoc"])
+    got = logits(model["p"], lambda low, high: words.inputs(model["p"], known, np.arange(low, high)), begin, size).astype(np.float64)
     return 1 / (1 + np.exp(-np.maximum.reduceat(got, np.searchsorted(owner, np.arange(len(texts))))))
 
 
@@ -326,6 +332,7 @@ def with_score(docs: DataFrame, model: dict, text_col: str = "text", name: str =
     Null and empty texts get the network's score of no words; each row is scored by its own text, repeated and
     null ids too; an empty table gives no rows; an input column of the score's name is replaced.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(name)
     at = docs.columns.index(text_col)
