@@ -87,4 +87,24 @@ def test_query_equals_its_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-    assert F.lit(1) is not None
+
+
+@pytest.mark.parametrize("name", ["save_products", "save_offers", "save_history", "price_drift_log", "bot_wall_filter", "marketplace_of_links", "batch_publish_problems", "opportunity_results"])
+def test_flow_equals_its_sql(spark, name):
+    test_query_equals_its_sql(spark, name)
+
+
+def test_records_of_one_new_product_meet(spark):
+    from vitrine.operators import save
+
+    schema = "seq int, marketplace string, external_id string, url string, title string, brand string, image string, description string, rating double, reviews int, sales int, seller string, price double, old_price double, discount double, stock int, affiliate_link string, category string, gtin string, auto_created boolean"
+    row = lambda n, shop, code, title, price, auto=False: (n, shop, code, "http://u", title, None, "i", None, None, None, None, None, price, None, None, None, None, None, "78912345", auto)
+    records = spark.createDataFrame([row(1, "AMAZON", "A", "first", 9.0), row(2, "SHOPEE", "B", "second", 5.0), row(3, "SHOPEE", " ", "refused", 5.0), row(4, "SHOPEE", "C", "refused", -1.0)], schema)
+    product = "id string, name string, image string, description string, rating double, reviews int, sales int, slug string, canonical_name string, model string, ean string, gtin string, mpn string, brand string, canonical_key string, ml_id string, category string, store string, price double, old_price double, discount int, stock int, affiliate_link string, auto_created boolean, active boolean"
+    offer = "product_id string, marketplace string, id string, external_id string, url string, title string, image string, seller string, price double, old_price double, stock int, affiliate_link string, status string, match_status string, active boolean, available boolean, review_reason string, checked_at timestamp_ntz, price_changed_at timestamp_ntz"
+    now = F.lit("2030-01-01").cast("timestamp_ntz")
+    got = save.save_products(records, spark.createDataFrame([], product), spark.createDataFrame([], offer), spark.createDataFrame([], "offer_id string, price double, recorded_at timestamp_ntz"), now)
+    made = got["products"].collect()
+    assert [(p.name, p.category, p.publication_status, p.store) for p in made] == [("first", "Ofertas", "LIVE_PARTIAL", "Amazon")]
+    assert sorted((o.marketplace, o.is_best, o.status) for o in got["offers"].collect()) == [("AMAZON", False, "PENDING_AFFILIATE"), ("SHOPEE", True, "PENDING_AFFILIATE")]
+    assert got["history"].count() == 2 and sorted(r.error for r in got["refused"].collect()) == ["no external id", "no valid price"]

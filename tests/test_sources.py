@@ -10,7 +10,7 @@ PAGE = """<html><head><title>Lamp | Shop</title><script type="application/ld+jso
 
 
 def test_pages_become_records(spark):
-    rows = [("https://www.amazon.com.br/dp/B0ABCDEFGH", PAGE), ("https://www.amazon.com.br/dp/B0ABCDEFGX", "<title>Enter the captcha</title>"), ("https://www.amazon.com.br/x", "<title>Nothing</title>")]
+    rows = [("https://www.amazon.com.br/dp/B0ABCDEFGH", PAGE), ("https://www.amazon.com.br/dp/B0ABCDEFGX", "<title>Robot check</title>"), ("https://www.amazon.com.br/x", "<title>Nothing</title>")]
     parsed = pages.read_products(spark.createDataFrame(rows, "url string, html string"))
     got = {r.url[-10:]: r for r in landed.page_records(parsed).collect()}
     assert len(got) == 2

@@ -48,4 +48,11 @@ def price_changed(price: Column, before: Column) -> Column:
 
 
 def brl(value: Column) -> Column:
-    return F.concat(F.lit("R$ "), F.translate(F.format_number(value, 2), ",.", ".,"))
+    """R$ with two decimals, the sign before the currency; null stays null."""
+    shown = F.concat(F.lit("R$\u00a0"), F.translate(F.format_number(F.abs(value), 2), ",.", ".,"))
+    return F.when(value < 0, F.concat(F.lit("-"), shown)).otherwise(shown)
+
+
+def fixed(value: Column, digits: int = 1) -> Column:
+    """The number with so many decimals, a point before them."""
+    return F.format_string(f"%.{digits}f", value.cast("double"))

@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and their plain forms, position by position.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accented() -> tuple[str, str]:
+    """Letters that canonical decomposition splits into one letter and marks U+0300 to U+036F, and those letters."""
+    marked, plain = [], []
+    for code in range(0xC0, 0x10000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and all("\u0300" <= c <= "\u036f" for c in parts[1:]):
+            marked.append(chr(code))
+            plain.append(parts[0])
+    return "".join(marked), "".join(plain)
+
+
+MARKED, PLAIN = _accented()
 
 # Marketplaces and their labels.
-MARKETPLACE_LABELS = {"AMAZON": "Amazon", "MERCADO_LIVRE": "Mercado Livre", "SHOPEE": "Shopee", "MAGALU": "Magalu", "KABUM": "KaBuM!"}
+MARKETPLACE_LABELS = {"MERCADO_LIVRE": "Mercado Livre", "AMAZON": "Amazon", "SHOPEE": "Shopee", "MAGAZINE_LUIZA": "Magazine Luiza", "CASAS_BAHIA": "Casas Bahia", "KABUM": "KaBuM!", "TERABYTE": "Terabyte", "ALIEXPRESS": "AliExpress", "CARREFOUR": "Carrefour"}
+
+# Words of category names and the icon of the first rule that has one.
+CATEGORY_ICONS = [
+    ("💻", ("notebook", "computador", "informática")),
+    ("📱", ("celular", "smartphone", "telefone")),
+    ("📺", ("televis", "tv", "áudio")),
+    ("🍳", ("eletro", "cozinha", "air fryer")),
+    ("🏠", ("casa", "móvel", "decoração")),
+    ("🛠️", ("ferramenta", "construção")),
+    ("🧸", ("bebê", "infantil", "criança")),
+    ("✨", ("beleza", "cuidado")),
+]
+OTHER_ICON = "🏷️"
 
 
 def clean(text: Column) -> Column:
@@ -23,7 +49,7 @@ def blank_to_null(text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    """Letters without accents (Latin-1), and no combining marks."""
+    """Letters without accents, and no combining marks U+0300 to U+036F."""
     return F.regexp_replace(F.translate(text, MARKED, PLAIN), "[̀-ͯ]", "")
 
 

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 # Domains by marketplace, in the order of the check.
 MARKETPLACE_DOMAINS = (
     ("MERCADO_LIVRE", ("mercadolivre.com.br", "mercadolivre.com", "meli.la")),
-    ("AMAZON", ("amazon.com.br", "amazon.com", "amzn.to", "a.co")),
-    ("SHOPEE", ("shopee.com.br", "shope.ee")),
-    ("MAGALU", ("magazineluiza.com.br", "magalu.com", "magazinevoce.com.br")),
-    ("KABUM", ("kabum.com.br",)),
-    ("ALIEXPRESS", ("aliexpress.com", "s.click.aliexpress.com")),
-    ("AMERICANAS", ("americanas.com.br",)),
+    ("AMAZON", ("amazon.com.br", "amazon.com", "amzn.to")),
+    ("SHOPEE", ("shopee.com.br", "shopee.com", "shope.ee")),
+    ("MAGAZINE_LUIZA", ("magazineluiza.com.br", "magalu.com.br", "magalu.com")),
     ("CASAS_BAHIA", ("casasbahia.com.br",)),
+    ("KABUM", ("kabum.com.br",)),
+    ("TERABYTE", ("terabyteshop.com.br",)),
+    ("ALIEXPRESS", ("aliexpress.com", "aliexpress.us")),
+    ("CARREFOUR", ("carrefour.com.br",)),
 )
+# Domains of links that may be put in the queue, and of pages that may be loaded.
+QUEUE_DOMAINS = ("mercadolivre.com.br", "mercadolibre.com", "meli.la")
+PAGE_DOMAINS = ("amazon.com.br", "amzn.to", "a.co")
 
 
 def host(url: Column) -> Column:

@@ -16,13 +16,18 @@ def claim(queue: DataFrame, limit=5, created: str = "created_at", id: str = "id"
     return rows.withColumns({"attempts": F.col("attempts") + F.when(taken, 1).otherwise(0), "error_message": F.when(~taken, F.col("error_message")), "status": F.when(taken, "PROCESSING").otherwise(F.col("status"))}).select(*queue.columns)
 
 
-def finish(queue: DataFrame, results: DataFrame, id: str = "id") -> DataFrame:
-    """Rows in processing with a result (id, product_id, error) become SUCCESS or ERROR; messages keep 2000 characters."""
+def finish(queue: DataFrame, results: DataFrame, id: str = "id", now: Column | None = None) -> DataFrame:
+    """Rows in processing with a result (id, product_id, error) become SUCCESS or ERROR; messages keep 2000 characters.
+
+    processed_at, where the queue has it, is set to `now`.
+    """
     got = results.select(id, F.col("product_id").alias("_product"), F.col("error").alias("_error"), F.lit(True).alias("_done"))
     rows = queue.join(got, id, "left")
     done, failed = F.coalesce("_done", F.lit(False)) & (F.col("status") == "PROCESSING"), F.col("_error").isNotNull()
+    stamp = {"processed_at": F.when(done, F.current_timestamp() if now is None else now).otherwise(F.col("processed_at"))} if "processed_at" in queue.columns else {}
     return rows.withColumns(
-        {
+        stamp
+        | {
             "product_id": F.when(done & ~failed, F.col("_product")).otherwise(F.col("product_id")),
             "error_message": F.when(done & failed, F.substring("_error", 1, 2000)).when(~done, F.col("error_message")),
             "status": F.when(done & failed, "ERROR").when(done, "SUCCESS").otherwise(F.col("status")),
@@ -31,9 +36,10 @@ def finish(queue: DataFrame, results: DataFrame, id: str = "id") -> DataFrame:
 
 
 def retry(queue: DataFrame, ids: Column) -> DataFrame:
-    """Failed rows that `ids` marks wait again; their attempts stay."""
+    """Failed rows that `ids` marks wait again, without message, product and time of processing; their attempts stay."""
     again = ids & (F.col("status") == "ERROR")
-    return queue.withColumns({"error_message": F.when(~again, F.col("error_message")), "product_id": F.when(~again, F.col("product_id")), "status": F.when(again, "PENDING").otherwise(F.col("status"))})
+    cleared = [c for c in ("error_message", "product_id", "processed_at") if c in queue.columns]
+    return queue.withColumns({c: F.when(~again, F.col(c)) for c in cleared} | {"status": F.when(again, "PENDING").otherwise(F.col("status"))})
 
 
 def delete(queue: DataFrame, ids: Column) -> DataFrame:
@@ -41,6 +47,67 @@ def delete(queue: DataFrame, ids: Column) -> DataFrame:
     return queue.where(~ids | (F.col("status") == "PROCESSING"))
 
 
+def affected(queue: DataFrame, ids: Column, allowed: Column) -> DataFrame:
+    """(requested, affected): rows that `ids` marks, and those of them that the guard allows."""
+    return queue.agg(F.count_if(ids).alias("requested"), F.count_if(ids & allowed).alias("affected"))
+
+
+def queue_results(opportunities: DataFrame, results: DataFrame, now: Column, id: str = "id") -> DataFrame:
+    """Opportunities after their queue rows ended (id, product_id, error): PUBLISHED with product and time, or ERROR with one attempt more."""
+    got = results.select(F.col(id), F.col("product_id").alias("_product"), F.col("error").alias("_error"), F.lit(True).alias("_done"))
+    hit = F.coalesce("_done", F.lit(False)) & F.col("status").isin("QUEUED", "READY_TO_QUEUE", "ERROR")
+    good, bad = hit & F.col("_error").isNull(), hit & F.col("_error").isNotNull()
+    changed = {
+        "product_id": F.when(good, F.col("_product")).otherwise(F.col("product_id")),
+        "published_at": F.when(good, now).otherwise(F.col("published_at")),
+        "error_message": F.when(bad, F.substring("_error", 1, 2000)).when(~good, F.col("error_message")),
+        "attempts": F.col("attempts") + F.when(bad, 1).otherwise(0),
+        "status": F.when(good, "PUBLISHED").when(bad, "ERROR").otherwise(F.col("status")),
+    }
+    return opportunities.join(got, id, "left").withColumns(changed).select(*opportunities.columns)
+
+
+def batch_problems(items: DataFrame, existing: DataFrame, most: int = 10) -> DataFrame:
+    """Items (id, link) of a batch publication with the first reason to refuse each, null if it may go on.
+
+    Checked are the batch's size, ids and links given twice, unknown and dismissed opportunities, and links
+    that another opportunity outside the batch has.
+    """
+    link = F.lower(F.trim("link"))
+    per_id = items.groupBy("id").agg(F.count("*").alias("_ids"))
+    per_link = items.groupBy(link.alias("_link")).agg(F.count("*").alias("_links"))
+    known = existing.select("id", F.col("status").alias("_status"))
+    taken = conflicts(items.select("id", link.alias("_link")), existing.select("id", F.lower(F.trim("affiliate_link")).alias("_link")), "_link", "id").select("_link", F.lit(True).alias("_taken")).distinct()
+    rows = items.withColumn("_link", link).join(F.broadcast(items.agg(F.count("*").alias("_size")))).join(per_id, "id").join(per_link, "_link", "left").join(known, "id", "left").join(taken, "_link", "left")
+    reason = (
+        F.when(F.col("_size") > most, "too many items")
+        .when(F.coalesce("_link", F.lit("")) == "", "no link")
+        .when(F.col("_ids") > 1, "repeated item")
+        .when(F.col("_links") > 1, "repeated link")
+        .when(F.col("_status").isNull(), "not found")
+        .when(F.col("_status") == "DISMISSED", "dismissed")
+        .when(F.col("_taken"), "link in use")
+    )
+    return rows.select(*items.columns, reason.alias("problem"))
+
+
+def discover(candidates: DataFrame, existing: DataFrame, wanted: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows to add, one row of accounting) of a discovery over candidates (position, external_id, price, old_price, category).
+
+    Candidates are taken in an order fixed by the seed, a position's best discount first; those without a
+    discount and those whose external id is known, whatever its marketplace, fall out. Added rows wait for a link.
+    """
+    limit = clamp(wanted)
+    ratio = F.round((F.col("old_price") - F.col("price")) / F.col("old_price") * 100).cast("int")
+    rated = candidates.withColumn("discount", F.when(F.col("old_price") > F.col("price"), ratio)).dropDuplicates(["external_id"])
+    fresh = rated.join(existing.select("external_id").distinct().withColumn("_known", F.lit(True)), "external_id", "left")
+    good = F.coalesce(F.col("discount") > 0, F.lit(False))
+    tally = fresh.agg(F.count("*").alias("received"), F.count_if(good & F.col("_known")).alias("known"), F.count_if(~good).alias("rejected"))
+    chosen = fresh.where(good & F.col("_known").isNull()).orderBy(F.xxhash64("external_id", F.lit(seed)), "external_id").limit(limit)
+    added = chosen.drop("_known").withColumns({"status": F.lit("WAITING_AFFILIATE"), "attempts": F.lit(0)})
+    return added, tally.join(F.broadcast(added.agg(F.count("*").alias("added"))))
+
+
 def relink(status: Column, product: Column, batch: bool) -> Column:
     """Status of an existing queue row when its opportunity is queued again."""
     stale = (status == "ERROR") | (F.lit(batch) & (status == "SUCCESS") & product.isNull())

@@ -10,15 +10,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Phrases of pages that ask for proof of a human reader.
-WALL_PHRASES = ("captcha", "not a robot")
+# Marks of pages that ask for proof of a human reader: an element, a form's target, titles and phrases.
+WALL_ID, WALL_FORM = "captchacharacters", "validateCaptcha"
+WALL_TITLES = ("robot check", "verificação de robô")
+WALL_PHRASES = ("digite os caracteres que você vê abaixo", "enter the characters you see below", "api-services-support@amazon.com")
 RECORD = "url string, title string, price string, old_price string, currency string, image string, images array<string>, brand string, category string, description string, availability string, attributes array<struct<key: string, value: string>>"
 
 
 def bot_wall(html: Column) -> Column:
-    low, out = F.lower(html), F.lit(False)
-    for phrase in WALL_PHRASES:
-        out = out | F.contains(low, F.lit(phrase))
+    """Whether a page is a wall: its input element, its form, its title or a phrase of its text."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), r"\s+", " ")))
+    title = plain(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title", 1))
+    body = plain(F.regexp_replace(html, r"(?is)<head\b.*?</head\s*>", ""))
+    out = html.rlike(rf"(?is)<[a-z][^>]*\sid\s*=\s*[\"']?{WALL_ID}(?![\w-])") | html.rlike(rf"(?s)<[fF][oO][rR][mM]\b[^>]*\s[aA][cC][tT][iI][oO][nN]\s*=\s*(\"[^\"]*|'[^']*|[^\s>\"']*){WALL_FORM}")
+    for t in WALL_TITLES:
+        out = out | F.contains(title, F.lit(t))
+    for t in WALL_PHRASES:
+        out = out | F.contains(body, F.lit(t))
     return out
 
 
