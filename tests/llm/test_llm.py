@@ -382,3 +382,130 @@ def test_empty_tables(spark):
     pages = stored(spark, [], "page_id long, url string, html string")
     assert html.extract(pages).count() == 0 and warc.round_trip(pages).count() == 0
     assert toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
+
+
+def brute_tiles(a, b, least):
+    """Always the longest common run that touches no tile, the first in the text, then in the item."""
+    used_a, used_b, tiles = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                best = min(best, (-n, i, j))
+        if -best[0] < least:
+            return tiles
+        n, i, j = -best[0], best[1], best[2]
+        tiles.append((i, j, n))
+        used_a |= set(range(i, i + n))
+        used_b |= set(range(j, j + n))
+
+
+def test_greedy_tiles_equal_brute_force():
+    r = random.Random(11)
+    for _ in range(150):
+        a, b = ([r.randint(0, 2) for _ in range(r.randint(0, n))] for n in (40, 25))
+        assert decontaminate.greedy_tiles(np.array(a, dtype=U64), np.array(b, dtype=U64), 3) == brute_tiles(a, b, 3)
+
+
+def brute_digest(text: bytes) -> str:
+    counts = [0] * fingerprint.BUCKETS
+    for at in range(len(text)):
+        for k, (i, j) in enumerate(fingerprint.TRIPLETS):
+            if at >= max(i, j):
+                t = fingerprint._TABLE[k].astype(int)
+                key = (t[0][text[at]] + t[1][text[at - i]] + t[2][text[at - j]]) * 0x9E35 % 65536
+                counts[key >> 9] += 1
+    ordered = sorted(counts)
+    q = [ordered[fingerprint.BUCKETS * k // 4 - 1] for k in (1, 2, 3)]
+    codes = [sum(c > x for x in q) for c in counts]
+    packed = [codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3] for i in range(0, len(codes), 4)]
+    top = max(q[2], 1)
+    head = [min(255, round(math.log1p(len(text)) * 12)), min(15, 16 * q[0] // top) << 4 | min(15, 16 * q[1] // top)]
+    return bytes(head + packed).hex()
+
+
+def test_digests_and_likeness_equal_brute_force():
+    r = random.Random(12)
+    texts = [b"", b"a", b"ab", "Öl und é".encode(), *[bytes(r.choice(b"abcdefgh ") for _ in range(r.randint(3, 400))) for _ in range(20)]]
+    texts.append(texts[-1][:-3] + b"xyz")
+    made = fingerprint.digests(texts)
+    assert made == [brute_digest(t) for t in texts]
+
+    def code(d, k):
+        return [int(d[4:], 16) >> 2 * (fingerprint.BUCKETS - 1 - k) & 3, int(d[:2], 16), int(d[2], 16), int(d[3], 16)]
+
+    for a, b in zip(made, made[1:] + made[:1], strict=True):
+        steps = sum((0, 1, 2, 6)[abs(code(a, k)[0] - code(b, k)[0])] for k in range(fingerprint.BUCKETS))
+        (_, la, a1, a2), (_, lb, b1, b2) = code(a, 0), code(b, 0)
+        cost = steps + min(24, max(0, abs(la - lb) - 1)) + (abs(a1 - b1) + abs(a2 - b2)) // 2
+        assert fingerprint.likeness([a], [b])[0] == pytest.approx(min(1, max(0, 1 - cost / (1.75 * fingerprint.BUCKETS))))
+    assert fingerprint.likeness(made[-2:-1], made[-1:])[0] > 0.8
+
+
+def test_token_ids_of_any_text_equal_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, tokens = Tokenizer.from_file(path), packing.WordTokens(path)
+    assert tokens.by_word
+    r = random.Random(13)
+    parts = ["İ", "i\u0307", "a", "B", "é", "e\u0301", "\u0301", "ß", "Σ", "ς", "\u0958", "\u093c", "1", "½", "ª", ".", ",", "!", "?;", "'s", "'LL", "-", "<|endoftext|>", "<|startoftext|>", "<|", " ", "\t", "\n", "\xa0", "\u2003", "\x1c", "\x85", "\u200b", "word", "Haus", "été", "中文", "\uac00", "🙂", "ſ", "\u212a", "\x00"]
+    for _ in range(20_000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 9)))
+        assert np.frombuffer(tokens(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_wastes_little(spark):
+    import public_tokenizers
+
+    r = random.Random(14)
+    docs = stored(spark, [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(5, 400)))) for i in range(400)], "doc_id long, text string")
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048).collect()
+    assert len({x.sequence_id for x in rows}) <= 1.02 * math.ceil(sum(x.length for x in rows) / 2048) + 1
+
+
+def test_names_and_recurrence_keep_article_text(spark):
+    page = '<article><div class="post-header"><h1>Title</h1></div><section id="related-work">Work</section><p class="social">Social</p><div class="notice-period">Notice</div><p>plain</p><div class="ad-slot">advert</div><div class="comments">c</div></article>'
+    assert html.main_text(html.parse(page)) == "Title Work Social Notice plain"
+    words = [" ".join(random.Random(k).choice(WORDS) for k in range(100 * n, 100 * n + 60)) for n in range(6)]
+    copies = [(i, "http://a.com/", f"<article><h1>{'About ' + WORDS[i]}</h1>" + "".join(f"<p>{w}</p>" for w in words) + f"<p>own {WORDS[i]} end</p></article>") for i in range(60)]
+    rows = html.extract(stored(spark, copies, "page_id long, url string, main_text string").withColumnRenamed("main_text", "html").withColumn("_host", F.lit("x")).withColumn("removed", F.lit(1)))
+    got = {x.page_id: x.main_text for x in rows.collect()}
+    assert all(got[i] == " ".join([f"About {WORDS[i]}", *words, f"own {WORDS[i]} end"]) for i in range(60))
+    assert rows.columns == ["page_id", "url", "_host", "main_text", "removed"]
+
+
+def test_pipeline_judges_rows_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(15)
+    item = " ".join(f"q{k}" for k in range(30))
+    text = lambda: " ".join(r.choice(WORDS) for _ in range(60))
+    same = text()
+    rows = [(1, same, "a"), (None, same, "b"), (None, text() + " " + item, "c"), (3, text(), "d"), (None, text(), "e"), (4, None, "f"), (None, None, "g")]
+    docs = stored(spark, rows, "doc_id long, text string, kept string").withColumn("spans", F.lit(1))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    alone = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(x.kept for x in alone.collect()) == ["a", "c", "d", "e", "f", "g"] and alone.columns == docs.columns
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(x.kept for x in clean.collect()) == ["a", "b", "d", "e", "f", "g"] and clean.columns == docs.columns
+    cut = corpus_pipeline.cut_repeats(spark, save(docs, "docs"), str(tmp_path))
+    assert {x.kept: x.text for x in cut.collect()}["d"] == rows[3][1] and cut.columns == docs.columns
+    assert {x.kept for x in cut.where("text = ''").collect()} == {"a", "b"}
+
+
+def test_pipeline_runs_end_to_end(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    rows = corpus_pipeline.run(spark, sf).collect()
+    ids = {x.doc_id for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert len(rows) > 50 and {x.doc_id for x in rows} <= ids
+    used = Counter()
+    for x in rows:
+        used[x.sequence_id] += x.length
+    assert max(used.values()) <= 2048

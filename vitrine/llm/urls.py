@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
+#: Tasks that the fit deals its rows to.
 FIT_TASKS = 4
 #: The labelled table: words of unwanted and of ordinary sites, and words that go before or after either; names are made by rule.
 UNWANTED = tuple(
@@ -112,7 +113,7 @@ def labelled_urls(spark: SparkSession, names: list[tuple[str, str, float]] | Non
 def fit(labelled: DataFrame, penalty: float = 0.00001) -> PipelineModel:
     """Logistic regression on the hashed n-grams of a small labelled table (url, blocked); both classes weigh the same."""
     shares = F.broadcast(labelled.groupBy("blocked").agg((F.lit(1.0) / F.count("*")).alias("weight")))
-    rows = labelled.join(shares, "blocked").select(F.col("blocked").alias("label"), "weight", grams(host_of(F.col("url")), path_of(F.col("url"))).alias("__grams")).repartition(FIT_TASKS).cache()
+    rows = labelled.join(shares, "blocked").repartition(FIT_TASKS).select(F.col("blocked").alias("label"), "weight", grams(host_of(F.col("url")), path_of(F.col("url"))).alias("__grams")).cache()
     hashed = HashingTF(numFeatures=BUCKETS, binary=True, inputCol="__grams", outputCol="__features")
     regression = LogisticRegression(featuresCol="__features", labelCol="label", weightCol="weight", regParam=penalty, standardization=False, maxIter=25, probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction")
     model = Pipeline(stages=[hashed, regression]).fit(rows)
