@@ -89,7 +89,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["save_products", "save_offers", "save_history", "price_drift_log", "bot_wall_filter", "marketplace_of_links", "batch_publish_problems", "opportunity_results"])
+@pytest.mark.parametrize("name", ["save_products", "save_offers", "save_history", "price_drift_log", "bot_wall_filter", "marketplace_of_links", "batch_publish_problems", "opportunity_results", "text_cases", "url_cases", "value_cases", "times_and_expiry", "product_detail_link", "link_destinations"])
 def test_flow_equals_its_sql(spark, name):
     test_query_equals_its_sql(spark, name)
 
@@ -108,3 +108,10 @@ def test_records_of_one_new_product_meet(spark):
     assert [(p.name, p.category, p.publication_status, p.store) for p in made] == [("first", "Ofertas", "LIVE_PARTIAL", "Amazon")]
     assert sorted((o.marketplace, o.is_best, o.status) for o in got["offers"].collect()) == [("AMAZON", False, "PENDING_AFFILIATE"), ("SHOPEE", True, "PENDING_AFFILIATE")]
     assert got["history"].count() == 2 and sorted(r.error for r in got["refused"].collect()) == ["no external id", "no valid price"]
+
+
+def test_first_row_or_error(spark):
+    df = spark.createDataFrame([(2, "b"), (1, "a")], "id int, name string")
+    assert query.first_row(df, [("id", "asc")]) == {"id": 1, "name": "a"} and query.first_row(df.where("id > 5")) is None
+    with pytest.raises(LookupError, match="no such row"):
+        query.first_row(df.where("id > 5"), missing="no such row")

@@ -54,8 +54,8 @@ def plain(text: Column) -> Column:
 
 
 def key_of(text: Column) -> Column:
-    """Cleaned label without the colons at its end."""
-    return F.regexp_replace(clean(text), ":+$", "")
+    """Cleaned label without the colons at its end, trimmed."""
+    return F.trim(F.regexp_replace(clean(text), ":+$", ""))
 
 
 def identifier(text: Column) -> Column:

@@ -106,3 +106,10 @@ def image(url: Column) -> Column:
 
 def https(url: Column) -> Column:
     return F.when(F.startswith(url, F.lit("//")), F.concat(F.lit("https:"), url)).otherwise(F.regexp_replace(url, "^http://", "https://"))
+
+
+def item_id(url: Column) -> Column:
+    """Item code of wid or item_id in the query, else of the path /MLB-123; such links are known, but not imported."""
+    decoded = F.coalesce(F.try_url_decode(url), url)
+    found = [F.nullif(F.regexp_extract(decoded, p, 1), F.lit("")) for p in (r"(?i)[?&#](?:wid|item_id)=(MLB-?\d+)", r"(?i)/(MLB-?\d+)(?:[-/?#]|$)")]
+    return F.upper(F.regexp_replace(F.coalesce(*found), "-", ""))

@@ -91,3 +91,23 @@ def numbered(rows: DataFrame, key: str, name: str = "_number") -> DataFrame:
     starts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     joined = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
     return joined.select(*rows.columns, (F.col(name).bitwiseAND((1 << 33) - 1) + F.col("_start")).alias(name))
+
+
+def first_row(df: DataFrame, order: list[tuple[str, str]] | None = None, missing: str | None = None) -> dict | None:
+    """The first row in order as a dict; without any, null or, where `missing` is given, a LookupError of that text."""
+    got = (df.orderBy(*ordering(order)) if order else df).limit(1).collect()
+    if not got and missing is not None:
+        raise LookupError(missing)
+    return got[0].asDict(recursive=True) if got else None
+
+
+def lacking(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The wanted keys, each once, that the table doesn't have."""
+    return wanted.select(key).distinct().join(table.select(key), key, "left_anti")
+
+
+def order_by_related(parents: DataFrame, children: DataFrame, on: tuple[str, str], measure: Column, descending: bool = True, take: int | None = None) -> DataFrame:
+    """Parents by an aggregate of their children (`related`), those without children last, ties by key."""
+    seen = children.groupBy(F.col(on[1]).alias(on[0])).agg(measure.alias("related"))
+    out = parents.join(seen, on[0], "left").orderBy(F.desc_nulls_last("related") if descending else F.asc_nulls_last("related"), on[0])
+    return out if take is None else out.limit(take)

@@ -83,6 +83,21 @@ def every(parents: DataFrame, children: DataFrame, on: tuple[str, str], test: Co
     return _related(parents, children.where(~F.coalesce(test, F.lit(False))), on, "left_anti")
 
 
+def is_(parents: DataFrame, other: DataFrame, on: tuple[str, str], test: Column) -> DataFrame:
+    """Rows whose one related row meets the test."""
+    return _related(parents, other.where(test), on, "left_semi")
+
+
+def is_not(parents: DataFrame, other: DataFrame, on: tuple[str, str], test: Column) -> DataFrame:
+    """Rows whose one related row doesn't meet the test, or that have none."""
+    return _related(parents, other.where(test), on, "left_anti")
+
+
+def null_or_not_in(column: Column, values: list) -> Column:
+    """Null, or none of the values: keeps what a plain NOT IN drops."""
+    return column.isNull() | ~column.isin(values)
+
+
 def _related(parents: DataFrame, children: DataFrame, on: tuple[str, str], how: str) -> DataFrame:
     keys = children.select(F.col(on[1]).alias("_key"))
     return parents.join(keys, parents[on[0]] == keys["_key"], how)

@@ -133,3 +133,9 @@ def pasted_links(texts: DataFrame, column: str) -> DataFrame:
     """(position, url): the non-blank lines of pasted texts, each once, where it stood first."""
     lines = texts.select(F.posexplode(F.split(column, r"\r?\n")).alias("position", "url")).withColumn("url", F.trim("url")).where("url <> ''")
     return lines.groupBy("url").agg(F.min("position").alias("position"))
+
+
+def destinations(rows: DataFrame, redirects: DataFrame, domains, link: str = "url") -> DataFrame:
+    """Rows with destination_ok: whether the landed final address of the link is on a domain; unknown ones pass."""
+    known = redirects.groupBy(F.col("url").alias(link)).agg(F.min("final_url").alias("_final"))
+    return rows.join(known, link, "left").withColumn("destination_ok", F.col("_final").isNull() | url.on_any(url.host(F.col("_final")), domains)).drop("_final")
