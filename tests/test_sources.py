@@ -1,7 +1,7 @@
 import json
 from datetime import datetime
 
-from vitrine.sources import landed, pages, registry
+from vitrine.sources import gallery, landed, pages, registry
 from vitrine.streaming import queue as stream
 
 PAGE = """<html><head><title>Lamp | Shop</title><script type="application/ld+json">{"@graph": [{"@type": ["Product"], "name": "Lamp",
@@ -56,3 +56,18 @@ def test_price_changes_stream(spark, tmp_path):
     out = stream.price_changes(stream_in).writeStream.format("memory").queryName("kept_prices").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     out.awaitTermination(120)
     assert sorted(r.price for r in spark.table("kept_prices").collect()) == [10.0, 10.012, 11.0]
+
+
+def test_galleries_take_the_list_that_holds_the_main_picture(spark):
+    code = "0123456789abcdef"
+    rows = spark.createDataFrame([(1, "u", code), (2, "v", code), (3, "w", "no"), (4, None, None)], "id int, url string, image string")
+    html = r'{"images":["ffffffffffffffff"],"imageList":["' + code + r'","https:\/\/cf.shopee.com.br\/file\/eeeeeeeeeeeeeeee?x"]}'
+    got = {r.id: r.images for r in gallery.with_gallery(rows, spark.createDataFrame([("u", html), ("u", html), (None, html)], "url string, html string")).collect()}
+    assert got == {1: [gallery.HOST + code, gallery.HOST + "e" * 16], 2: [gallery.HOST + code], 3: [], 4: []}
+
+
+def test_page_prices_skip_struck_amounts_and_bad_markup():
+    struck = '<div id="apex_desktop"><span class="a-price a-text-price"><b class="a-offscreen">R$ 9,00</b></span></div><p id="kindle-price">R$ 0,00</p><p id="priceblock_ourprice">R$ 7,00'
+    got = pages.page_record("u", struck)
+    assert (got["price"], got["old_price"], got["images"], got["code"]) == ("R$ 7,00", "R$ 9,00", [], None)
+    assert pages.page_record("u", None)["attributes"] == []

@@ -11,6 +11,9 @@ from vitrine.functions.attrs import union_distinct
 #: Schemas of the landed files; a reader given them never infers.
 CATALOG_PRODUCT = "id string, name string, family_name string, status string, url string, pictures array<struct<id: string, url: string, secure_url: string>>, attributes array<struct<id: string, name: string, value_name: string, value_struct: struct<number: double, unit: string>>>, buy_box_winner struct<item_id: string>"
 CATALOG_OFFERS = "product_id string, results array<struct<item_id: string, price: double, original_price: double, category_id: string, seller_id: bigint, available_quantity: int, sold_quantity: int, condition: string, warranty: string, status: string>>"
+ITEM_DESCRIPTION = "item_id string, plain_text string"
+ITEM_REVIEWS = "item_id string, rating_average double, paging struct<total: bigint>"
+CATEGORIES = "id string, name string"
 AFFILIATE_OFFER = "itemId bigint, shopId bigint, productName string, shopName string, price string, priceMin string, imageUrl string, productLink string, offerLink string, ratingStar string, sales int, priceDiscountRate double"
 
 #: Columns of the canonical import record.
@@ -103,7 +106,7 @@ def page_records(products: DataFrame) -> DataFrame:
     price, old = money.parse_number(F.col("price")), money.parse_number(F.col("old_price"))
     out = products.select(
         F.lit("AMAZON").alias("marketplace"),
-        url.asin(F.col("url")).alias("external_id"),
+        F.coalesce(url.asin(F.col("url")), url.asin(F.col("canonical")), url.asin(F.col("shared_url")), F.col("code")).alias("external_id"),
         F.col("url"),
         F.lit(None).cast("string").alias("affiliate_link"),
         text.blank_to_null(F.col("title")).alias("title"),
@@ -116,7 +119,7 @@ def page_records(products: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("rating"),
         F.lit(None).cast("int").alias("sales"),
         stock(F.col("availability")).alias("stock"),
-        F.lit(None).cast("string").alias("seller"),
+        text.blank_to_null(F.col("seller")).alias("seller"),
         F.col("attributes"),
     )
     error = _problem((F.col("title").isNull(), "no title"), (F.col("price").isNull() | (F.col("price") <= 0), "no price"), (F.col("image").isNull(), "no image"), (F.col("external_id").isNull(), "no product code"))
@@ -139,3 +142,38 @@ def destinations(rows: DataFrame, redirects: DataFrame, domains, link: str = "ur
     """Rows with destination_ok: whether the landed final address of the link is on a domain; unknown ones pass."""
     known = redirects.groupBy(F.col("url").alias(link)).agg(F.min("final_url").alias("_final"))
     return rows.join(known, link, "left").withColumn("destination_ok", F.col("_final").isNull() | url.on_any(url.host(F.col("_final")), domains)).drop("_final")
+
+
+def condition_and_warranty(attributes: Column, condition: Column, warranty: Column) -> Column:
+    """Attributes with the condition and the warranty after them; of keys that come twice the last value counts."""
+    named = F.array(F.struct(F.lit("Condição").alias("key"), F.when(condition == "new", "Novo").otherwise(condition).alias("value")), F.struct(F.lit("Garantia").alias("key"), warranty.alias("value")))
+    listed = F.filter(F.concat(attributes, named), lambda p: text.blank_to_null(p["value"]).isNotNull())
+    later = lambda p, i: F.exists(F.slice(listed, i + 2, F.size(listed)), lambda q: q["key"] == p["key"])
+    return F.filter(listed, lambda p, i: ~later(p, i))
+
+
+def with_details(items: DataFrame, descriptions: DataFrame, reviews: DataFrame, categories: DataFrame) -> DataFrame:
+    """Items (item_id, category_id, ...) with description, rating, n_reviews and category where they were landed, else null."""
+    told = descriptions.groupBy("item_id").agg(F.min("plain_text").alias("description"))
+    rated = reviews.groupBy("item_id").agg(F.max_by(F.struct(F.col("rating_average").alias("rating"), F.col("paging.total").alias("n_reviews")), F.col("paging.total")).alias("_rated"))
+    kinds = category_list(categories).withColumnsRenamed({"id": "category_id", "name": "category"})
+    out = items.join(told, "item_id", "left").join(rated, "item_id", "left").join(kinds, "category_id", "left")
+    return out.select(*items.columns, "description", "_rated.rating", "_rated.n_reviews", "category")
+
+
+def category_list(categories: DataFrame) -> DataFrame:
+    """(id, name): categories that have both, each id once, names trimmed."""
+    rows = categories.where("id is not null and name is not null")
+    return rows.groupBy("id").agg(F.min(F.trim("name")).alias("name"))
+
+
+def exact_offers(responses: DataFrame) -> DataFrame:
+    """Of each response (shop, item, nodes: array of AFFILIATE_OFFER) the node of that shop and item, or the reason why there is none in error."""
+    node = F.get(F.filter("nodes", lambda n: (n["shopId"].cast("string") == F.col("shop")) & (n["itemId"].cast("string") == F.col("item"))), F.lit(0))
+    error = _problem((F.col("node").isNull(), "not in the affiliate programme"), (text.blank_to_null(F.col("node.offerLink")).isNull(), "no affiliate link"))
+    return responses.withColumn("node", node).select("shop", "item", "node", error.alias("error"))
+
+
+def signature(app: Column, at: Column, payload: Column, secret: Column) -> Column:
+    """SHA-256 of the parts of a signed request, end to end."""
+    return F.sha2(F.concat(app, at.cast("string"), payload, secret), 256)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WALL_ID, WALL_FORM = "captchacharacters", "validateCaptcha"
 WALL_TITLES = ("robot check", "verificação de robô")
 WALL_PHRASES = ("digite os caracteres que você vê abaixo", "enter the characters you see below", "api-services-support@amazon.com")
-RECORD = "url string, title string, price string, old_price string, currency string, image string, images array<string>, brand string, category string, description string, availability string, attributes array<struct<key: string, value: string>>"
+RECORD = "url string, title string, price string, old_price string, currency string, image string, images array<string>, brand string, category string, description string, availability string, seller string, canonical string, shared_url string, code string, attributes array<struct<key: string, value: string>>"
 
 
 def bot_wall(html: Column) -> Column:
@@ -30,34 +30,77 @@ def bot_wall(html: Column) -> Column:
     return out
 
 
+# Places of the paid price and of the former one, first wins; (container, class around, class that must not be around).
+PRICE_BOXES = ("corePrice_feature_div", "corePriceDisplay_desktop_feature_div", "apex_desktop")
+PRICES = (*[(box, "a-price", "a-text-price") for box in PRICE_BOXES], ("tp_price_block_total_price_ww", None, None), (None, "priceToPay", None))
+OLD_PRICES = (*[(box, "a-text-price", None) for box in PRICE_BOXES], (None, "basisPrice", None))
+PRICE_IDS = ("price_inside_buybox", "priceblock_dealprice", "priceblock_ourprice", "kindle-price")
+OLD_PRICE_IDS = ("priceblock_listprice", "listPrice")
+CRUMBS, BULLETS, CODE_HOLDERS = "wayfinding-breadcrumbs_container", "detailBullets_feature_div", ("dp-container", "ppd")
+LONGEST_KEY, LONGEST_VALUE = 150, 1500
+_VOID = ("meta", "link", "img", "br", "input", "hr")
+
+
 class _Page(HTMLParser):
-    """Collects title, meta and link values, JSON-LD blocks, table rows, breadcrumbs and marked texts of a page."""
+    """Collects title, meta and link values, JSON-LD blocks, table rows, bullets, breadcrumbs, pictures, prices and codes of a page."""
 
     def __init__(self):
         super().__init__()
         self.title, self.meta, self.scripts, self.rows, self.crumbs, self.marked = "", {}, [], [], [], {}
-        self._open: list[tuple[str, str]] = []
+        self.pictures: dict[str, list[str]] = {"main": [], "block": [], "dynamic": [], "small": []}
+        self.prices: list[tuple[int, str]] = []
+        self.old_prices: list[tuple[int, str]] = []
+        self.codes: dict[str, str] = {}
+        self._open: list[tuple[str, str, str, frozenset]] = []
         self._cells: list[str] = []
+        self._bullet: tuple[list[str], list[str]] | None = None
+
+    def _within(self, id: str) -> bool:
+        return any(o[2] == id for o in self._open)
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
+        id, classes = a.get("id", ""), frozenset(a.get("class", "").split())
         if tag == "meta" and (name := a.get("property") or a.get("name")):
             self.meta.setdefault(name.lower(), a.get("content", ""))
         elif tag == "link" and a.get("rel") == "canonical":
             self.meta.setdefault("canonical", a.get("href", ""))
-        elif tag == "img" and a.get("src"):
-            self.marked.setdefault("img", []).append(a["src"])
+        elif tag == "img":
+            self._picture(id, a)
+        elif tag == "input" and (id == "ASIN" or a.get("name") in ("ASIN", "asin")):
+            self.codes.setdefault("id" if id == "ASIN" else a["name"], a.get("value", ""))
+        if "data-asin" in a and (id in CODE_HOLDERS or tag == "body"):
+            self.codes.setdefault(id if id in CODE_HOLDERS else "body", a["data-asin"])
         if tag == "tr":
             self._cells = []
-        if tag not in ("meta", "link", "img", "br", "input", "hr"):
-            kind = "ld" if tag == "script" and a.get("type") == "application/ld+json" else a.get("id") or a.get("itemprop") or ("crumb" if "breadcrumb" in a.get("class", "") else "")
-            self._open.append((tag, kind))
-            if kind == "ld":
+        if tag == "li" and self._within(BULLETS):
+            self._bullet = ([], [])
+        if tag not in _VOID:
+            ld = tag == "script" and a.get("type") == "application/ld+json"
+            kind = "ld" if ld else "crumb" if id == CRUMBS else id or a.get("itemprop") or ("crumb" if "breadcrumb" in a.get("class", "") else "")
+            self._open.append((tag, kind, id, classes))
+            if ld:
                 self.scripts.append("")
 
+    def _picture(self, id: str, a: dict) -> None:
+        place = {"landingImage": "main", "imgBlkFront": "block"}.get(id) or ("small" if self._within("altImages") else None)
+        if place:
+            self.pictures[place] += [a[k] for k in ("data-old-hires", "src") if a.get(k)]
+        if id == "landingImage":
+            try:
+                told = json.loads(a.get("data-a-dynamic-image") or "{}")
+            except ValueError:
+                told = {}
+            self.pictures["dynamic"] += list(told) if isinstance(told, dict) else []
+
     def handle_endtag(self, tag):
         if tag == "tr" and len(self._cells) > 1:
-            self.rows.append((self._cells[0].strip(), self._cells[1].strip()))
+            self.rows.append((self._cells[0].strip(), self._cells[-1].strip()))
+        if tag == "li" and self._bullet:
+            key, whole = (" ".join("".join(part).split()) for part in self._bullet)
+            if key:
+                self.rows.append((key, whole[whole.find(key) + len(key) :].lstrip(": ")))
+            self._bullet = None
         for k in range(len(self._open) - 1, -1, -1):
             if self._open[k][0] == tag:
                 del self._open[k:]
@@ -66,18 +109,41 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         if not self._open:
             return
-        tag, kind = self._open[-1]
+        tag, kind = self._open[-1][:2]
         if kind == "ld":
             self.scripts[-1] += data
         elif tag == "title":
             self.title += data
         elif tag in ("th", "td"):
             self._cells.append(data)
-        for _, name in self._open:
-            if name == "crumb" and data.strip():
+        if self._bullet is not None:
+            self._bullet[1].append(data)
+            if any("a-text-bold" in o[3] for o in self._open):
+                self._bullet[0].append(data)
+        self._price(data)
+        linked = any(o[0] == "a" for o in self._open)
+        for _, name, id, _ in self._open:
+            if name == "crumb" and data.strip() and (linked or id != CRUMBS):
                 self.crumbs.append(data.strip())
-            elif name and name != "ld":
-                self.marked[name] = self.marked.get(name, "") + data if isinstance(self.marked.get(name, ""), str) else self.marked[name]
+            elif name and name not in ("ld", "crumb"):
+                self.marked[name] = self.marked.get(name, "") + data
+
+    def _price(self, data: str) -> None:
+        """Keep a text that names an amount with the rank of its place."""
+        if not re.search("[1-9]", data):
+            return
+        ids, classes = {o[2] for o in self._open}, frozenset().union(*[o[3] for o in self._open])
+        for found, places, last in ((self.prices, PRICES, PRICE_IDS), (self.old_prices, OLD_PRICES, OLD_PRICE_IDS)):
+            hidden = [k for k, (box, around, never) in enumerate(places) if "a-offscreen" in classes and (box is None or box in ids) and (around is None or around in classes) and never not in classes]
+            found += [(k, data.strip()) for k in hidden] + [(len(places) + k, data.strip()) for k, id in enumerate(last) if id in ids]
+
+
+def seller_of(direct: str | None, told: str | None) -> str | None:
+    """Name of the seller's own element, else who sells by the sentence about it."""
+    if direct:
+        return direct
+    said = re.search(r"(?i)vendid[oa]\s+por\s+(.+?)(?:\s+e\s+enviad[oa]|\.$|$)", told or "")
+    return said.group(1).strip() or None if said else None
 
 
 def product_ld(value):
@@ -112,16 +178,20 @@ def page_record(url: str, html: str) -> dict:
     ld = found or {}
     offer = ld.get("offers") or {}
     offer = offer[0] if isinstance(offer, list) and offer else offer if isinstance(offer, dict) else {}
-    images = ld.get("image") or page.meta.get("og:image") or []
-    images = [_text(i) for i in (images if isinstance(images, list) else [images])] + page.marked.get("img", [])
-    marked = lambda *names: next((page.marked[n].strip() for n in names if isinstance(page.marked.get(n), str) and page.marked[n].strip()), None)
+    pictures = ld.get("image") or []
+    pictures = [_text(i) for i in (pictures if isinstance(pictures, list) else [pictures])]
+    images = [*page.pictures["main"], *page.pictures["block"], page.meta.get("og:image"), *page.pictures["dynamic"], *page.pictures["small"], *pictures]
+    marked = lambda *names: next((" ".join(page.marked[n].split()) for n in names if page.marked.get(n, "").strip()), None)
     title = marked("productTitle") or _text(ld.get("name")) or re.sub(r"\s*[|:-]\s*[^|:-]*$", "", page.title).strip() or None
-    attributes = list(dict.fromkeys((k[:150].rstrip(": "), v[:1500]) for k, v in page.rows if k and v))
+    first = lambda ranked: min(ranked, key=lambda p: p[0])[1] if ranked else None
+    codes = [page.codes.get(k) for k in ("id", "ASIN", "asin")] + [_text(ld.get("sku"))] + [page.codes.get(k) for k in (*CODE_HOLDERS, "body")]
+    cleaned = ((k.rstrip(": "), v[:LONGEST_VALUE]) for k, v in page.rows)
+    attributes = {k: v for k, v in cleaned if k and v and len(k) <= LONGEST_KEY}
     return {
         "url": url,
         "title": title,
-        "price": marked("price", "priceblock_ourprice") or _text(offer.get("price") or offer.get("lowPrice")),
-        "old_price": marked("listPrice") or _text(offer.get("highPrice")),
+        "price": first(page.prices) or marked("price") or _text(offer.get("price") or offer.get("lowPrice")),
+        "old_price": first(page.old_prices) or _text(offer.get("highPrice")),
         "currency": _text(offer.get("priceCurrency")),
         "image": next((i for i in images if i), None),
         "images": list(dict.fromkeys(i for i in images if i)),
@@ -129,7 +199,11 @@ def page_record(url: str, html: str) -> dict:
         "category": page.crumbs[-1] if page.crumbs else None,
         "description": _text(ld.get("description")) or page.meta.get("description"),
         "availability": marked("availability") or _text(offer.get("availability")),
-        "attributes": [{"key": k, "value": v} for k, v in attributes],
+        "seller": seller_of(marked("sellerProfileTriggerId"), marked("merchant-info")),
+        "canonical": page.meta.get("canonical"),
+        "shared_url": page.meta.get("og:url"),
+        "code": next((c.strip().upper() for c in codes if c and re.fullmatch("[A-Za-z0-9]{10}", c.strip())), None),
+        "attributes": [{"key": k, "value": v} for k, v in attributes.items()],
     }
 
 
