@@ -247,8 +247,8 @@ def duplicate_links(spark, d):
 
 @named("SELECT (SELECT count(*) FROM orders) AS received, count(DISTINCT o_custkey) AS added, (SELECT count(*) FROM orders) - count(DISTINCT o_custkey) AS ignored FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def insert_accounting(spark, d):
-    table = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return merge.insert_new(table, table(spark, d, "orders"), ["o_custkey"])[1].select("received", "added", "ignored")
+    stored = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return merge.insert_new(stored, table(spark, d, "orders"), ["o_custkey"])[1].select("received", "added", "ignored")
 
 
 # Offers
@@ -396,8 +396,8 @@ def url_normalize(spark, d):
 
 @named("SELECT page_id, CASE WHEN h='example.com' OR ends_with(h,'.example.com') THEN 'COM' WHEN h='example.net' OR ends_with(h,'.example.net') THEN 'NET' END AS marketplace FROM (SELECT page_id, regexp_extract(url,'^https?://([^/?#:]+)',1) AS h FROM pages)")
 def marketplace_detect(spark, d):
-    table = (("COM", ("example.com",)), ("NET", ("example.net",)))
-    return table(spark, d, "pages").select("page_id", url.marketplace(F.col("url"), table).alias("marketplace"))
+    domains = (("COM", ("example.com",)), ("NET", ("example.net",)))
+    return table(spark, d, "pages").select("page_id", url.marketplace(F.col("url"), domains).alias("marketplace"))
 
 
 @named(
