@@ -13,6 +13,7 @@ from vitrine.llm.fingerprint import with_next
 from vitrine.llm.html import RULES, extract
 from vitrine.llm.minhash import near_duplicates
 from vitrine.llm.packing import pack
+from vitrine.llm.periodic import periodic_runs
 from vitrine.llm.suffix import remove_repeats
 
 
@@ -96,8 +97,43 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=0)
 
 
+def with_repetitions(docs: DataFrame) -> DataFrame:
+    """The documents of which every tenth is made to repeat: with h = crc32(doc_id), g = floor(h / 10) and h % 10 = 0, word i from
+    a = g % n on becomes word a + (i - a) % p, p = 1 + floor((n - a) / (3 + g % 8))."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = g % n
+        p = F.floor((n - a) / (3 + g % 8)) + 1
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    bound = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise("")), F.lit(0))  # the words are made once
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), bound).otherwise(F.col("text")))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, the longest one, and digests of all runs and of the text without them."""
+    docs = with_repetitions(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs(docs).withColumn("best", F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"], r["period"]))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length, period = -F.col("best.less"), F.col("best.period")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_language_model, op4_html, op5_warc, op6_toxicity, op7_decontaminate, op8_urls, op9_suffix, op10_packing)}
+    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_language_model, op4_html, op5_warc, op6_toxicity, op7_decontaminate, op8_urls, op9_suffix, op10_packing, op11_periodic)}
 
 
 _OP1_SQL = """WITH RECURSIVE w AS (
