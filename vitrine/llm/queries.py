@@ -12,6 +12,7 @@ from vitrine.llm.decontaminate import overlaps
 from vitrine.llm.fingerprint import with_next
 from vitrine.llm.html import RULES, extract
 from vitrine.llm.minhash import near_duplicates
+from vitrine.llm.negatives import hard_negatives
 from vitrine.llm.packing import pack
 from vitrine.llm.periodic import periodic_runs
 from vitrine.llm.suffix import remove_repeats
@@ -132,8 +133,14 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its five best positives."""
+    rows = _read(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_language_model, op4_html, op5_warc, op6_toxicity, op7_decontaminate, op8_urls, op9_suffix, op10_packing, op11_periodic)}
+    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_language_model, op4_html, op5_warc, op6_toxicity, op7_decontaminate, op8_urls, op9_suffix, op10_packing, op11_periodic, op12_hard_negatives)}
 
 
 _OP1_SQL = """WITH RECURSIVE w AS (
@@ -147,5 +154,14 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id
 FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = s.doc_id"""
 
 
+_OP12_SQL = """WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, a.label AS al, e.vec_id AS id, e.label, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, id, score FROM s WHERE label = al QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5)
+SELECT p.a AS anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a WHERE s.label <> s.al AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.id ORDER BY s.score DESC, s.id) <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": _OP1_SQL}
+    return {"op1_minhash": _OP1_SQL, "op12_hard_negatives": _OP12_SQL}
