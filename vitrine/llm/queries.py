@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import language_model, toxicity, urls, warc
+from vitrine.llm import language_model, licenses, toxicity, urls, warc
 from vitrine.llm.decontaminate import overlaps
 from vitrine.llm.fingerprint import with_next
 from vitrine.llm.html import RULES, extract
@@ -139,8 +139,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    found = licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+    labels = F.array_union("base", F.transform("found", lambda x: x["label"]))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(F.array_sort(labels), ",").alias("labels"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_language_model, op4_html, op5_warc, op6_toxicity, op7_decontaminate, op8_urls, op9_suffix, op10_packing, op11_periodic, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_language_model, op4_html, op5_warc, op6_toxicity, op7_decontaminate, op8_urls, op9_suffix, op10_packing, op11_periodic, op12_hard_negatives, op13_licenses)}
 
 
 _OP1_SQL = """WITH RECURSIVE w AS (
@@ -164,4 +171,4 @@ QUALIFY row_number() OVER (PARTITION BY p.a, p.id ORDER BY s.score DESC, s.id) <
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": _OP1_SQL, "op12_hard_negatives": _OP12_SQL}
+    return {"op1_minhash": _OP1_SQL, "op12_hard_negatives": _OP12_SQL, "op13_licenses": licenses.sql()}
