@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.money import TOLERANCE
@@ -17,10 +17,10 @@ def best_offers(offers: DataFrame, product: str = "product_id", price: str = "pr
 
 
 def flag_best(offers: DataFrame, product: str = "product_id", price: str = "price", id: str = "id") -> DataFrame:
-    """All offers with is_best recomputed."""
-    good = F.col("active") & F.col("available") & ~F.col("status").isin("UNAVAILABLE", "ERROR")
-    order = (F.desc("active"), F.desc(good), F.col(price), F.col(id))
-    return offers.withColumn("is_best", (F.row_number().over(Window.partitionBy(product).orderBy(*order)) == 1) & F.col("active"))
+    """All offers with is_best recomputed: the least by availability, price and id of each product, by partial aggregates."""
+    good = F.coalesce(F.col("available") & ~F.col("status").isin("UNAVAILABLE", "ERROR"), F.lit(False))
+    best = offers.where("active").groupBy(product).agg(F.min_by(id, F.struct(~good, F.col(price), F.col(id))).alias("_best"))
+    return offers.join(best, product, "left").withColumn("is_best", F.coalesce(F.col(id) == F.col("_best"), F.lit(False))).select(*[c for c in offers.columns if c != "is_best"], "is_best")
 
 
 def publication_status(offers: DataFrame, product: str = "product_id") -> DataFrame:
@@ -46,7 +46,8 @@ def price_log(observations: DataFrame, keys: list[str], at: str, price: str, tol
 
     The fold compares with what was kept, so a slow drift is logged once it exceeds the tolerance.
     """
-    rows = observations.select(*keys, F.col(at).cast("timestamp_ntz").alias(at), F.col(price).cast("double").alias(price))
+    moment = F.col(at) if dict(observations.dtypes)[at] in ("int", "bigint") else F.col(at).cast("timestamp_ntz")
+    rows = observations.select(*keys, moment.alias(at), F.col(price).cast("double").alias(price))
     schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
     return rows.repartition(*keys).sortWithinPartitions(*keys, at, price).mapInArrow(_kept(len(keys), tolerance), schema)
 

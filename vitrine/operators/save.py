@@ -1,24 +1,38 @@
 """Saving import records into the catalog: resolution, merge gates, offer upsert, price history and publication as one plan.
 
-The records of a batch count in the order of `seq`: what a first record writes, later ones of the same product find.
+The records of a batch count in the order of `seq`, which numbers them, each once: what a first record writes, later ones find.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import attrs, money, text
 from vitrine.operators import offers as rules
-from vitrine.operators.query import best_per_key
+from vitrine.operators.identity import CATALOG_MARKET, assign
+from vitrine.operators.ordered import with_previous
+from vitrine.storage import save
 
 DEFAULT_CATEGORY = "Ofertas"
 REASON = "Aguardando link individual de afiliado."
-CATALOG_MARKET = "MERCADO_LIVRE"
+ON_DEMAND = "ON_DEMAND_SEARCH"
 #: Columns of product that only their first writer sets, with the record's column.
 FIRST_WRITER = {"slug": "slug", "canonical_name": "title", "model": "model", "ean": "ean", "gtin": "gtin", "mpn": "mpn", "brand": "brand"}
 #: Columns that a record of the same offer, or of a product made by the engine, replaces.
-GATED = {"name": "title", "image": "image", "description": "description", "rating": "rating", "reviews": "reviews", "sales": "sales"}
+GATED = {"name": "title", "image": "image", "rating": "rating", "reviews": "reviews", "sales": "sales", "specifications": "attributes"}
+#: What a product takes from its best offer, besides store and discount.
+MIRRORED = ("affiliate_link", "price", "old_price", "installments", "stock")
+_PAIRS = "array<struct<key:string,value:string>>"
+# Columns that records, products and offers may lack, with their types; absent ones count as null.
+RECORD = {c: "string" for c in ("gtin", "ean", "mpn", "model", "target_product_id", "brand", "category", "image", "description", "seller", "installments", "discovery_source", "source_query", "affiliate_link")} | {"rating": "double", "discount": "double", "old_price": "double", "reviews": "int", "sales": "int", "stock": "int", "auto_created": "boolean", "images": "array<string>", "attributes": _PAIRS}
+PRODUCT = {c: "string" for c in ("name", "slug", "canonical_name", "canonical_key", "model", "ean", "gtin", "mpn", "brand", "image", "description", "category", "ml_id", "store", "affiliate_link", "installments", "publication_status", "source_query")} | {"price": "double", "old_price": "double", "rating": "double", "discount": "int", "reviews": "int", "sales": "int", "stock": "int", "auto_created": "boolean", "active": "boolean", "images": "array<string>", "specifications": _PAIRS, "last_searched_at": "timestamp_ntz"}
+OFFER = {c: "string" for c in ("external_id", "url", "title", "image", "seller", "affiliate_link", "installments", "status", "match_status", "discovery_source", "review_reason", "error_message")} | {"old_price": "double", "stock": "int", "active": "boolean", "available": "boolean", "consecutive_errors": "int"} | {c: "timestamp_ntz" for c in ("affiliate_validated_at", "reviewed_at", "checked_at", "price_changed_at")}
+
+
+def complete(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The rows with each of the columns, null where absent."""
+    return rows.withColumns(missing) if (missing := {c: F.lit(None).cast(t) for c, t in columns.items() if c not in rows.columns}) else rows
 
 
 def problem(known: tuple[str, ...] | None = None) -> Column:
@@ -34,124 +48,162 @@ def keyed(records: DataFrame) -> DataFrame:
     rows = records
     if "attributes" in records.columns:
         rows = rows.withColumns({k: c for k, c in attrs.identifiers(F.col("attributes")).items() if k not in records.columns})
-    missing = {c: F.lit(None).cast("string") for c in ("gtin", "ean", "mpn", "model", "target_product_id") if c not in rows.columns}
-    rows = rows.withColumns(missing) if missing else rows
+    rows = complete(rows, RECORD)
     key = attrs.canonical_key(F.col("brand"), F.col("gtin"), F.col("ean"), F.col("mpn"), F.col("model"))
     return rows.withColumns({"canonical_key": key, "slug": text.slug(F.col("title"), F.col("marketplace"), F.col("external_id"))})
 
 
-def resolve(records: DataFrame, products: DataFrame, offers: DataFrame) -> DataFrame:
-    """Keyed records with product_id, by_code, key_owner: the offer's product, then the catalog id's, the target, the key's owner, else a new id."""
-    by_code = offers.where("external_id is not null").groupBy("marketplace", "external_id").agg(F.min("product_id").alias("_by_code"))
-    by_ml = products.where("ml_id is not null").groupBy(F.lit(CATALOG_MARKET).alias("marketplace"), F.col("ml_id").alias("external_id")).agg(F.min("id").alias("_by_ml"))
-    by_target = products.select(F.col("id").alias("target_product_id"), F.col("id").alias("_by_target"))
-    by_key = products.where("canonical_key is not null").groupBy("canonical_key").agg(F.min("id").alias("key_owner"))
-    rows = records.join(by_code, ["marketplace", "external_id"], "left").join(by_ml, ["marketplace", "external_id"], "left").join(by_target, "target_product_id", "left").join(by_key, "canonical_key", "left")
-    made = F.concat_ws(":", F.lit("new"), F.coalesce("canonical_key", F.concat_ws(":", "marketplace", "external_id")))
-    found = F.coalesce("_by_code", "_by_ml", "_by_target", "key_owner")
-    return rows.withColumns({"product_id": F.coalesce(found, made), "is_new": found.isNull(), "by_code": F.col("_by_code").isNotNull(), "same": F.coalesce((F.col("_by_code") == F.coalesce(found, made)) | (F.col("_by_ml") == F.coalesce(found, made)), F.lit(False))}).drop("_by_code", "_by_ml", "_by_target")
+def _value(c: str) -> Column:
+    """A column kept with the row that holds it, null or not."""
+    return F.struct(F.col(c).alias("v"))
 
 
-def next_products(records: DataFrame, products: DataFrame) -> DataFrame:
-    """The product snapshot after the resolved records.
+def step_by_step(records: DataFrame, products: DataFrame, offers: DataFrame) -> DataFrame:
+    """Assigned records with what held before each: its offer's code and price, and whether main data may be replaced.
 
-    A new product takes its first record; its later ones, and those of a stored product, pass the gates: main
-    data only from the same offer or if the product was made by the engine, first writers for identifiers, the
-    category only in place of the default, and the canonical key only where no other product owns it.
+    by_code: the offer had the record's code; same: it or the product's catalog id did; gate: the record makes the product, is
+    of the same offer, or the product was made by the engine before; moved: the price differs from the offer's before.
     """
-    stored = products.select(F.col("id").alias("product_id"), F.lit(True).alias("_stored"), F.col("auto_created").alias("_auto"))
-    rows = records.join(stored, "product_id", "left")
-    one = Window.partitionBy("product_id").orderBy("seq")
-    rows = rows.withColumn("_first", F.col("_stored").isNull() & (F.row_number().over(one) == 1)) if not products.isEmpty() else rows.withColumn("_first", F.row_number().over(one) == 1)
-    auto = F.coalesce("_auto", F.lit(False)) | F.coalesce("auto_created", F.lit(False))
-    gate = F.col("_first") | F.col("same") | auto
-    free = F.col("canonical_key").isNotNull() & (F.col("key_owner").isNull() | (F.col("key_owner") == F.col("product_id")))
-    last = lambda c, test: F.max_by(F.struct(F.col(c).alias("v")), F.when(test, F.col("seq")))
-    first = lambda c: F.min_by(F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull(), F.col("seq")))
-    seen = rows.groupBy("product_id").agg(
-        *[last(r, gate).alias(f"_{c}") for c, r in GATED.items()],
-        *[first(r).alias(f"_{c}") for c, r in FIRST_WRITER.items()],
-        first("category").alias("_category"),
-        first("description").alias("_described"),
-        last("canonical_key", free).alias("_canonical_key"),
-        last("external_id", F.col("marketplace") == CATALOG_MARKET).alias("_ml_id"),
-        F.bool_or(F.coalesce("auto_created", F.lit(False))).alias("_made"),
-        F.min_by(F.struct("marketplace", "price", "old_price", "stock", money.discount_or(F.col("old_price"), F.col("price"), F.col("discount")).alias("discount"), F.coalesce(text.blank_to_null(F.col("affiliate_link")), F.lit("")).alias("affiliate_link")), "seq").alias("_new"),
-        F.sort_array(F.collect_set(F.struct("seq", "images", "image"))).alias("_pictures") if "images" in records.columns else F.lit(None).alias("_pictures"),
-    )
-    joined = products.withColumnRenamed("id", "product_id").alias("p").join(seen.alias("s"), "product_id", "full_outer")
-    touched, fresh = F.col("s._new").isNotNull(), F.col("p.auto_created").isNull()
-    out = {"id": F.col("product_id")}
-    for c in GATED:
-        value = F.when(F.col(f"s._{c}").isNotNull(), F.col(f"s._{c}.v")).otherwise(F.col(f"p.{c}"))
-        out[c] = F.coalesce(value, F.col("s._described.v")) if c == "description" else value
-    for c in FIRST_WRITER:
-        out[c] = F.coalesce(F.col(f"p.{c}"), F.col(f"s._{c}.v"))
-    out["canonical_key"] = F.coalesce("s._canonical_key.v", "p.canonical_key")
-    out["ml_id"] = F.coalesce("s._ml_id.v", "p.ml_id")
-    out["category"] = F.when(fresh | (F.col("p.category") == DEFAULT_CATEGORY), F.coalesce("s._category.v", "p.category", F.lit(DEFAULT_CATEGORY))).otherwise(F.col("p.category"))
-    out["store"] = F.when(fresh, text.marketplace_label(F.col("s._new.marketplace"))).otherwise(F.col("p.store"))
-    for c in ("price", "old_price", "discount", "stock", "affiliate_link"):
-        out[c] = F.when(fresh, F.col(f"s._new.{c}")).otherwise(F.col(f"p.{c}"))
-    out["auto_created"] = F.coalesce("p.auto_created", F.lit(False)) | F.coalesce("s._made", F.lit(False))
-    out["active"] = F.coalesce("p.active", F.lit(False)) | touched
-    if "_pictures" in seen.columns and "images" in products.columns:
-        new = F.flatten(F.transform("s._pictures", lambda x: F.concat(x["images"], F.array(x["image"]))))
-        out["images"] = F.when(touched, attrs.union_distinct(F.col("p.images"), new)).otherwise(F.col("p.images"))
-    return joined.select(*[c.alias(n) for n, c in out.items()])
-
-
-def next_offers(records: DataFrame, offers: DataFrame, now: Column) -> DataFrame:
-    """The offer snapshot after the resolved records: one offer for each product and marketplace, the last record's.
-
-    A link given counts before a stored one; price_changed_at moves when the price differs from the stored
-    offer's by more than the tolerance, and on every new offer; the best flags are set anew.
+    before = with_previous(records, ["product_id", "marketplace"], ["seq"], ["external_id", "price"])
+    stored = offers.select("product_id", "marketplace", F.struct("external_id", "price").alias("_offer"))
+    made = records.groupBy("product_id").agg(F.min(F.when(F.col("auto_created"), F.col("seq"))).alias("_auto_from"))
+    owners = products.select(F.col("id").alias("product_id"), F.col("auto_created").alias("_auto"), F.col("ml_id").alias("_ml"))
+    rows = before.join(stored, ["product_id", "marketplace"], "left").join(made, "product_id").join(owners, "product_id", "left")
+    was = F.coalesce("previous", "_offer")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    by_code = yes(was["external_id"] == F.col("external_id"))
+    same = by_code | yes((F.col("marketplace") == CATALOG_MARKET) & (F.coalesce("previous.external_id", "_ml") == F.col("external_id")))
+    auto = yes(F.col("_auto")) | yes(F.col("_auto_from") < F.col("seq"))
+    out = rows.withColumns({"by_code": by_code, "gate": F.col("is_new") | same | auto, "moved": money.price_changed(F.col("price"), was["price"]), "link": text.blank_to_null(F.col("affiliate_link"))})
+    return out.select(*records.columns, "by_code", "gate", "moved", "link")
+
+
+def next_offers(steps: DataFrame, offers: DataFrame, now: Column) -> DataFrame:
+    """The offer snapshot after the records: one offer for each product and marketplace, the last record's.
+
+    The last link given counts before a stored one; price_changed_at moves when any step changed the price by more
+    than the tolerance, and on every new offer; a review goes on until there is a link or no stock; the best
+    flags are set anew.
     """
-    last = best_per_key(records, ["product_id", "marketplace"], F.desc("seq"))
-    picked = last.select("product_id", "marketplace", F.struct("external_id", "url", "title", "image", "seller", "price", "old_price", "stock", text.blank_to_null(F.col("affiliate_link")).alias("link"), "by_code", (F.col("key_owner") == F.col("product_id")).alias("by_key")).alias("n"))
+    picked = steps.groupBy("product_id", "marketplace").agg(
+        F.max_by(F.struct("external_id", "url", "title", "image", "seller", "price", "old_price", "stock", "installments", F.coalesce("discovery_source", F.lit("MANUAL")).alias("discovery_source"), (F.col("by_code") | F.col("owns_key")).alias("exact")), "seq").alias("n"),
+        F.max_by("link", F.when(F.col("link").isNotNull(), F.col("seq"))).alias("given_link"),
+        F.bool_or("moved").alias("moved"),
+        F.bool_or(F.coalesce(F.col("stock") <= 0, F.lit(False))).alias("ran_out"),
+    )
     rows = offers.alias("o").join(picked.alias("r"), ["product_id", "marketplace"], "full_outer")
     given, n = F.col("n").isNotNull(), lambda c: F.col(f"n.{c}")
-    link = F.coalesce(n("link"), text.blank_to_null(F.col("o.affiliate_link")))
-    status = rules.offer_status(n("stock"), link, F.col("o.status"))
-    new = {
-        "external_id": n("external_id"),
-        "url": n("url"),
-        "title": n("title"),
-        "image": n("image"),
-        "seller": n("seller"),
-        "price": n("price"),
-        "old_price": n("old_price"),
-        "stock": n("stock"),
+    link = F.coalesce("given_link", text.blank_to_null(F.col("o.affiliate_link")))
+    stamped = lambda c: F.when(F.col("given_link").isNotNull(), now).otherwise(F.col(f"o.{c}"))
+    new = {c: n(c) for c in ("external_id", "url", "title", "image", "seller", "price", "old_price", "stock", "installments", "discovery_source")} | {
         "affiliate_link": link,
-        "status": status,
-        "match_status": F.when(n("by_code") | F.coalesce(n("by_key"), F.lit(False)), "EXACT").otherwise("HIGH"),
+        "status": rules.offer_status(n("stock"), link, F.when(~F.col("ran_out"), F.col("o.status"))),
+        "match_status": F.when(n("exact"), "EXACT").otherwise("HIGH"),
         "active": F.lit(True),
         "available": F.coalesce(n("stock") > 0, F.lit(True)),
         "review_reason": F.when(link.isNull(), F.coalesce("o.review_reason", F.lit(REASON))),
+        "error_message": F.lit(None).cast("string"),
+        "affiliate_validated_at": stamped("affiliate_validated_at"),
+        "reviewed_at": stamped("reviewed_at"),
         "checked_at": now,
-        "price_changed_at": F.when(money.price_changed(n("price"), F.col("o.price")), now).otherwise(F.col("o.price_changed_at")),
+        "price_changed_at": F.when(F.col("moved"), now).otherwise(F.col("o.price_changed_at")),
+        "consecutive_errors": F.lit(0),
     }
     made = F.concat_ws(":", "product_id", "marketplace")
     out = rows.select("product_id", "marketplace", F.coalesce("o.id", made).alias("id"), *[F.when(given, v).otherwise(F.col(f"o.{c}")).alias(c) for c, v in new.items()])
     return rules.flag_best(out)
 
 
-def new_history(records: DataFrame, offers: DataFrame, history: DataFrame, now: Column) -> DataFrame:
-    """(offer_id, product_id, marketplace, price, old_price, recorded_at) for offers whose price differs from the last recorded one.
+def next_products(steps: DataFrame, products: DataFrame, offers: DataFrame, now: Column) -> DataFrame:
+    """The product snapshot after the records, given the offers after them.
+
+    A new product takes its first record; its later ones, and those of a stored product, pass the gates: main
+    data only where `gate` says so, first writers for identifiers, the category only in place of the
+    default, the canonical key only where no other product owns it. Every touched product then takes store, link, price,
+    old price, installments, stock and discount from its best offer, and its publication status from all.
+    """
+    last = lambda c, test: F.max_by(_value(c), F.when(test, F.col("seq")))
+    first = lambda c, test: F.min_by(_value(c), F.when(test, F.col("seq")))
+    named = F.col("category").isNotNull() & (F.col("category") != DEFAULT_CATEGORY)
+    asked = text.blank_to_null(F.col("source_query"))
+    seen = steps.withColumn("_asked", asked).groupBy("product_id").agg(
+        *[last(r, F.col("gate")).alias(f"_{c}") for c, r in GATED.items()],
+        *[first(r, F.col(r).isNotNull()).alias(f"_{c}") for c, r in FIRST_WRITER.items()],
+        first("category", named).alias("_category"),
+        last("description", F.col("gate")).alias("_description"),
+        F.max(F.when(F.col("gate"), F.col("seq"))).alias("_gated_at"),
+        last("canonical_key", F.col("takes_key")).alias("_canonical_key"),
+        last("external_id", F.col("marketplace") == CATALOG_MARKET).alias("_ml_id"),
+        last("_asked", F.col("_asked").isNotNull()).alias("_source_query"),
+        F.bool_or(F.coalesce(F.col("discovery_source") == ON_DEMAND, F.lit(False))).alias("_searched"),
+        F.bool_or(F.coalesce("auto_created", F.lit(False))).alias("_made"),
+        F.max_by(F.struct("marketplace", money.discount_or(F.col("old_price"), F.col("price"), F.col("discount")).alias("discount")), "seq").alias("_last"),
+    )
+    # A description is also taken where there is none, after the last that replaced it.
+    later = steps.where("not gate and description is not null").join(seen.select("product_id", "_gated_at"), "product_id").where("_gated_at is null or seq > _gated_at")
+    described = later.groupBy("product_id").agg(F.min_by("description", "seq").alias("_described"))
+    # A product's pictures, each once, by record and place.
+    shown = F.concat(F.coalesce("images", F.array().cast("array<string>")), F.array("image"))
+    pictures = steps.select("product_id", "seq", F.posexplode(shown).alias("at", "one")).where("trim(one) <> ''").groupBy("product_id", F.trim("one").alias("one")).agg(F.min(F.struct("seq", "at")).alias("place"))
+    added = pictures.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("place", "one"))).alias("_pictures"))
+    best = offers.where("is_best").select("product_id", F.struct("marketplace", *MIRRORED).alias("_best"))
+    status = rules.publication_status(offers).withColumnRenamed("publication_status", "_status")
+    touched_rows = seen.join(described, "product_id", "left").join(added, "product_id", "left").join(best, "product_id", "left").join(status, "product_id", "left")
+
+    joined = products.withColumnRenamed("id", "product_id").alias("p").join(touched_rows.alias("s"), "product_id", "full_outer")
+    touched = F.col("s._last").isNotNull()
+    set_by = lambda c: F.col(f"s._{c}").isNotNull()
+    out = {"id": F.col("product_id")}
+    for c in GATED:
+        out[c] = F.when(set_by(c), F.col(f"s._{c}.v")).otherwise(F.col(f"p.{c}"))
+    out["description"] = F.coalesce(F.when(set_by("description"), F.col("s._description.v")).otherwise(F.col("p.description")), F.col("s._described"))
+    for c in FIRST_WRITER:
+        out[c] = F.coalesce(F.col(f"p.{c}"), F.col(f"s._{c}.v"))
+    for c in ("canonical_key", "ml_id", "source_query"):
+        out[c] = F.coalesce(F.col(f"s._{c}.v"), F.col(f"p.{c}"))
+    open_category = F.coalesce("p.category", F.lit(DEFAULT_CATEGORY)) == DEFAULT_CATEGORY
+    out["category"] = F.when(touched & open_category, F.coalesce("s._category.v", F.lit(DEFAULT_CATEGORY))).otherwise(F.col("p.category"))
+    out["images"] = F.when(touched, attrs.union_distinct(F.col("p.images"), F.transform("s._pictures", lambda x: x["one"]))).otherwise(F.col("p.images"))
+    mirrored = F.col("s._best").isNotNull()
+    out["store"] = F.when(mirrored, text.marketplace_label(F.col("s._best.marketplace"))).otherwise(F.col("p.store"))
+    for c in MIRRORED:
+        value = F.coalesce(text.blank_to_null(F.col(f"s._best.{c}")), F.lit("")) if c == "affiliate_link" else F.col(f"s._best.{c}")
+        out[c] = F.when(mirrored, value).otherwise(F.col(f"p.{c}"))
+    own = F.when(F.col("s._best.marketplace") == F.col("s._last.marketplace"), F.col("s._last.discount")).otherwise(money.discount_pct(F.col("s._best.old_price"), F.col("s._best.price")))
+    out["discount"] = F.when(mirrored, own).otherwise(F.col("p.discount"))
+    out["publication_status"] = F.coalesce("s._status", "p.publication_status")
+    out["last_searched_at"] = F.when(F.coalesce("s._searched", F.lit(False)), now).otherwise(F.col("p.last_searched_at"))
+    out["auto_created"] = F.coalesce("p.auto_created", F.lit(False)) | F.coalesce("s._made", F.lit(False))
+    out["active"] = F.coalesce("p.active", F.lit(False)) | touched
+    kept = [F.col(f"p.{c}").alias(c) for c in products.columns if c != "id" and c not in out]
+    return joined.select(*[c.alias(n) for n, c in out.items()], *kept)
+
+
+def new_history(steps: DataFrame, offers: DataFrame, history: DataFrame, now: Column) -> DataFrame:
+    """(offer_id, product_id, marketplace, price, old_price, source, seq, recorded_at): the records whose price differs from the last one recorded.
 
     offers: the snapshot after the records; history: offer_id, price, recorded_at.
     """
-    touched = records.select("product_id", "marketplace").distinct()
-    before = history.groupBy("offer_id").agg(F.max_by("price", "recorded_at").alias("_last"))
-    rows = offers.join(touched, ["product_id", "marketplace"], "left_semi").withColumnRenamed("id", "offer_id").join(before, "offer_id", "left")
-    return rows.where(money.price_changed(F.col("price"), F.col("_last"))).select("offer_id", "product_id", "marketplace", "price", "old_price", now.alias("recorded_at"))
+    ids = offers.select(F.col("id").alias("offer_id"), "product_id", "marketplace")
+    placed = steps.join(ids, ["product_id", "marketplace"])
+    last = history.groupBy("offer_id").agg(F.max_by("price", "recorded_at").alias("price")).join(placed.select("offer_id").distinct(), "offer_id", "left_semi")
+    first = placed.agg(F.min("seq").alias("least"))
+    stored = last.join(F.broadcast(first)).select("offer_id", (F.col("least") - 1).alias("seq"), "price")
+    kept = rules.price_log(stored.unionByName(placed.select("offer_id", "seq", "price")), ["offer_id"], "seq", "price")
+    return placed.join(kept.select("offer_id", "seq"), ["offer_id", "seq"]).select("offer_id", "product_id", "marketplace", "price", "old_price", F.coalesce("discovery_source", F.lit("MANUAL")).alias("source"), "seq", now.alias("recorded_at"))
 
 
 def save_products(records: DataFrame, products: DataFrame, offers: DataFrame, history: DataFrame, now: Column, known: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
-    """The next snapshots: products (with publication_status), offers, the history rows to add, and the refused records with their error."""
+    """The next snapshots: products, offers, the history rows to add, and the refused records with their error.
+
+    Columns of RECORD, PRODUCT and OFFER that a table lacks count as null. No canonical key, catalog id or code of a
+    marketplace stands twice in a snapshot if it didn't before.
+    """
+    products, offers = complete(products, PRODUCT), complete(offers, OFFER)
     checked = records.withColumn("error", problem(known))
-    good = resolve(keyed(checked.where("error is null").drop("error")), products, offers)
-    after = next_offers(good, offers, now)
-    live = rules.publication_status(after)
-    saved = next_products(good, products).join(live.withColumnRenamed("product_id", "id"), "id", "left")
-    return {"products": saved, "offers": after, "history": new_history(good, after, history, now), "refused": checked.where("error is not null")}
+    assigned = save(assign(keyed(checked.where("error is null").drop("error")), products, offers), "assigned")
+    steps = save(step_by_step(assigned.where("refused is null").drop("refused"), products, offers), "steps")
+    after = save(next_offers(steps, offers, now), "offers")
+    taken = assigned.where("refused is not null").select("seq", F.col("refused").alias("_refused"))
+    refused = checked.join(taken, "seq", "left").withColumn("error", F.coalesce("error", "_refused")).where("error is not null").drop("_refused")
+    return {"products": next_products(steps, products, after, now), "offers": after, "history": new_history(steps, after, history, now), "refused": refused}
