@@ -14,86 +14,115 @@ from vitrine.operators import offers, save, workflow
 from vitrine.plans.registry import named, table
 
 _STR = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
-_SEQ = lambda: F.col("l_orderkey") * 10 + F.col("l_linenumber")
+_SEQ = lambda: (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10**9 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000
 _TEXT = lambda c: F.col(c).cast("string")
 
 
+_HOSTS = ["www.mercadolivre.com.br/a", "x.meli.la/1", "www.amazon.com.br/dp/X", "amzn.to/2", "shope.ee/3", "shopee.com/y", "magalu.com.br/z", "www.magazineluiza.com.br", "casasbahia.com.br/?q", "www.kabum.com.br/p", "terabyteshop.com.br", "pt.aliexpress.com/item", "aliexpress.us/i", "mercado.carrefour.com.br/p", "notamazon.com/x", "a.co/d", "americanas.com.br/x"]
+_KEYS = ["MERCADO_LIVRE", "MERCADO_LIVRE", "AMAZON", "AMAZON", "SHOPEE", "SHOPEE", "MAGAZINE_LUIZA", "MAGAZINE_LUIZA", "CASAS_BAHIA", "KABUM", "TERABYTE", "ALIEXPRESS", "ALIEXPRESS", "CARREFOUR"]
+_LABELS = {"MERCADO_LIVRE": "Mercado Livre", "AMAZON": "Amazon", "SHOPEE": "Shopee", "MAGAZINE_LUIZA": "Magazine Luiza", "CASAS_BAHIA": "Casas Bahia", "KABUM": "KaBuM!", "TERABYTE": "Terabyte", "ALIEXPRESS": "AliExpress", "CARREFOUR": "Carrefour"}
+
+
+def _pick(values: list[str], number) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+
+
+def _sql_case(number: str, values: list, otherwise: str = "NULL") -> str:
+    return f"CASE {number} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + f" ELSE {otherwise} END"
+
+
+def _sql_case_of(name: str, values: dict[str, str]) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
+_MARKETS = ["MERCADO_LIVRE", "AMAZON", "SHOPEE", "MAGAZINE_LUIZA", "CASAS_BAHIA", "KABUM", "TERABYTE", "ALIEXPRESS", "CARREFOUR"]
+
+
 def _seen(spark, d) -> DataFrame:
-    """lineitem with its part, the first and last of each part and supplier marked."""
+    """lineitem with its part, marketplace and code, the first row of each part and marketplace marked, the last of each part and supplier."""
     from pyspark.sql import Window
 
-    pair = Window.partitionBy("l_partkey", "l_suppkey")
-    rows = table(spark, d, "lineitem").withColumns({"rn": F.row_number().over(pair.orderBy("l_shipdate", "l_orderkey", "l_linenumber")), "n": F.count("*").over(pair)})
+    order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")
+    rows = table(spark, d, "lineitem").withColumns({"market": _pick(_MARKETS, F.col("l_suppkey")), "code": _STR(_TEXT("l_partkey"), "-", _TEXT("l_suppkey")), "seq": _SEQ()})
+    rows = rows.withColumns({"first": F.row_number().over(Window.partitionBy("l_partkey", "market").orderBy(*order)), "last": F.row_number().over(Window.partitionBy("l_partkey", "l_suppkey").orderBy(*[F.desc(c) for c in order]))})
     return rows.join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
 
 
 def _saved(spark, d) -> dict[str, DataFrame]:
-    rows = _seen(spark, d)
-    market, code = _STR("S", _TEXT("l_suppkey")), _STR(_TEXT("l_partkey"), "-", _TEXT("l_suppkey"))
-    gtin = F.when(F.col("p_partkey") % 2 == 0, F.lpad(_TEXT("p_partkey"), 8, "0"))
-    records = rows.where("rn = n and l_orderkey % 2 = 0").select(
-        _SEQ().alias("seq"), market.alias("marketplace"), code.alias("external_id"), F.lit("http://x/").alias("url"), _STR(F.col("p_name"), " v", _SEQ().cast("string")).alias("title"), F.col("p_brand").alias("brand"),
-        F.lit("i").alias("image"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("double").alias("rating"), F.lit(None).cast("int").alias("reviews"), F.lit(None).cast("int").alias("sales"), F.lit(None).cast("string").alias("seller"),
-        F.col("l_extendedprice").alias("price"), (F.col("l_extendedprice") * 1.25).alias("old_price"), F.lit(None).cast("double").alias("discount"),
-        F.when(F.col("l_quantity") < 5, 0).when(F.col("l_quantity") >= 10, F.col("l_quantity").cast("int")).alias("stock"), F.when(F.col("l_tax") > 0.06, " http://n ").alias("affiliate_link"),
-        F.col("p_type").alias("category"), gtin.alias("gtin"), F.when(F.col("l_suppkey") % 5 == 0, _STR("p", _TEXT("l_partkey"))).alias("target_product_id"), F.lit(False).alias("auto_created"),
+    """A batch made of sightings, saved into a catalog of two thirds of the parts; neighbouring parts share product codes."""
+    rows, price, quantity = _seen(spark, d), F.col("l_extendedprice"), F.col("l_quantity")
+    gtin = lambda n: F.lpad(n.cast("string"), 8, "0")
+    records = rows.where("last = 1 and l_orderkey % 2 = 0").select(
+        "seq", F.col("market").alias("marketplace"), F.when(quantity == 1, " ").otherwise(F.col("code")).alias("external_id"), F.when(quantity == 2, "").otherwise("http://x/").alias("url"), _STR(F.col("p_name"), " v", _TEXT("seq")).alias("title"), F.col("p_brand").alias("brand"), F.lit("i").alias("image"),
+        F.when(quantity == 3, 0.0).otherwise(price).alias("price"), F.when(F.col("l_linenumber") % 2 == 1, price * 1.25).alias("old_price"), F.when(F.col("l_linenumber") > 3, 15.0).alias("discount"),
+        F.when(quantity < 7, 0).when(quantity >= 12, quantity.cast("int")).alias("stock"), F.when(F.col("l_tax") > 0.06, " http://n ").alias("affiliate_link"),
+        F.when(F.col("l_linenumber") > 1, F.col("p_type")).alias("category"), F.when(F.col("l_linenumber") % 3 > 0, gtin(F.floor(F.col("p_partkey") / 2) * 2)).alias("gtin"), F.when(F.col("l_suppkey") % 5 == 0, _STR("p", _TEXT("l_partkey"))).alias("target_product_id"), (F.col("l_tax") < 0.01).alias("auto_created"),
     )
-    none = {c: F.lit(None).cast(t) for c, t in (("image", "string"), ("description", "string"), ("rating", "double"), ("reviews", "int"), ("sales", "int"), ("slug", "string"), ("canonical_name", "string"), ("model", "string"), ("ean", "string"), ("gtin", "string"), ("mpn", "string"), ("ml_id", "string"), ("store", "string"), ("old_price", "double"), ("discount", "int"), ("stock", "int"), ("affiliate_link", "string"))}
     products = table(spark, d, "part").where("p_partkey % 3 <> 0").select(
-        _STR("p", _TEXT("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, _STR("gtin:", F.lpad(_TEXT("p_partkey"), 8, "0"))).alias("canonical_key"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("brand"),
-        F.when(F.col("p_partkey") % 5 == 0, "Ofertas").otherwise(F.col("p_type")).alias("category"), (F.col("p_size") > 40).alias("auto_created"), F.lit(True).alias("active"), F.col("p_retailprice").alias("price"),
-    ).withColumns(none)
-    quantity = F.col("l_quantity")
-    stored = rows.where("rn = 1 and l_partkey % 3 <> 0").select(
-        _STR("p", _TEXT("l_partkey")).alias("product_id"), market.alias("marketplace"), _STR("o:", code).alias("id"), F.when(F.col("l_suppkey") % 2 == 0, code).otherwise(_STR("x", code)).alias("external_id"), F.col("l_extendedprice").alias("price"),
+        _STR("p", _TEXT("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 4 == 0, _STR("gtin:", gtin(F.col("p_partkey")))).alias("canonical_key"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("brand"), F.when(F.col("p_partkey") % 4 == 1, _STR(_TEXT("p_partkey"), "-9")).alias("ml_id"),
+        F.when(F.col("p_partkey") % 5 == 0, "Ofertas").otherwise(F.col("p_type")).alias("category"), (F.col("p_size") > 40).alias("auto_created"), F.lit(True).alias("active"), F.col("p_retailprice").alias("price"), F.lit("Loja").alias("store"), F.lit("LIVE_COMPLETE").alias("publication_status"),
+    )
+    stored = rows.where("first = 1 and l_partkey % 3 <> 0").select(
+        _STR("p", _TEXT("l_partkey")).alias("product_id"), F.col("market").alias("marketplace"), _STR("o:", F.col("code")).alias("id"), F.when(F.col("l_suppkey") % 2 == 0, F.col("code")).otherwise(_STR("x", F.col("code"))).alias("external_id"), price.alias("price"),
         F.when(quantity > 25, "http://l").alias("affiliate_link"), F.when(quantity > 40, "UNDER_REVIEW").when(quantity > 25, "ACTIVE").otherwise("PENDING_AFFILIATE").alias("status"), F.lit(True).alias("active"), (F.col("l_returnflag") != "R").alias("available"), F.col("l_shipdate").alias("price_changed_at"),
-    ).withColumns({c: F.lit(None).cast(t) for c, t in (("url", "string"), ("title", "string"), ("image", "string"), ("seller", "string"), ("old_price", "double"), ("stock", "int"), ("match_status", "string"), ("review_reason", "string"), ("checked_at", "timestamp_ntz"))})
-    history = stored.select(F.col("id").alias("offer_id"), "price", F.col("price_changed_at").alias("recorded_at"))
+    )
+    history = stored.select(F.col("id").alias("offer_id"), (F.col("price") + F.when(F.col("id").endswith("0"), 1.0).otherwise(0.0)).alias("price"), F.col("price_changed_at").alias("recorded_at"))
     return save.save_products(records, products, stored, history, F.lit("2030-01-01").cast("timestamp_ntz"))
 
 
-_SAVED = """WITH l AS (SELECT *, l_orderkey*10+l_linenumber AS seq, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS rn, count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS n FROM lineitem JOIN part ON p_partkey=l_partkey),
-rec AS (SELECT *, CASE WHEN l_partkey%3<>0 AND (l_suppkey%2=0 OR l_suppkey%5=0 OR l_partkey%2=0) THEN 'p' || l_partkey WHEN l_partkey%2=0 THEN 'new:gtin:' || lpad(CAST(l_partkey AS VARCHAR),8,'0') ELSE 'new:S' || l_suppkey || ':' || l_partkey || '-' || l_suppkey END AS product_id FROM l WHERE rn=n AND l_orderkey%2=0),
-old AS (SELECT *, 'p' || l_partkey AS product_id FROM l WHERE rn=1 AND l_partkey%3<>0),
-off AS (SELECT coalesce(r.product_id, o.product_id) AS product_id, 'S' || coalesce(r.l_suppkey, o.l_suppkey) AS marketplace, CASE WHEN o.seq IS NOT NULL THEN 'o:' || o.l_partkey || '-' || o.l_suppkey ELSE r.product_id || ':S' || r.l_suppkey END AS id,
-  coalesce(r.l_extendedprice, o.l_extendedprice) AS price,
-  CASE WHEN r.seq IS NOT NULL AND r.l_tax > 0.06 THEN 'http://n' WHEN o.l_quantity > 25 THEN 'http://l' END AS link,
-  CASE WHEN r.seq IS NULL THEN CASE WHEN o.l_quantity > 40 THEN 'UNDER_REVIEW' WHEN o.l_quantity > 25 THEN 'ACTIVE' ELSE 'PENDING_AFFILIATE' END
-       WHEN r.l_quantity < 5 THEN 'UNAVAILABLE' WHEN r.l_tax > 0.06 OR o.l_quantity > 25 THEN 'ACTIVE' ELSE 'PENDING_AFFILIATE' END AS status,
-  CASE WHEN r.seq IS NULL THEN o.l_returnflag <> 'R' ELSE r.l_quantity >= 5 END AS available,
-  r.seq IS NOT NULL AND (o.seq IS NULL OR abs(r.l_extendedprice - o.l_extendedprice) > 0.009) AS changed,
-  CASE WHEN r.seq IS NULL THEN NULL WHEN r.l_partkey%3<>0 AND (r.l_suppkey%2=0 OR r.l_partkey%2=0) THEN 'EXACT' ELSE 'HIGH' END AS match_status
-  FROM rec r FULL JOIN old o ON o.product_id = r.product_id AND o.l_suppkey = r.l_suppkey),
-pub AS (SELECT product_id, CASE WHEN bool_or(status IN ('PENDING_AFFILIATE','UNDER_REVIEW')) OR NOT bool_or(status='ACTIVE' AND link IS NOT NULL) THEN 'LIVE_PARTIAL' ELSE 'LIVE_COMPLETE' END AS publication_status FROM off GROUP BY 1)
+# The rules one record at a time: each step of the recursion takes the next record of every group of two neighbouring parts.
+_SAVED = (
+    "WITH RECURSIVE l AS (SELECT *, (l_orderkey*10+l_linenumber)*1000000000+l_partkey*1000+l_suppkey%1000 AS seq, " + _sql_case("l_suppkey % 9", _MARKETS) + """ AS m, l_partkey || '-' || l_suppkey AS x FROM lineitem JOIN part ON p_partkey=l_partkey),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, m ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS first, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS last FROM l),
+every AS (SELECT *, CASE l_quantity WHEN 1 THEN 'no external id' WHEN 2 THEN 'no source URL' WHEN 3 THEN 'no valid price' END AS error FROM n WHERE last=1 AND l_orderkey%2=0),
+rec AS (SELECT l_partkey//2 AS g, row_number() OVER (PARTITION BY l_partkey//2 ORDER BY seq) AS rn, seq, m, x, p_name || ' v' || seq AS title, p_brand AS brand, l_extendedprice AS price, CASE WHEN l_linenumber%2=1 THEN l_extendedprice*1.25 END AS old, CASE WHEN l_linenumber>3 THEN 15 END AS declared,
+  CASE WHEN l_quantity<7 THEN 0 WHEN l_quantity>=12 THEN CAST(l_quantity AS INTEGER) END AS stock, CASE WHEN l_tax>0.06 THEN 'http://n' END AS link, CASE WHEN l_linenumber>1 THEN p_type END AS category, CASE WHEN l_linenumber%3>0 THEN 'gtin:' || lpad(CAST(p_partkey//2*2 AS VARCHAR),8,'0') END AS k, CASE WHEN l_suppkey%5=0 AND l_partkey%3<>0 THEN 'p' || l_partkey END AS target, l_tax<0.01 AS auto FROM every WHERE error IS NULL),
+o0 AS (SELECT l_partkey//2 AS g, list({'p': 'p' || l_partkey, 'm': m, 'id': 'o:' || x, 'x': CASE WHEN l_suppkey%2=0 THEN x ELSE 'x' || x END, 'price': l_extendedprice, 'old': NULL::DOUBLE, 'stock': NULL::INTEGER, 'link': CASE WHEN l_quantity>25 THEN 'http://l' END, 'status': CASE WHEN l_quantity>40 THEN 'UNDER_REVIEW' WHEN l_quantity>25 THEN 'ACTIVE' ELSE 'PENDING_AFFILIATE' END, 'ok': l_returnflag<>'R', 'exact': NULL::BOOLEAN, 'logged': l_extendedprice + CASE WHEN l_suppkey%10=0 THEN 1 ELSE 0 END}) AS offers FROM n WHERE first=1 AND l_partkey%3<>0 GROUP BY 1),
+p0 AS (SELECT p_partkey//2 AS g, list({'p': 'p' || p_partkey, 'name': p_name, 'k': CASE WHEN p_partkey%4=0 THEN 'gtin:' || lpad(CAST(p_partkey AS VARCHAR),8,'0') END, 'ml': CASE WHEN p_partkey%4=1 THEN p_partkey || '-9' END, 'brand': CASE WHEN p_size>25 THEN p_brand END, 'category': CASE WHEN p_partkey%5=0 THEN 'Ofertas' ELSE p_type END, 'auto': p_size>40}) AS products FROM part WHERE p_partkey%3<>0 GROUP BY 1),
+s AS (SELECT g, 0::BIGINT AS rn, coalesce(offers, []) AS offers, coalesce(products, []) AS products, NULL::VARCHAR AS p, NULL::VARCHAR AS m, NULL::BIGINT AS seq, NULL::INTEGER AS discount, false AS logged, NULL::DOUBLE AS price, false AS refused FROM (SELECT DISTINCT p_partkey//2 AS g FROM part) LEFT JOIN o0 USING (g) LEFT JOIN p0 USING (g)
+UNION ALL
+SELECT g, rn,
+  CASE WHEN refused THEN offers ELSE list_append(list_filter(offers, lambda o: NOT (o.p=p AND o.m=m)), {'p': p, 'm': m, 'id': coalesce(was.id, p || ':' || m), 'x': x, 'price': price, 'old': old, 'stock': stock, 'link': kept, 'status': CASE WHEN stock<=0 THEN 'UNAVAILABLE' WHEN kept IS NOT NULL THEN 'ACTIVE' WHEN was.status='UNDER_REVIEW' THEN 'UNDER_REVIEW' ELSE 'PENDING_AFFILIATE' END, 'ok': coalesce(stock>0, true), 'exact': by_code IS NOT NULL OR coalesce(owner=p, false), 'logged': CASE WHEN was.logged IS NULL OR abs(was.logged-price)>0.009 THEN price ELSE was.logged END}) END,
+  CASE WHEN refused THEN products WHEN found IS NULL THEN list_append(products, {'p': p, 'name': title, 'k': k, 'ml': CASE WHEN m='MERCADO_LIVRE' THEN x END, 'brand': brand, 'category': coalesce(category,'Ofertas'), 'auto': auto})
+    ELSE list_transform(products, lambda q: CASE WHEN q.p<>p THEN q ELSE {'p': p, 'name': CASE WHEN by_code IS NOT NULL OR q.auto OR (m='MERCADO_LIVRE' AND coalesce(q.ml=x,false)) THEN title ELSE q.name END, 'k': CASE WHEN k IS NOT NULL AND coalesce(owner,p)=p THEN k ELSE q.k END, 'ml': CASE WHEN m='MERCADO_LIVRE' THEN x ELSE q.ml END, 'brand': coalesce(q.brand,brand), 'category': CASE WHEN q.category='Ofertas' THEN coalesce(category,'Ofertas') ELSE q.category END, 'auto': q.auto OR auto} END) END,
+  p, m, seq, coalesce(CASE WHEN old>price THEN round((old-price)/old*100) END, declared)::INTEGER, NOT refused AND (was.logged IS NULL OR abs(was.logged-price)>0.009), price, refused
+FROM (SELECT *, list_filter(offers, lambda o: o.p=p AND o.m=m)[1] AS was, coalesce(link, list_filter(offers, lambda o: o.p=p AND o.m=m)[1].link) AS kept, m='MERCADO_LIVRE' AND coalesce(by_ml<>p, false) AS refused
+  FROM (SELECT *, coalesce(by_code, CASE WHEN m='MERCADO_LIVRE' THEN by_ml END, target, owner) AS found, coalesce(by_code, CASE WHEN m='MERCADO_LIVRE' THEN by_ml END, target, owner, 'new:' || m || ':' || x || ':' || seq) AS p
+    FROM (SELECT rec.*, s.offers, s.products, list_filter(s.offers, lambda o: o.m=rec.m AND o.x=rec.x)[1].p AS by_code, list_filter(s.products, lambda q: q.ml=rec.x)[1].p AS by_ml, list_filter(s.products, lambda q: q.k=rec.k)[1].p AS owner FROM s JOIN rec ON rec.g=s.g AND rec.rn=s.rn+1)))),
+done AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY rn DESC)=1),
+off AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY (ok AND status<>'UNAVAILABLE') DESC, price, id)=1 AS best FROM (SELECT unnest(offers, recursive := true) FROM done)),
+pub AS (SELECT p, CASE WHEN bool_or(status IN ('PENDING_AFFILIATE','UNDER_REVIEW')) OR NOT bool_or(status='ACTIVE' AND link IS NOT NULL) THEN 'LIVE_PARTIAL' ELSE 'LIVE_COMPLETE' END AS status FROM off GROUP BY 1),
+latest AS (SELECT p, v.m AS m, v.d AS discount FROM (SELECT p, arg_max({'m': m, 'd': discount}, seq) AS v FROM s WHERE seq IS NOT NULL AND NOT refused GROUP BY 1))
 """
+)
 
 
 @named(
     _SAVED
-    + """SELECT p.id, p.name, p.canonical_key, p.brand, p.category, p.price, pub.publication_status FROM (
-  SELECT 'p' || p_partkey AS id, coalesce((SELECT arg_max(rec.p_name || ' v' || rec.seq, rec.seq) FROM rec WHERE rec.l_partkey=part.p_partkey AND rec.product_id = 'p' || part.p_partkey AND (rec.l_suppkey%2=0 OR rec.p_size > 40)), p_name) AS name,
-    CASE WHEN p_partkey%2=0 THEN 'gtin:' || lpad(CAST(p_partkey AS VARCHAR),8,'0') END AS canonical_key,
-    CASE WHEN p_size > 25 OR EXISTS (SELECT 1 FROM rec WHERE rec.product_id = 'p' || part.p_partkey) THEN p_brand END AS brand,
-    CASE WHEN p_partkey%5=0 AND NOT EXISTS (SELECT 1 FROM rec WHERE rec.product_id = 'p' || part.p_partkey) THEN 'Ofertas' ELSE p_type END AS category, p_retailprice AS price
-  FROM part WHERE p_partkey%3<>0
-  UNION ALL
-  SELECT product_id, arg_min(p_name || ' v' || seq, seq), CASE WHEN any_value(l_partkey)%2=0 THEN 'gtin:' || lpad(CAST(any_value(l_partkey) AS VARCHAR),8,'0') END, any_value(p_brand), any_value(p_type), arg_min(l_extendedprice, seq) FROM rec WHERE product_id LIKE 'new:%' GROUP BY 1) p LEFT JOIN pub ON pub.product_id = p.id"""
+    + "SELECT q.p AS id, q.name, q.k AS canonical_key, q.ml AS ml_id, q.brand, q.category, CASE WHEN t.p IS NULL THEN 'LIVE_COMPLETE' ELSE pub.status END AS publication_status, CASE WHEN t.p IS NULL THEN 'Loja' ELSE " + _sql_case_of("b.m", {k: v for k, v in _LABELS.items()}) + " END AS store, CASE WHEN t.p IS NULL THEN part.p_retailprice ELSE b.price END AS price, CASE WHEN t.p IS NOT NULL THEN b.old END AS old_price, CASE WHEN t.p IS NOT NULL THEN b.stock END AS stock, CASE WHEN t.p IS NOT NULL THEN coalesce(b.link,'') END AS affiliate_link, CASE WHEN t.p IS NULL THEN NULL WHEN b.m=t.m THEN t.discount WHEN b.old>b.price THEN CAST(round((b.old-b.price)/b.old*100) AS INTEGER) END AS discount"
+    + " FROM (SELECT unnest(products, recursive := true) FROM done) q LEFT JOIN latest t ON t.p=q.p LEFT JOIN off b ON b.p=q.p AND b.best LEFT JOIN pub ON pub.p=q.p LEFT JOIN part ON 'p' || part.p_partkey = q.p"
 )
 def save_products(spark, d):
-    """Products after a batch of records: resolved, gated, merged and with their publication status."""
-    return _saved(spark, d)["products"].select("id", "name", "canonical_key", "brand", "category", "price", "publication_status")
+    """Products after a batch of records: resolved in order, gated, merged, with store, price, link and discount of their best offer."""
+    return _saved(spark, d)["products"].select("id", "name", "canonical_key", "ml_id", "brand", "category", "publication_status", "store", "price", "old_price", "stock", "affiliate_link", "discount")
 
 
-@named(_SAVED + "SELECT id, product_id, marketplace, price, status, available, link AS affiliate_link, match_status, row_number() OVER (PARTITION BY product_id ORDER BY (available AND status <> 'UNAVAILABLE') DESC, price, id) = 1 AS is_best FROM off")
+@named(_SAVED + "SELECT id, p AS product_id, m AS marketplace, x AS external_id, price, status, ok AS available, link AS affiliate_link, exact, best AS is_best FROM off")
 def save_offers(spark, d):
     """Offers after the same batch, one for each product and marketplace, the best of each product marked."""
-    return _saved(spark, d)["offers"].select("id", "product_id", "marketplace", "price", "status", "available", "affiliate_link", "match_status", "is_best")
+    return _saved(spark, d)["offers"].select("id", "product_id", "marketplace", "external_id", "price", "status", "available", "affiliate_link", (F.col("match_status") == "EXACT").alias("exact"), "is_best")
 
 
-@named(_SAVED + "SELECT id AS offer_id, product_id, price FROM off WHERE changed")
+@named(_SAVED + "SELECT coalesce(o.id, s.p || ':' || s.m) AS offer_id, s.seq, s.p AS product_id, s.price FROM s LEFT JOIN off o ON o.p=s.p AND o.m=s.m WHERE s.logged")
 def save_history(spark, d):
-    """Prices that the batch adds to the history."""
-    return _saved(spark, d)["history"].select("offer_id", "product_id", "price")
+    """Prices that the batch adds to the history, each compared with the last one recorded."""
+    return _saved(spark, d)["history"].select("offer_id", "seq", "product_id", "price")
+
+
+@named(_SAVED + "SELECT seq, error FROM every WHERE error IS NOT NULL UNION ALL SELECT seq, 'catalog id of another product' FROM s WHERE refused")
+def save_refused(spark, d):
+    """Records of the batch that can't be saved, and why."""
+    return _saved(spark, d)["refused"].select("seq", "error")
 
 
 @named(
@@ -108,19 +137,6 @@ def price_drift_log(spark, d):
     return offers.price_log(rows, ["product_id"], "seen_at", "price")
 
 
-_HOSTS = ["www.mercadolivre.com.br/a", "x.meli.la/1", "www.amazon.com.br/dp/X", "amzn.to/2", "shope.ee/3", "shopee.com/y", "magalu.com.br/z", "www.magazineluiza.com.br", "casasbahia.com.br/?q", "www.kabum.com.br/p", "terabyteshop.com.br", "pt.aliexpress.com/item", "aliexpress.us/i", "mercado.carrefour.com.br/p", "notamazon.com/x", "a.co/d", "americanas.com.br/x"]
-_KEYS = ["MERCADO_LIVRE", "MERCADO_LIVRE", "AMAZON", "AMAZON", "SHOPEE", "SHOPEE", "MAGAZINE_LUIZA", "MAGAZINE_LUIZA", "CASAS_BAHIA", "KABUM", "TERABYTE", "ALIEXPRESS", "ALIEXPRESS", "CARREFOUR"]
-_LABELS = {"MERCADO_LIVRE": "Mercado Livre", "AMAZON": "Amazon", "SHOPEE": "Shopee", "MAGAZINE_LUIZA": "Magazine Luiza", "CASAS_BAHIA": "Casas Bahia", "KABUM": "KaBuM!", "TERABYTE": "Terabyte", "ALIEXPRESS": "AliExpress", "CARREFOUR": "Carrefour"}
-
-
-def _pick(values: list[str], number) -> F.Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
-
-
-def _sql_case(number: str, values: list, otherwise: str = "NULL") -> str:
-    return f"CASE {number} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + f" ELSE {otherwise} END"
-
-
 @named(f"SELECT page_id, {_sql_case(f'page_id % {len(_HOSTS)}', _KEYS)} AS marketplace, {_sql_case(f'page_id % {len(_HOSTS)}', [_LABELS[k] for k in _KEYS])} AS label FROM pages")
 def marketplace_of_links(spark, d):
     """Marketplace and its label of links to all nine, and to hosts that only look like them."""
