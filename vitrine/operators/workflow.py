@@ -67,47 +67,6 @@ def queue_results(opportunities: DataFrame, results: DataFrame, now: Column, id:
     return opportunities.join(got, id, "left").withColumns(changed).select(*opportunities.columns)
 
 
-def batch_problems(items: DataFrame, existing: DataFrame, most: int = 10) -> DataFrame:
-    """Items (id, link) of a batch publication with the first reason to refuse each, null if it may go on.
-
-    Checked are the batch's size, ids and links given twice, unknown and dismissed opportunities, and links
-    that another opportunity outside the batch has.
-    """
-    link = F.lower(F.trim("link"))
-    per_id = items.groupBy("id").agg(F.count("*").alias("_ids"))
-    per_link = items.groupBy(link.alias("_link")).agg(F.count("*").alias("_links"))
-    known = existing.select("id", F.col("status").alias("_status"))
-    taken = conflicts(items.select("id", link.alias("_link")), existing.select("id", F.lower(F.trim("affiliate_link")).alias("_link")), "_link", "id").select("_link", F.lit(True).alias("_taken")).distinct()
-    rows = items.withColumn("_link", link).join(F.broadcast(items.agg(F.count("*").alias("_size")))).join(per_id, "id").join(per_link, "_link", "left").join(known, "id", "left").join(taken, "_link", "left")
-    reason = (
-        F.when(F.col("_size") > most, "too many items")
-        .when(F.coalesce("_link", F.lit("")) == "", "no link")
-        .when(F.col("_ids") > 1, "repeated item")
-        .when(F.col("_links") > 1, "repeated link")
-        .when(F.col("_status").isNull(), "not found")
-        .when(F.col("_status") == "DISMISSED", "dismissed")
-        .when(F.col("_taken"), "link in use")
-    )
-    return rows.select(*items.columns, reason.alias("problem"))
-
-
-def discover(candidates: DataFrame, existing: DataFrame, wanted: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows to add, one row of accounting) of a discovery over candidates (position, external_id, price, old_price, category).
-
-    Candidates are taken in an order fixed by the seed, a position's best discount first; those without a
-    discount and those whose external id is known, whatever its marketplace, fall out. Added rows wait for a link.
-    """
-    limit = clamp(wanted)
-    ratio = F.round((F.col("old_price") - F.col("price")) / F.col("old_price") * 100).cast("int")
-    rated = candidates.withColumn("discount", F.when(F.col("old_price") > F.col("price"), ratio)).dropDuplicates(["external_id"])
-    fresh = rated.join(existing.select("external_id").distinct().withColumn("_known", F.lit(True)), "external_id", "left")
-    good = F.coalesce(F.col("discount") > 0, F.lit(False))
-    tally = fresh.agg(F.count("*").alias("received"), F.count_if(good & F.col("_known")).alias("known"), F.count_if(~good).alias("rejected"))
-    chosen = fresh.where(good & F.col("_known").isNull()).orderBy(F.xxhash64("external_id", F.lit(seed)), "external_id").limit(limit)
-    added = chosen.drop("_known").withColumns({"status": F.lit("WAITING_AFFILIATE"), "attempts": F.lit(0)})
-    return added, tally.join(F.broadcast(added.agg(F.count("*").alias("added"))))
-
-
 def relink(status: Column, product: Column, batch: bool) -> Column:
     """Status of an existing queue row when its opportunity is queued again."""
     stale = (status == "ERROR") | (F.lit(batch) & (status == "SUCCESS") & product.isNull())

@@ -478,7 +478,7 @@ def raw_sql(spark, d):
     return spark.sql("SELECT p_partkey AS id, p_name AS name FROM {part} WHERE p_size > :least AND p_brand = :brand", args={"least": 40, "brand": "Brand#12"}, part=table(spark, d, "part"))
 
 
-from vitrine.plans import scalars, sources, workflows  # noqa: E402, F401  their queries join the registry
+from vitrine.plans import flows, scalars, sources, workflows  # noqa: E402, F401  their queries join the registry
 
 
 def queries() -> dict[str, Query]:

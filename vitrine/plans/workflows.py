@@ -216,21 +216,3 @@ def opportunity_results(spark, d):
     """Opportunities after their queue rows ended."""
     ended = table(spark, d, "orders").where("o_custkey % 3 <> 2").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 3 == 0, "p").alias("product_id"), F.when(F.col("o_custkey") % 3 == 1, "boom").alias("error"))
     return workflow.queue_results(_opportunities(spark, d), ended, F.lit("2030-01-01").cast("timestamp_ntz")).select("id", "status", "attempts", "product_id")
-
-
-@named("SELECT id, CASE WHEN link = '' THEN 'no link' WHEN n > 1 THEN 'repeated link' WHEN s IS NULL THEN 'not found' WHEN s = 5 THEN 'dismissed' WHEN taken THEN 'link in use' END AS problem FROM (SELECT b.id, b.link, count(*) OVER (PARTITION BY b.link) AS n, o.o_orderkey % 6 AS s, EXISTS (SELECT 1 FROM orders x WHERE b.link = 'http://l/' || x.o_orderkey AND x.o_orderkey NOT IN (SELECT c_custkey*2 FROM customer)) AS taken FROM (SELECT c_custkey*2 AS id, CASE c_custkey%4 WHEN 0 THEN '' WHEN 1 THEN 'http://l/' || (c_custkey*2+1) WHEN 2 THEN 'http://same/' || (c_custkey // 8) ELSE 'http://new/' || c_custkey END AS link FROM customer) b LEFT JOIN orders o ON o.o_orderkey = b.id)")
-def batch_publish_problems(spark, d):
-    """Why items of a batch publication are refused."""
-    key = F.col("c_custkey")
-    link = F.when(key % 4 == 0, "").when(key % 4 == 1, _STR("HTTP://l/", (key * 2 + 1).cast("string"))).when(key % 4 == 2, _STR("http://same/", F.floor(key / 8).cast("string"))).otherwise(_STR(" http://new/", _TEXT("c_custkey")))
-    items = table(spark, d, "customer").select((key * 2).alias("id"), link.alias("link"))
-    return workflow.batch_problems(items, _opportunities(spark, d), most=10**12).select("id", "problem")
-
-
-@named("WITH c AS (SELECT p_partkey AS k, CAST(CASE WHEN p_size > 10 THEN round((p_retailprice*(1+p_size/100.0) - p_retailprice)/(p_retailprice*(1+p_size/100.0))*100) END AS INTEGER) AS pct, p_partkey IN (SELECT o_custkey FROM orders) AS known FROM part) SELECT count(*) AS received, count(*) FILTER (pct > 0 AND known) AS known, count(*) FILTER (NOT coalesce(pct > 0, false)) AS rejected, least(10, count(*) FILTER (pct > 0 AND NOT known)) AS added FROM c")
-def discovery_accounting(spark, d):
-    """What a discovery over all parts takes, knows, rejects and adds."""
-    part = table(spark, d, "part")
-    candidates = part.select(F.col("p_partkey").alias("position"), _TEXT("p_partkey").alias("external_id"), F.col("p_retailprice").alias("price"), F.when(F.col("p_size") > 10, F.col("p_retailprice") * (1 + F.col("p_size") / 100)).alias("old_price"), F.col("p_type").alias("category"))
-    existing = table(spark, d, "orders").select(_TEXT("o_custkey").alias("external_id"))
-    return workflow.discover(candidates, existing, 10)[1]
