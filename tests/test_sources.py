@@ -1,8 +1,6 @@
 import json
-from datetime import datetime
 
 from vitrine.sources import gallery, landed, pages, registry
-from vitrine.streaming import queue as stream
 
 PAGE = """<html><head><title>Lamp | Shop</title><script type="application/ld+json">{"@graph": [{"@type": ["Product"], "name": "Lamp",
 "image": ["http://i/1.jpg"], "brand": {"name": "Marca: Lux"}, "offers": {"price": "1.899,00", "highPrice": "2.000,00"}}]}</script></head>
@@ -46,18 +44,6 @@ def test_pasted_links_and_redirects(spark):
     assert sorted(r.url for r in rows.collect()) == ["long", "t"]
 
 
-def test_price_changes_stream(spark, tmp_path):
-    source = tmp_path / "in"
-    schema = "offer_id long, at timestamp, price double"
-    for n, prices in enumerate(((10.0, 10.005), (10.012, 11.0))):
-        rows = [(1, datetime(2020, 1, 1 + 2 * n + k), p) for k, p in enumerate(prices)]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
-    stream_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    out = stream.price_changes(stream_in).writeStream.format("memory").queryName("kept_prices").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    out.awaitTermination(120)
-    assert sorted(r.price for r in spark.table("kept_prices").collect()) == [10.0, 10.012, 11.0]
-
-
 def test_galleries_take_the_list_that_holds_the_main_picture(spark):
     code = "0123456789abcdef"
     rows = spark.createDataFrame([(1, "u", code), (2, "v", code), (3, "w", "no"), (4, None, None)], "id int, url string, image string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,21 +54,35 @@ def price_log(observations: DataFrame, keys: list[str], at: str, price: str, tol
 
 
 def _kept(keys: int, tolerance: float):
-    """Of rows (keys, time, price) in order those that differ from the last one kept; only that one is held."""
+    """Of rows (keys, time, price) in order those that differ from the last one kept; only that one is held.
+
+    Only a key's first row and rows whose price isn't that of the row before can be kept; the others aren't looked at.
+    """
 
     def run(batches):
         key = last = None
         for batch in batches:
-            keep = []
-            for *row, price in zip(*(batch.column(k).to_pylist() for k in [*range(keys), keys + 1]), strict=True):
-                row = ["NaN" if x != x else x for x in row]
+            n = batch.num_rows
+            if not n:
+                continue
+            price = batch.column(keys + 1)
+            value = price.to_numpy(zero_copy_only=False)
+            change = np.ones(n, dtype=bool)
+            change[1:] = (value[1:] != value[:-1]) & ~(np.isnan(value[1:]) & np.isnan(value[:-1]))
+            for k in range(keys):
+                # Equal keys lie together: a key changes where its code does.
+                code = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                change[1:] |= code[1:] != code[:-1]
+            keep = np.zeros(n, dtype=bool)
+            for i in np.flatnonzero(change).tolist():
+                row = ["NaN" if (x := batch.column(k)[i].as_py()) != x else x for k in range(keys)]
+                p = price[i].as_py()
                 if row != key:
-                    key, last = row, price
-                    keep.append(True)
-                    continue
-                keep.append(last is not None and price is not None and not abs(last - price) <= tolerance)
-                last = price if keep[-1] else last
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                    key, last = row, p
+                    keep[i] = True
+                elif last is not None and p is not None and not abs(last - p) <= tolerance:
+                    keep[i], last = True, p
+            yield batch.filter(pa.array(keep))
 
     return run
 
