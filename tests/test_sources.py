@@ -3,8 +3,8 @@ import json
 from vitrine.sources import gallery, landed, pages, registry
 
 PAGE = """<html><head><title>Lamp | Shop</title><script type="application/ld+json">{"@graph": [{"@type": ["Product"], "name": "Lamp",
-"image": ["http://i/1.jpg"], "brand": {"name": "Marca: Lux"}, "offers": {"price": "1.899,00", "highPrice": "2.000,00"}}]}</script></head>
-<body><table><tr><th>EAN:</th><td>7891234567890</td></tr></table><div id="availability">Somente 3 em estoque</div></body></html>"""
+"image": ["http://i/1.jpg"], "brand": {"name": "Marca: Lux"}, "offers": {"price": "1.899,00"}}]}</script></head>
+<body><b class="basisPrice"><i class="a-offscreen">R$ 2.000,00</i></b><table><tr><th>EAN:</th><td>7891234567890</td></tr></table><div id="availability">Somente 3 em estoque</div></body></html>"""
 
 
 def test_pages_become_records(spark):
@@ -55,5 +55,26 @@ def test_galleries_take_the_list_that_holds_the_main_picture(spark):
 def test_page_prices_skip_struck_amounts_and_bad_markup():
     struck = '<div id="apex_desktop"><span class="a-price a-text-price"><b class="a-offscreen">R$ 9,00</b></span></div><p id="kindle-price">R$ 0,00</p><p id="priceblock_ourprice">R$ 7,00'
     got = pages.page_record("u", struck)
-    assert (got["price"], got["old_price"], got["images"], got["code"]) == ("R$ 7,00", "R$ 9,00", [], None)
+    assert (got["prices"], got["old_prices"], got["images"], got["code"]) == (["R$ 7,00"], ["R$ 9,00"], [], None)
     assert pages.page_record("u", None)["attributes"] == []
+
+
+def test_page_rules_of_description_stock_rating_and_price(spark):
+    page = lambda body, ld=None: f'<body><span id="productTitle">T</span>{body}<script type="application/ld+json">{json.dumps({"@type": "Product", "sku": "B0ABCDEFGH", "image": "i", **(ld or {})})}</script></body>'
+    bullets = '<div id="feature-bullets"><ul><li><span> One <b>two</b></span></li><li><span>One two</span><span>Clique aqui para informações gerais</span></li><li><span><span>In</span>ner</span></li></ul><span>out</span></div><div id="productDescription">no</div>'
+    cases = {
+        "bullets": page(bullets + '<p id="price_inside_buybox">R$ 5,00</p>'),
+        "blocks": page('<div id="productDescription"> </div><div id="aplus_feature_div">A\n plus</div><div id="availability"> </div><div id="outOfStock">Não disponível.</div>', {"offers": [{"price": 0}, {"lowPrice": 199.9}], "description": "ld"}),
+        "told": page('<div id="availability">Restam\u00a0 12 unidades</div><i id="acrPopover" title="4 de 5 estrelas"></i><b id="acrCustomerReviewText">1.234 avaliações</b>', {"offers": {"price": "12,50"}, "description": " l  d ", "aggregateRating": {"ratingValue": 3.5, "reviewCount": 7}}),
+        "far": page('<div id="availability">Somente hoje: envio em 3 dias</div><i id="averageCustomerReviews">4,5 de 5</i>', {"offers": {"price": "9,00"}, "aggregateRating": {"ratingValue": 3.5, "ratingCount": "70"}}),
+        "rated": page('<div id="availability">Currently unavailable</div>', {"offers": {"price": 9}, "aggregateRating": {"ratingValue": 3.5, "ratingCount": "70"}}),
+    }
+    rows = spark.createDataFrame([(f"https://www.amazon.com.br/{k}", v) for k, v in cases.items()], "url string, html string")
+    got = {r.url.rsplit("/", 1)[1]: (r.description, r.price, r.stock, r.rating, r.reviews) for r in landed.page_records(pages.read_products(rows)).collect()}
+    assert got == {
+        "bullets": ("One two • In • Inner", 5.0, None, None, None),
+        "blocks": ("A plus", 199.9, 0, None, None),
+        "told": ("l d", 12.5, 12, 4.0, 1234),
+        "far": (None, 9.0, None, None, 70),
+        "rated": (None, 9.0, 0, 3.5, 70),
+    }

@@ -18,6 +18,8 @@ AFFILIATE_OFFER = "itemId bigint, shopId bigint, productName string, shopName st
 
 #: Columns of the canonical import record.
 RECORD = ("marketplace", "external_id", "url", "affiliate_link", "title", "brand", "image", "images", "price", "old_price", "discount", "rating", "sales", "stock", "seller", "attributes", "error")
+#: Columns that records of pages have besides.
+DETAILS = ("description", "category", "reviews")
 
 
 def attribute_value(a: Column) -> Column:
@@ -101,10 +103,11 @@ def affiliate_records(offers: DataFrame) -> DataFrame:
 
 def page_records(products: DataFrame) -> DataFrame:
     """Canonical records of parsed product pages (see pages.read_products)."""
-    from vitrine.sources.pages import stock
+    from vitrine.sources.pages import first_price, rating, stock
 
-    price, old = money.parse_number(F.col("price")), money.parse_number(F.col("old_price"))
-    out = products.select(
+    rows = products.withColumns({"_price": first_price(F.col("prices"), F.col("offered")), "_old": first_price(F.col("old_prices"))})
+    price, old = F.col("_price"), F.col("_old")
+    out = rows.select(
         F.lit("AMAZON").alias("marketplace"),
         F.coalesce(url.asin(F.col("url")), url.asin(F.col("canonical")), url.asin(F.col("shared_url")), F.col("code")).alias("external_id"),
         F.col("url"),
@@ -116,14 +119,17 @@ def page_records(products: DataFrame) -> DataFrame:
         price.alias("price"),
         F.when(old > price, old).alias("old_price"),
         money.discount_pct(old, price).alias("discount"),
-        F.lit(None).cast("double").alias("rating"),
+        rating(F.col("rating_text"), F.col("ld_rating")).alias("rating"),
         F.lit(None).cast("int").alias("sales"),
         stock(F.col("availability")).alias("stock"),
         text.blank_to_null(F.col("seller")).alias("seller"),
         F.col("attributes"),
+        F.col("description"),
+        text.blank_to_null(F.col("category")).alias("category"),
+        F.coalesce(money.int_digits(F.col("reviews_text")), money.int_digits(F.col("ld_reviews"))).cast("int").alias("reviews"),
     )
     error = _problem((F.col("title").isNull(), "no title"), (F.col("price").isNull() | (F.col("price") <= 0), "no price"), (F.col("image").isNull(), "no image"), (F.col("external_id").isNull(), "no product code"))
-    return out.withColumn("error", error).select(*RECORD)
+    return out.withColumn("error", error).select(*RECORD, *DETAILS)
 
 
 def resolve_links(rows: DataFrame, redirects: DataFrame, link: str = "url") -> DataFrame:

@@ -10,11 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions import money
+
 # Marks of pages that ask for proof of a human reader: an element, a form's target, titles and phrases.
 WALL_ID, WALL_FORM = "captchacharacters", "validateCaptcha"
 WALL_TITLES = ("robot check", "verificação de robô")
 WALL_PHRASES = ("digite os caracteres que você vê abaixo", "enter the characters you see below", "api-services-support@amazon.com")
-RECORD = "url string, title string, price string, old_price string, currency string, image string, images array<string>, brand string, category string, description string, availability string, seller string, canonical string, shared_url string, code string, attributes array<struct<key: string, value: string>>"
+#: Prices are texts, or numbers where JSON-LD has them as such, in the order of their places; an offer has its price, then its lowest.
+AMOUNT = "struct<text: string, number: double>"
+RECORD = f"url string, title string, prices array<string>, old_prices array<string>, offered array<struct<price: {AMOUNT}, low: {AMOUNT}>>, rating_text string, ld_rating {AMOUNT}, reviews_text string, ld_reviews string, currency string, image string, images array<string>, brand string, category string, description string, availability string, seller string, canonical string, shared_url string, code string, attributes array<struct<key: string, value: string>>"
 
 
 def bot_wall(html: Column) -> Column:
@@ -36,6 +40,13 @@ PRICES = (*[(box, "a-price", "a-text-price") for box in PRICE_BOXES], ("tp_price
 OLD_PRICES = (*[(box, "a-text-price", None) for box in PRICE_BOXES], (None, "basisPrice", None))
 PRICE_IDS = ("price_inside_buybox", "priceblock_dealprice", "priceblock_ourprice", "kindle-price")
 OLD_PRICE_IDS = ("priceblock_listprice", "listPrice")
+# Places of the description, of what is said about stock, of the rating and of the number of reviews.
+FEATURES, NO_FEATURE = "feature-bullets", "clique aqui para informações"
+DESCRIPTIONS = ("productDescription", "aplus_feature_div", "bookDescription_feature_div")
+AVAILABILITY = ("availability", "outOfStock", "availabilityInsideBuyBox_feature_div")
+GONE = ("indisponível", "temporariamente sem estoque", "não disponível", "currently unavailable")
+LEFT = r"(?:apenas|somente|restam)\s+(\d+)"
+RATING_TITLE, RATING_TEXT, REVIEWS = "acrPopover", "averageCustomerReviews", "acrCustomerReviewText"
 CRUMBS, BULLETS, CODE_HOLDERS = "wayfinding-breadcrumbs_container", "detailBullets_feature_div", ("dp-container", "ppd")
 LONGEST_KEY, LONGEST_VALUE = 150, 1500
 _VOID = ("meta", "link", "img", "br", "input", "hr")
@@ -54,6 +65,9 @@ class _Page(HTMLParser):
         self._open: list[tuple[str, str, str, frozenset]] = []
         self._cells: list[str] = []
         self._bullet: tuple[list[str], list[str]] | None = None
+        self.features: list[str] = []
+        self.rating_title = ""
+        self._spans: dict[int, list[str]] = {}  # by depth: texts of the open spans of a feature
 
     def _within(self, id: str) -> bool:
         return any(o[2] == id for o in self._open)
@@ -71,6 +85,10 @@ class _Page(HTMLParser):
             self.codes.setdefault("id" if id == "ASIN" else a["name"], a.get("value", ""))
         if "data-asin" in a and (id in CODE_HOLDERS or tag == "body"):
             self.codes.setdefault(id if id in CODE_HOLDERS else "body", a["data-asin"])
+        if id == RATING_TITLE and not self.rating_title:
+            self.rating_title = a.get("title", "")
+        if tag == "span" and self._within(FEATURES) and any(o[0] == "li" for o in self._open):
+            self._spans[len(self._open)] = []
         if tag == "tr":
             self._cells = []
         if tag == "li" and self._within(BULLETS):
@@ -103,6 +121,8 @@ class _Page(HTMLParser):
             self._bullet = None
         for k in range(len(self._open) - 1, -1, -1):
             if self._open[k][0] == tag:
+                for depth in sorted(d for d in self._spans if d >= k):
+                    self.features.append(" ".join("".join(self._spans.pop(depth)).split()))
                 del self._open[k:]
                 break
 
@@ -110,6 +130,8 @@ class _Page(HTMLParser):
         if not self._open:
             return
         tag, kind = self._open[-1][:2]
+        for texts in self._spans.values():
+            texts.append(data)
         if kind == "ld":
             self.scripts[-1] += data
         elif tag == "title":
@@ -166,6 +188,12 @@ def _text(value):
     return None if value is None else str(value)
 
 
+def _amount(value) -> dict:
+    """A value of JSON-LD as text or number; neither for other kinds."""
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    return {"text": value if isinstance(value, str) else None, "number": float(value) if number else None}
+
+
 def page_record(url: str, html: str) -> dict:
     page = _Page()
     page.feed(html or "")
@@ -176,29 +204,38 @@ def page_record(url: str, html: str) -> dict:
         except ValueError:
             continue
     ld = found or {}
-    offer = ld.get("offers") or {}
-    offer = offer[0] if isinstance(offer, list) and offer else offer if isinstance(offer, dict) else {}
+    told = ld.get("offers")
+    offers = [o for o in (told if isinstance(told, list) else [told]) if isinstance(o, dict)]
+    rated = ld.get("aggregateRating") if isinstance(ld.get("aggregateRating"), dict) else {}
+    count = rated.get("reviewCount") if rated.get("reviewCount") is not None else rated.get("ratingCount")
     pictures = ld.get("image") or []
     pictures = [_text(i) for i in (pictures if isinstance(pictures, list) else [pictures])]
     images = [*page.pictures["main"], *page.pictures["block"], page.meta.get("og:image"), *page.pictures["dynamic"], *page.pictures["small"], *pictures]
     marked = lambda *names: next((" ".join(page.marked[n].split()) for n in names if page.marked.get(n, "").strip()), None)
-    title = marked("productTitle") or _text(ld.get("name")) or re.sub(r"\s*[|:-]\s*[^|:-]*$", "", page.title).strip() or None
-    first = lambda ranked: min(ranked, key=lambda p: p[0])[1] if ranked else None
+    title = marked("productTitle") or _text(ld.get("name")) or re.sub(r"(?i)\s*[:|-]\s*Amazon\.com\.br.*$", "", " ".join(page.title.split())).strip() or None
+    ordered = lambda ranked: [text for _, text in sorted(ranked, key=lambda p: p[0])]
+    features = " • ".join(dict.fromkeys(x for x in page.features if x and NO_FEATURE not in x.lower()))
+    written = ld.get("description")
     codes = [page.codes.get(k) for k in ("id", "ASIN", "asin")] + [_text(ld.get("sku"))] + [page.codes.get(k) for k in (*CODE_HOLDERS, "body")]
     cleaned = ((k.rstrip(": "), v[:LONGEST_VALUE]) for k, v in page.rows)
     attributes = {k: v for k, v in cleaned if k and v and len(k) <= LONGEST_KEY}
     return {
         "url": url,
         "title": title,
-        "price": first(page.prices) or marked("price") or _text(offer.get("price") or offer.get("lowPrice")),
-        "old_price": first(page.old_prices) or _text(offer.get("highPrice")),
-        "currency": _text(offer.get("priceCurrency")),
+        "prices": ordered(page.prices),
+        "old_prices": ordered(page.old_prices),
+        "offered": [{"price": _amount(o.get("price")), "low": _amount(o.get("lowPrice"))} for o in offers],
+        "rating_text": " ".join((page.rating_title or page.marked.get(RATING_TEXT, "")).split()) or None,
+        "ld_rating": _amount(rated.get("ratingValue")),
+        "reviews_text": marked(REVIEWS),
+        "ld_reviews": str(count) if isinstance(count, (int, float, str)) and not isinstance(count, bool) else None,
+        "currency": next((_text(o["priceCurrency"]) for o in offers if o.get("priceCurrency")), None),
         "image": next((i for i in images if i), None),
         "images": list(dict.fromkeys(i for i in images if i)),
-        "brand": _text(ld.get("brand")) or marked("brand"),
+        "brand": marked("bylineInfo") or _text(ld.get("brand")),
         "category": page.crumbs[-1] if page.crumbs else None,
-        "description": _text(ld.get("description")) or page.meta.get("description"),
-        "availability": marked("availability") or _text(offer.get("availability")),
+        "description": features or marked(*DESCRIPTIONS) or (" ".join(written.split()) or None if isinstance(written, str) else None),
+        "availability": marked(*AVAILABILITY),
         "seller": seller_of(marked("sellerProfileTriggerId"), marked("merchant-info")),
         "canonical": page.meta.get("canonical"),
         "shared_url": page.meta.get("og:url"),
@@ -212,13 +249,36 @@ def read_products(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for frame in batches:
-            yield pd.DataFrame([page_record(u, h) for u, h in zip(frame["url"], frame["html"], strict=True)], columns=[c.split()[0] for c in re.split(r", (?=\w+ \w+)(?![^<]*>)", RECORD)])
+            yield pd.DataFrame([page_record(u, h) for u, h in zip(frame["url"], frame["html"], strict=True)], columns=names)
 
+    names = list(page_record("", ""))
     return pages.where(~F.coalesce(bot_wall(F.col("html")), F.lit(False))).select("url", "html").mapInPandas(run, RECORD)
 
 
+def _number(amount: Column) -> Column:
+    return F.coalesce(amount["number"], money.parse_number(amount["text"]))
+
+
+def first_price(texts: Column, offered: Column | None = None) -> Column:
+    """The first number above 0 of the texts, else of the offers: an offer's price, or its lowest where it has none."""
+    read = F.get(F.filter(F.transform(texts, money.parse_number), lambda p: p > 0), F.lit(0))
+    if offered is None:
+        return read
+    told = F.transform(offered, lambda o: F.coalesce(_number(o["price"]), _number(o["low"])))
+    return F.coalesce(read, F.get(F.filter(told, lambda p: p > 0), F.lit(0)))
+
+
+def rating(text: Column, told: Column) -> Column:
+    """The first number of the text, as numbers are written in shops, else the told one; null unless from 0 to 5."""
+    found = F.nullif(F.regexp_extract(F.regexp_replace(text, "^([^,]*),", "$1."), r"\d+(?:\.\d+)?", 0), F.lit(""))
+    value = F.coalesce(money.parse_number(found), _number(told))
+    return F.when(value.between(0, 5), value)
+
+
 def stock(availability: Column) -> Column:
     """0 for what is said to be gone, the number said to be left, else null."""
     low = F.lower(availability)
-    left = F.regexp_extract(low, r"(?:apenas|somente|restam)\D*(\d+)", 1)
-    return F.when(F.contains(low, F.lit("indisponível")) | F.contains(low, F.lit("outofstock")) | F.contains(low, F.lit("esgotado")), 0).otherwise(F.nullif(left, F.lit("")).cast("int"))
+    gone = F.lit(False)
+    for phrase in GONE:
+        gone = gone | F.contains(low, F.lit(phrase))
+    return F.when(gone, 0).otherwise(F.nullif(F.regexp_extract(low, LEFT, 1), F.lit("")).cast("int"))
