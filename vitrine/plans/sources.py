@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitrine.functions import url
 from vitrine.operators.search import search_or_import
 from vitrine.plans.registry import named, table
-from vitrine.sources import gallery, landed, pages
+from vitrine.sources import gallery, landed, pages, redirects
 
 _MAIN = "br-11134207-7r98o-main"
 
@@ -122,3 +123,35 @@ def search_answers(spark, d):
 def search_imports(spark, d):
     """Imported records of requests that the catalog doesn't know yet."""
     return _searched(spark, d)[1].select("request_id", "external_id", "affiliate_link", "discovery_source")
+
+
+def _chains(spark, d):
+    """Events lead from one to the next, fifty to a chain; every fourth chain is of eight, some go round, some pass by another host."""
+    n = F.col("event_id")
+    chain, at = F.floor(n / 50), n % 50
+    address = lambda c: F.concat(F.when((F.floor(c / 50) % 5 == 2) & (c % 50 == 20), "https://other.example/").otherwise("https://amzn.to/"), c.cast("string"))
+    last = (at == 49) | ((chain % 4 == 0) & (at % 8 == 7))
+    goal = F.when(chain % 7 == 3, address(chain * 50)).when(chain % 11 == 4, "https://shop.example/").otherwise(F.concat(F.lit("https://www.amazon.com.br/dp/"), chain.cast("string")))
+    links = table(spark, d, "events").select(n.alias("id"), address(n).alias("url"))
+    return links, table(spark, d, "events").select(address(n).alias("url"), F.when(last, goal).otherwise(address(n + 1)).alias("final_url"))
+
+
+_CHAINS = """SELECT event_id AS id, chain, CASE WHEN chain%5=2 AND place<=20 AND NOT (chain%4=0 AND place//8<2) OR chain%7<>3 AND chain%11=4 OR chain%7=3 AND chain%5=2 AND chain%4<>0 THEN 'redirect to another host' WHEN chain%7=3 THEN 'redirect loop' WHEN hops>20 THEN 'too many redirects' END AS error, hops FROM (SELECT event_id, event_id//50 AS chain, event_id%50 AS place, CASE WHEN event_id//50%4=0 THEN least(8-event_id%50%8, 50-event_id%50) ELSE 50-event_id%50 END AS hops FROM events)"""
+
+
+@named(f"SELECT id, error AS redirect_error, CASE WHEN error IS NULL THEN 'https://www.amazon.com.br/dp/' || chain END AS destination, CASE WHEN error IS NULL OR error='too many redirects' THEN hops END AS hops FROM ({_CHAINS})")
+def redirect_ends(spark, d):
+    """Where chains of redirects lead, and why some don't: loops, too many hops, another host on the way or at the end."""
+    links, known = _chains(spark, d)
+    got = redirects.follow(links, known, domains=url.PAGE_DOMAINS, end_domains=redirects.PAGE_HOSTS)
+    counted = F.col("redirect_error").isNull() | (F.col("redirect_error") == redirects.FAR)
+    return got.select("id", "redirect_error", "destination", F.when(counted, F.col("hops")).alias("hops"))
+
+
+@named(f"SELECT error, count(*) AS n FROM (SELECT CASE WHEN error IS NOT NULL THEN error WHEN chain%3=0 THEN 'page not landed' ELSE 'loaded' END AS error FROM ({_CHAINS})) GROUP BY 1")
+def pages_loaded(spark, d):
+    """How many links load their page, and why others don't."""
+    links, known = _chains(spark, d)
+    landed_pages = links.select(F.floor(F.col("id") / 50).alias("chain")).distinct().select(F.concat(F.lit("https://www.amazon.com.br/dp/"), "chain").alias("url"), F.when(F.col("chain") % 3 == 0, " ").otherwise("<p>page</p>").alias("html"))
+    loaded, refused = redirects.load_pages(links, known, landed_pages)
+    return loaded.select(F.lit("loaded").alias("error")).unionByName(refused.select("error")).groupBy("error").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import money, text, url
 from vitrine.functions.attrs import union_distinct
+from vitrine.sources.redirects import follow
 
 #: Schemas of the landed files; a reader given them never infers.
 CATALOG_PRODUCT = "id string, name string, family_name string, status string, url string, pictures array<struct<id: string, url: string, secure_url: string>>, attributes array<struct<id: string, name: string, value_name: string, value_struct: struct<number: double, unit: string>>>, buy_box_winner struct<item_id: string>"
@@ -133,9 +134,8 @@ def page_records(products: DataFrame) -> DataFrame:
 
 
 def resolve_links(rows: DataFrame, redirects: DataFrame, link: str = "url") -> DataFrame:
-    """Links replaced by where a landed table (url, final_url) says that they lead; unknown ones stay."""
-    known = redirects.groupBy(F.col("url").alias(link)).agg(F.min("final_url").alias("_final"))
-    return rows.join(known, link, "left").withColumn(link, F.coalesce("_final", link)).drop("_final").select(*rows.columns)
+    """Links replaced by where landed redirects (url, final_url) lead, hop by hop; unknown ones, and those that don't end, stay."""
+    return follow(rows, redirects, link).withColumn(link, F.coalesce("destination", link)).select(*rows.columns)
 
 
 def pasted_links(texts: DataFrame, column: str) -> DataFrame:
@@ -145,9 +145,11 @@ def pasted_links(texts: DataFrame, column: str) -> DataFrame:
 
 
 def destinations(rows: DataFrame, redirects: DataFrame, domains, link: str = "url") -> DataFrame:
-    """Rows with destination_ok: whether the landed final address of the link is on a domain; unknown ones pass."""
-    known = redirects.groupBy(F.col("url").alias(link)).agg(F.min("final_url").alias("_final"))
-    return rows.join(known, link, "left").withColumn("destination_ok", F.col("_final").isNull() | url.on_any(url.host(F.col("_final")), domains)).drop("_final")
+    """Rows with destination_ok: whether the landed end of the link is on a domain; unknown ones pass, loops don't."""
+    ended = follow(rows, redirects, link)
+    known = (F.col("hops") > 0) | F.col("redirect_error").isNotNull()
+    ok = ~known | (F.col("destination").isNotNull() & url.on_any(url.host(F.col("destination")), domains))
+    return ended.withColumn("destination_ok", ok).select(*rows.columns, "destination_ok")
 
 
 def condition_and_warranty(attributes: Column, condition: Column, warranty: Column) -> Column:
