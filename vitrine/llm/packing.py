@@ -17,7 +17,8 @@ from vitrine.llm.common import release, save, slices
 
 #: Tokens that one packing task takes, and the bins that it holds open.
 TASK_TOKENS, OPEN_BINS = 1 << 24, 4096
-CACHE_WORDS = 100_000
+#: Words, and parts of each of two generations, that a Python worker remembers (about 200 bytes each).
+CACHE_WORDS, CACHE_PARTS = 100_000, 250_000
 _LOADED: dict = {}
 
 # The steps of a tokenizer, as its file lists them, under which words can be encoded one by one.
@@ -32,16 +33,31 @@ WORD_STEPS = {
     },
 }
 _CONTROL = re.compile("[\x1c-\x1f]")
+# Letters, numbers and white space among the first 384 characters, and these characters without those that the steps above
+# treat in ways of their own: U+001C-U+001F, and U+0130, whose lower case is two characters.
+_L, _N, _S = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+_LATIN = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u017f]*")
+#: The split of WORD_STEPS for lower-cased texts of these characters; no two branches but those at an apostrophe begin alike.
+_PART = re.compile(f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{_S}{_L}{_N}]+")
 #: Letters that stay single letters in lower case (U+0130 doesn't), then marks that no letter joins.
 _PLAIN_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?]+)")
 
 
+def _byte_letters() -> dict[int, int]:
+    """Letters that stand for bytes in byte-level models: visible characters stand for themselves, the others follow from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: 256 + n for n, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordTokens:
     """Token ids of texts, as little-endian 32-bit bytes, equal to the tokenizer's own.
 
     Where the tokenizer takes the steps of WORD_STEPS, white space always ends a token, so a text's ids are
-    those of its words in a row, and words seen before are looked up; a plain word is also cut from the full
-    stops and the like after it. Other tokenizers encode whole texts.
+    those of its words in a row. Texts of Latin letters are split as the tokenizer splits them and their parts
+    looked up; of others, the words; parts and words of two generations are remembered. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -54,6 +70,9 @@ class WordTokens:
         spaced = any(t["lstrip"] or t["rstrip"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in steps["added_tokens"])
         self.by_word = all(steps[k] == v for k, v in WORD_STEPS.items()) and not spaced
         self.words: dict[str, bytes] = {}  # of words, and of the parts of words that were cut
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # parts of the generation before
+        self.literals = tuple(t["content"] for t in steps["added_tokens"])
 
     def _all(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -79,7 +98,29 @@ class WordTokens:
             out.append(got)
         return out
 
+    def _parts(self, text: str) -> bytes:
+        found = _PART.findall(text.lower())
+        try:
+            return b"".join([self.parts[p] for p in found])
+        except KeyError:
+            pass
+        out = []
+        for p in found:
+            got = self.parts.get(p)
+            if got is None:
+                if len(self.parts) >= CACHE_PARTS:
+                    self.older, self.parts = self.parts, {}
+                got = self.parts[p] = self.older.get(p) or self._encode_part(p)
+            out.append(got)
+        return b"".join(out)
+
+    def _encode_part(self, part: str) -> bytes:
+        mapped = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return np.array([k.id for k in self.whole.model.tokenize(mapped)], dtype="<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
+        if self.by_word and _LATIN.fullmatch(text) and not any(t in text for t in self.literals):
+            return self._parts(text)
         if not self.by_word or _CONTROL.search(text):  # Python alone takes these for white space
             return self._all(text)
         words = text.split()
