@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from vitrine.llm.common import _LOWER, NO_WORD, U64, SpanHash, as_bytes, bound_batches, release, slices
 
 WINDOW, STRIDE = 64, 48
-#: Labelled documents of each class that training may use, and examples that it takes in all epochs together.
-MOST_POSITIVE, MOST_NEGATIVE, EXAMPLES = 1000, 2000, 18_000
+#: Labelled documents of each class that training may use, and how often it goes through them, whatever their number.
+MOST_POSITIVE, MOST_NEGATIVE, EPOCHS = 1000, 2000, 8
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN = 16, 16, 8, 16
 GAIN = 4.0
 _LUT = np.random.default_rng(7).integers(0, 1 << 32, (8, 256), dtype=np.uint32)
@@ -202,16 +202,15 @@ def logits(p: dict, inputs, begin: np.ndarray, size: np.ndarray, at_once: int =
     return out
 
 
-def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 0, batch: int = 64, rate: float = 0.01, seed: int = 5) -> dict:
+def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, seed: int = 5) -> dict:
     """A model {p, assoc} from labelled texts.
 
     Associations for training come from the half of the documents that a document isn't in, so that the
     network learns how far to trust them on new texts; the model carries those of all documents. Each epoch
     reads all windows and takes every document's highest one, and some more of clean documents, as examples of
-    their label. Without `epochs` there are as many as make EXAMPLES of the documents, 5 to 20.
+    their label.
     """
     rng = np.random.default_rng(seed)
-    epochs = epochs or int(np.clip(EXAMPLES // max(1, len(texts)), 5, 20))
     docs = [Words([t]) for t in texts]
     half = np.arange(len(docs)) % 2
     seen = [[np.unique(f) for f in fs] for fs in zip(*((d.word, d.three, d.five) for d in docs), strict=True)] if docs else [[], [], []]
