@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators import discovery, publish
+from vitrine.operators import detail, discovery, favorites, publish
 from vitrine.plans.registry import named, table
 
 _text = lambda c: F.col(c).cast("string")
@@ -150,3 +150,89 @@ def publish_products(spark, d):
 def publish_offers(spark, d):
     """Offers after the batches: a published product's offer takes link, price and stock from it, or is made."""
     return _published(spark, d)["offers"].select("product_id", "marketplace", "id", "price", "stock", "affiliate_link", "active")
+
+
+def _account(spark, d) -> DataFrame:
+    """What users bought are their account's favorites since the first time."""
+    item = F.concat(F.lit("p"), (F.col("event_id") % 50).cast("string"))
+    return table(spark, d, "events").where("event_type = 'purchase'").groupBy("user_id", item.alias("product_id")).agg(F.min("ts").alias("created_at"))
+
+
+def _clicked(spark, d) -> DataFrame:
+    """Clicks add, errors remove, of ten products; some ids are blank."""
+    item = F.when(F.col("event_id") % 13 == 0, " ").otherwise(F.concat(F.lit(" p"), (F.col("event_id") % 10).cast("string")))
+    rows = table(spark, d, "events").where("event_type in ('click', 'error')")
+    return rows.select("user_id", item.alias("product_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), (F.col("event_type") == "click").alias("add"))
+
+
+_FAVORED = """WITH a AS (SELECT user_id, 'p' || (event_id%50) AS product_id, min(ts) AS created_at FROM events WHERE event_type='purchase' GROUP BY 1, 2),
+c AS (SELECT user_id, 'p' || (event_id%10) AS product_id, event_id, ts, event_type='click' AS plus FROM events WHERE event_type IN ('click','error') AND event_id%13<>0),
+r AS (SELECT user_id, product_id, max(event_id) FILTER (NOT plus) AS gone FROM c GROUP BY 1, 2),
+n AS (SELECT c.user_id, c.product_id, arg_min(ts, event_id) AS at FROM c JOIN r USING (user_id, product_id) WHERE plus AND (gone IS NULL OR event_id>gone) GROUP BY 1, 2),
+f AS (SELECT user_id, product_id, created_at FROM (SELECT coalesce(a.user_id, n.user_id) AS user_id, coalesce(a.product_id, n.product_id) AS product_id, CASE WHEN a.user_id IS NOT NULL AND r.gone IS NULL THEN a.created_at ELSE n.at END AS created_at FROM a FULL JOIN n ON n.user_id=a.user_id AND n.product_id=a.product_id LEFT JOIN r ON r.user_id=a.user_id AND r.product_id=a.product_id) WHERE created_at IS NOT NULL)
+"""
+
+
+@named(_FAVORED + "SELECT user_id, product_id, created_at FROM f")
+def favorites_account(spark, d):
+    """Accounts after products were added and removed in order."""
+    return favorites.apply(_account(spark, d), _clicked(spark, d)).select("user_id", "product_id", "created_at")
+
+
+def _synced(spark, d):
+    events = table(spark, d, "events").where("event_type = 'view'")
+    item = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(F.lit("p"), (F.col("event_id") % 37).cast("string"), F.lit(" ")))
+    local = events.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", item.alias("i")))), lambda x: x["i"]).alias("ids"))
+    removed = _clicked(spark, d).where("not add and trim(product_id) <> ''").select("user_id", F.trim("product_id").alias("product_id"))
+    account = favorites.apply(_account(spark, d), _clicked(spark, d))
+    return favorites.sync(account, local, F.lit(_NOW).cast("timestamp_ntz"), removed)
+
+
+_LOCAL = _FAVORED + """, l AS (SELECT user_id, 'p' || (event_id%37) AS product_id, min(event_id) AS place FROM events WHERE event_type='view' AND event_id%11<>0 GROUP BY 1, 2),
+m AS (SELECT coalesce(f.user_id, l.user_id) AS user_id, coalesce(f.product_id, l.product_id) AS product_id, coalesce(f.created_at, TIMESTAMP '2030-01-01') AS created_at, l.place FROM f FULL JOIN l ON l.user_id=f.user_id AND l.product_id=f.product_id WHERE f.user_id IS NOT NULL OR NOT EXISTS (SELECT 1 FROM r WHERE r.user_id=l.user_id AND r.product_id=l.product_id AND r.gone IS NOT NULL))
+"""
+
+
+@named(_LOCAL + "SELECT user_id, product_id, created_at FROM m")
+def favorites_synced(spark, d):
+    """Accounts with their users' local favorites, but for those removed from the account."""
+    return _synced(spark, d)[0]
+
+
+@named(_LOCAL + "SELECT user_id, string_agg(product_id, ',' ORDER BY created_at DESC, place NULLS LAST, product_id) AS ids FROM m WHERE user_id IN (SELECT user_id FROM events WHERE event_type='view') GROUP BY 1")
+def favorites_merged(spark, d):
+    """Merged local lists: the account's first, the newest first, then the local ones."""
+    return _synced(spark, d)[1].select("user_id", F.array_join("ids", ",").alias("ids"))
+
+
+def _detailed(spark, d) -> DataFrame:
+    size, key = F.col("p_size"), F.col("p_partkey")
+    market = F.when(F.col("l_suppkey") % 2 == 0, "AMAZON").otherwise("MERCADO_LIVRE")
+    number = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10**9 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000) * 100 + F.col("l_quantity").cast("int")
+    products = table(spark, d, "part").select(
+        key.alias("id"), F.col("p_name").alias("name"), F.when(size % 9 == 0, "").otherwise("i1").alias("image"), F.array(F.lit("i2"), F.lit("i1"), F.lit(" ")).alias("images"), F.when(size % 4 == 0, " ").otherwise(F.col("p_brand")).alias("brand"), F.col("p_type").alias("category"), F.when(size % 3 > 0, F.lit(" Loja ")).otherwise("").alias("store"),
+        F.when(size % 5 == 0, F.lit(" http://own ")).otherwise("").alias("affiliate_link"), F.col("p_retailprice").alias("price"), F.when(size % 2 == 0, F.col("p_retailprice") * 1.25).alias("old_price"), F.when(size % 8 == 0, 33).alias("discount"), F.lit(None).cast("double").alias("rating"), F.lit(None).cast("int").alias("sales"), (size % 10).cast("int").alias("stock"),
+        (size > 25).alias("featured"), (size % 7 > 0).alias("active"), F.col("p_retailprice").alias("updated_at"),
+    )
+    lines = table(spark, d, "lineitem")
+    offers = lines.select(F.col("l_partkey").alias("product_id"), number.alias("id"), market.alias("marketplace"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_tax") > 0.03, F.concat(F.lit("http://"), number.cast("string"))).alias("affiliate_link"), F.when(F.col("l_linestatus") == "O", "ACTIVE").otherwise("ERROR").alias("status"), (F.col("l_returnflag") != "R").alias("available"), (F.col("l_linenumber") < 5).alias("active"))
+    seen = lines.where("l_quantity > 20").select(F.col("l_partkey").alias("product_id"), number.alias("offer_id"), F.col("l_shipdate").alias("recorded_at"), F.col("l_extendedprice").alias("price"))
+    earlier = seen.withColumns({"recorded_at": F.col("recorded_at") - F.expr("interval 1 day"), "price": F.col("price") + 1})
+    return detail.product_details(products, offers, seen.unionByName(earlier))
+
+
+@named(
+    """WITH o AS (SELECT l_partkey AS p, ((l_orderkey*10+l_linenumber)*1000000000+l_partkey*1000+l_suppkey%1000)*100+CAST(l_quantity AS INTEGER) AS id, l_extendedprice AS price, CASE WHEN l_suppkey%2=0 THEN 'Amazon' ELSE 'Mercado Livre' END AS label, l_tax>0.03 AND l_linestatus='O' AND l_returnflag<>'R' AS good, l_quantity>20 AS known FROM lineitem WHERE l_linenumber<5),
+    q AS (SELECT p_partkey AS id, p_type AS c, CASE WHEN p_size%4<>0 THEN p_brand END AS b, row_number() OVER (ORDER BY p_size>25 DESC, p_retailprice DESC, p_partkey) AS place FROM part WHERE p_size%7>0 AND p_retailprice>0 AND p_size%9<>0),
+    pairs AS (SELECT p_partkey AS id, q.id AS other, place, q.c=p_type OR coalesce(q.b = CASE WHEN p_size%4<>0 THEN p_brand END, false) AS direct FROM part JOIN q ON q.id<>p_partkey),
+    s AS (SELECT id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY direct DESC, place) AS alike, bool_or(direct) AS has FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY direct DESC, place)<=8) GROUP BY 1),
+    n AS (SELECT p, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY price, id) AS ids, 2*count(*) FILTER (known) AS seen, arg_min(id, (price, id)) FILTER (good) AS main, arg_min(label, (price, id)) FILTER (good) AS label FROM o GROUP BY 1)
+    SELECT p_partkey AS id, CASE WHEN p_size%9=0 THEN 'i2|i1' ELSE 'i1|i2' END AS images, CASE WHEN p_size%8=0 THEN 33 WHEN p_size%2=0 THEN 20 ELSE 0 END AS discount, p_size%10 BETWEEN 1 AND 5 AS low_stock, CASE WHEN p_size%5=0 THEN 'http://own' WHEN main IS NOT NULL THEN 'http://' || main ELSE '' END AS main_link,
+      CASE WHEN p_size%5=0 OR main IS NULL THEN CASE WHEN p_size%3>0 THEN 'Loja' ELSE 'Loja parceira' END ELSE label END AS sold_by, coalesce(n.n,0) AS n_offers, coalesce(ids,'') AS offer_ids, coalesce(seen,0) AS n_history, coalesce(alike,'') AS alike, coalesce(has,false) AS has_similar
+    FROM part LEFT JOIN n ON n.p=p_partkey LEFT JOIN s ON s.id=p_partkey WHERE p_size%7>0"""
+)
+def product_details(spark, d):
+    """Everything the page of every active product shows."""
+    got = _detailed(spark, d)
+    seen = F.aggregate("offers", F.lit(0).cast("long"), lambda n, o: n + F.size(o["history"]))
+    return got.select("id", F.array_join("images", "|").alias("images"), "discount", "card.low_stock", "main_link", "sold_by", F.size("offers").cast("long").alias("n_offers"), F.array_join(F.transform("offers", lambda o: o["id"].cast("string")), ",").alias("offer_ids"), seen.alias("n_history"), F.array_join(F.transform("similar", lambda i: i.cast("string")), ",").alias("alike"), "has_similar")
