@@ -8,6 +8,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions import jsons
+
 _COMPARE = {
     "equals": lambda c, v: c.isNull() if v is None else c == v,
     "not": lambda c, v: c.isNotNull() if v is None else c != v,
@@ -37,12 +39,12 @@ def _value(v):
 def _field(column: Column, tests) -> Column:
     if not isinstance(tests, dict):
         tests = {"equals": tests}
-    if "path" in tests:  # a value inside JSON text
-        column = F.get_json_object(column, "$." + ".".join(tests["path"]))
     fold = tests.get("mode") == "insensitive"
+    if "path" in tests or any(t.startswith(("array_", "string_")) for t in tests):
+        return _json(column, tests, fold)
     out = []
     for name, v in tests.items():
-        if name in ("path", "mode"):
+        if name == "mode":
             continue
         if name == "not" and isinstance(v, dict):
             out.append(~_field(column, v))
@@ -54,6 +56,13 @@ def _field(column: Column, tests) -> Column:
     return reduce(and_, out, F.lit(True))
 
 
+def _json(column: Column, tests: dict, fold: bool) -> Column:
+    """Tests of the value at a path of JSON text, of its whole value without one; a value that isn't there meets none."""
+    found = jsons.value(column, tests.get("path"))
+    out = [jsons.TESTS[t](found, v) if t in jsons.TESTS else jsons.TEXT_TESTS[t](found, v, fold) for t, v in tests.items() if t not in ("path", "mode")]
+    return reduce(and_, out, F.lit(True))
+
+
 def where(tree: dict) -> Column:
     """Column of a filter tree with AND, OR, NOT (each a tree or a list) over field tests; an empty OR is false."""
     out = []

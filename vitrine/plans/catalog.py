@@ -75,8 +75,7 @@ def compare_columns(spark, d):
 
 @named("SELECT event_id FROM events WHERE CAST(json_extract_string(props,'$.k') AS INTEGER) >= 50 AND event_type <> 'error'")
 def json_props_filter(spark, d):
-    hit = F.get_json_object("props", "$.k").try_cast("int") >= 50
-    return table(spark, d, "events").where(hit & where({"event_type": {"not": "error"}})).select("event_id")
+    return query.find_many(table(spark, d, "events"), {"props": {"path": ["k"], "gte": 50}, "event_type": {"not": "error"}}, select=["event_id"])
 
 
 @named("SELECT p_partkey FROM part WHERE list_has_all(string_split(p_name,' '), ['small','ring']) OR list_has_all(string_split(lower(p_type),' '), ['steel'])")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import money, text, url, values
 from vitrine.operators import query
 from vitrine.operators import where as rel
+from vitrine.operators.where import where
 from vitrine.plans.registry import named, table
 from vitrine.sources import landed, pages
 
@@ -202,3 +203,30 @@ def first_in_list(spark, d):
     """Of each customer's listed orders the first with a wanted status."""
     rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))).alias("listed"))
     return rows.select("o_custkey", values.first_match(F.col("listed"), status=F.lit("O"))["id"].alias("first_open")).where("first_open is not null")
+
+
+_JSON_TESTS = {
+    "contains_kind": ({"path": ["tags"], "array_contains": ["click"]}, "event_type='click'"),
+    "contains_object": ({"path": ["tags"], "array_contains": [{"b": 1, "a": [2.0]}, "x"]}, "event_id%3=0"),
+    "starts": ({"path": ["tags"], "array_starts_with": "view"}, "event_type='view'"),
+    "ends": ({"path": ["tags"], "array_ends_with": 2}, "event_id%5=2"),
+    "first": ({"path": ["tags", 0], "equals": "error"}, "event_type='error'"),
+    "deep": ({"path": ["in", "k"], "lt": 30}, "k<30"),
+    "between": ({"path": ["in", "k"], "gte": 10, "lte": 20}, "k BETWEEN 10 AND 20"),
+    "of_kind": ({"path": ["mixed"], "gt": 50}, "event_id%4=1 AND k>50"),
+    "as_text": ({"path": ["mixed"], "gt": "k5"}, "event_id%4=0 AND 'k' || k > 'k5'"),
+    "is_null": ({"path": ["mixed"], "equals": None}, "event_id%4=2"),
+    "differs": ({"path": ["mixed"], "not": True}, "event_id%4<>3"),
+    "text": ({"path": ["kind"], "string_contains": "LI", "mode": "insensitive"}, "contains(event_type,'li')"),
+    "whole": ({"array_contains": 1}, "false"),
+}
+
+
+@named("SELECT event_id, " + ", ".join(f"{test} AS {name}" for name, (_, test) in _JSON_TESTS.items()) + " FROM (SELECT event_id, event_type, CAST(json_extract_string(props,'$.k') AS INTEGER) AS k FROM events)")
+def json_filters(spark, d):
+    """Filters on values inside JSON: array contents and ends, deep equality, order within a kind, null, text."""
+    n, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
+    mixed = F.when(n % 4 == 0, F.concat(F.lit('"k'), k.cast("string"), F.lit('"'))).when(n % 4 == 1, F.concat(k.cast("string"), F.lit(".0"))).when(n % 4 == 2, "null").otherwise("true")
+    tags = F.concat(F.lit('["'), "event_type", F.lit('", '), F.when(n % 3 == 0, '{"a": [2], "b": 1.00}, "x", ').otherwise('"y", '), (n % 5).cast("string"), F.lit("]"))
+    doc = F.concat(F.lit('{"tags": '), tags, F.lit(', "mixed": '), mixed, F.lit(', "in": '), "props", F.lit(', "kind": "'), "event_type", F.lit('"}'))
+    return table(spark, d, "events").select("event_id", doc.alias("doc")).select("event_id", *[where({"doc": test}).alias(name) for name, (test, _) in _JSON_TESTS.items()])

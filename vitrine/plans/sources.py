@@ -155,3 +155,17 @@ def pages_loaded(spark, d):
     landed_pages = links.select(F.floor(F.col("id") / 50).alias("chain")).distinct().select(F.concat(F.lit("https://www.amazon.com.br/dp/"), "chain").alias("url"), F.when(F.col("chain") % 3 == 0, " ").otherwise("<p>page</p>").alias("html"))
     loaded, refused = redirects.load_pages(links, known, landed_pages)
     return loaded.select(F.lit("loaded").alias("error")).unionByName(refused.select("error")).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@named(
+    "SELECT page_id AS request_id, upper(trim(item)) AS item_id, ok AND shape<>3 AND shape<>4 AS success, CASE WHEN ok AND shape<>3 THEN shape IN (0,4) END AS is_json, CASE WHEN NOT ok THEN NULL WHEN shape IN (0,4) THEN '{\"id\":' || page_id || ',\"price\":' || (page_id+0.5) || ',\"url\":\"' || url || '\"}' WHEN shape<>3 THEN html END AS data, CASE WHEN NOT ok THEN 'invalid item' WHEN shape=3 THEN 'no response' WHEN shape=4 THEN 'status 404' END AS error "
+    "FROM (SELECT *, CASE WHEN page_id%7=2 THEN 'MLB' || page_id || 'x' WHEN page_id%7=3 THEN '' ELSE ' mlb' || page_id END AS item, page_id%7 NOT IN (2,3) AS ok, page_id%5 AS shape FROM pages)"
+)
+def multiget_bodies(spark, d):
+    """Items asked for at once: JSON bodies in canonical form, pages kept as text, refused ids, missing and failed answers."""
+    n, say = F.col("page_id"), F.col("page_id").cast("string")
+    rows = table(spark, d, "pages")
+    item = F.when(n % 7 == 2, F.concat(F.lit("MLB"), say, F.lit("x"))).when(n % 7 == 3, "").otherwise(F.concat(F.lit(" mlb"), say))
+    told = F.concat(F.lit('{ "url": "'), "url", F.lit('", "price": '), (n + 0.5).cast("string"), F.lit('0, "id": '), say, F.lit("}"))
+    responses = rows.where(n % 5 != 3).select(F.concat(F.lit("MLB"), say).alias("item_id"), F.when(n % 5 == 4, 404).otherwise(200).alias("status"), F.when((n % 5).isin(0, 4), told).otherwise(F.col("html")).alias("body"))
+    return landed.multiget(rows.select(n.alias("request_id"), item.alias("item_id")), responses)

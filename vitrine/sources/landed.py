@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions import money, text, url
+from vitrine.functions import jsons, money, text, url
 from vitrine.functions.attrs import union_distinct
 from vitrine.sources.redirects import follow
 
@@ -175,6 +175,22 @@ def category_list(categories: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min(F.trim("name")).alias("name"))
 
 
+def multiget(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """(request_id, item_id, success, is_json, data, error) of requests (request_id, item_id) against landed responses (item_id, status, body).
+
+    Item ids are trimmed and upper-cased; what isn't MLB and digits is refused and asks for nothing. A body that isn't
+    JSON is kept as the text it is; an item without a response, or with a status from 400 on, is an error with its
+    body kept. Of several responses to an item the one with the least status, then body, counts.
+    """
+    asked = requests.withColumn("item_id", F.upper(F.trim(F.coalesce("item_id", F.lit("")))))
+    told = responses.groupBy(F.upper(F.trim("item_id")).alias("item_id")).agg(F.min(F.struct("status", "body")).alias("r"))
+    valid = F.col("item_id").rlike(r"^MLB\d+$")
+    rows = asked.join(told, "item_id", "left").withColumn("b", jsons.body(F.col("r.body")))
+    error = F.when(~valid, "invalid item").when(F.col("r").isNull(), "no response").when(F.col("r.status") >= 400, F.concat(F.lit("status "), F.col("r.status").cast("string")))
+    there = valid & F.col("r.body").isNotNull()
+    return rows.select("request_id", "item_id", error.isNull().alias("success"), F.when(there, F.col("b.is_json")).alias("is_json"), F.when(there, F.col("b.data")).alias("data"), error.alias("error"))
+
+
 def exact_offers(responses: DataFrame) -> DataFrame:
     """Of each response (shop, item, nodes: array of AFFILIATE_OFFER) the node of that shop and item, or the reason why there is none in error."""
     node = F.get(F.filter("nodes", lambda n: (n["shopId"].cast("string") == F.col("shop")) & (n["itemId"].cast("string") == F.col("item"))), F.lit(0))
