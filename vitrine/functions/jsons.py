@@ -18,10 +18,12 @@ _NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*)$"
 
 
 def path(parts: list[str | int] | None) -> str:
-    """A path of names and places; names of digits are places of arrays too where they stand as numbers."""
+    """A path of names (text) and places in arrays (numbers); a name with both kinds of quotes can't be told."""
     out = "$"
     for p in parts or []:
-        out += f"[{p}]" if isinstance(p, int) else f".{p}" if re.fullmatch(r"[A-Za-z_]\w*", p) else "['" + p.replace("'", "\\'") + "']"
+        if isinstance(p, str) and "'" in p and '"' in p:
+            raise ValueError(f"no path for the name {p}")
+        out += f"[{p}]" if isinstance(p, int) else f".{p}" if re.fullmatch(r"[A-Za-z_]\w*", p) else f'["{p}"]' if "'" in p else f"['{p}']"
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators import detail, discovery, favorites, publish
+from vitrine.operators.nested import Plan, ToMany, ToOne, nested_write
 from vitrine.plans.registry import named, table
 
 _text = lambda c: F.col(c).cast("string")
@@ -236,3 +237,66 @@ def product_details(spark, d):
     got = _detailed(spark, d)
     seen = F.aggregate("offers", F.lit(0).cast("long"), lambda n, o: n + F.size(o["history"]))
     return got.select("id", F.array_join("images", "|").alias("images"), "discount", "card.low_stock", "main_link", "sold_by", F.size("offers").cast("long").alias("n_offers"), F.array_join(F.transform("offers", lambda o: o["id"].cast("string")), ",").alias("offer_ids"), seen.alias("n_history"), F.array_join(F.transform("similar", lambda i: i.cast("string")), ",").alias("alike"), "has_similar")
+
+
+_PLAN = Plan("product", "slug", ("name", "price"), one=(ToOne("category", "category", "name", "category_id"), ToOne("store", "store", "name", "store_id", connect=True)), many=(ToMany("offers", "offer", ("market",), "product_id", upsert=True), ToMany("tags", "tag", ("tag",), "product_id")))
+
+
+def _written(spark, d) -> dict[str, DataFrame]:
+    """Every part is created, upserted or updated, some twice, with its category, its store, its offers and its tags; every third is stored already."""
+    key, part = F.col("p_partkey"), table(spark, d, "part")
+    say = lambda a, b: F.concat(F.lit(a), b.cast("string"))
+    seen = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sort_array(F.collect_set(F.struct(say("m", F.col("l_suppkey") % 4).alias("market"), F.col("l_extendedprice").alias("price")))).alias("offers"))
+    rows = part.join(seen, "p_partkey", "left")
+    once = rows.select(
+        (key * 2).alias("request_id"), F.element_at(F.array(F.lit("create"), F.lit("upsert"), F.lit("update"), F.lit("upsert")), (key % 4 + 1).cast("int")).alias("action"), F.when(key % 23 > 0, say("s", key)).alias("slug"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"),
+        F.when(key % 5 > 0, F.struct(F.col("p_type").alias("name"), say("made by ", key).alias("note"))).alias("category"), F.when(key % 3 > 0, F.struct(say("store", key % 7).alias("name"))).alias("store"), F.when(key % 6 > 0, F.col("offers")).alias("offers"), F.array(F.struct(F.col("p_brand").alias("tag"), F.lit(1).alias("n")), F.struct(F.when(key % 2 == 0, "even").alias("tag"), F.lit(2).alias("n")), F.struct(F.col("p_brand").alias("tag"), F.lit(3).alias("n"))).alias("tags"),
+    )
+    again = once.where("request_id % 7 = 0").withColumns({"request_id": F.col("request_id") + 10**9, "action": F.lit("update"), "name": F.concat("name", F.lit(" again")), "tags": F.array(F.struct(F.lit("more").alias("tag"), F.lit(4).alias("n")))})
+    tables = {
+        "product": part.where("p_partkey % 3 = 0").select(say("old", key).alias("id"), say("s", key).alias("slug"), F.lit("stored").alias("name"), F.lit(0.5).alias("price"), F.lit("c0").alias("category_id"), F.lit(None).cast("string").alias("store_id")),
+        "category": part.where("p_type like 'S%'").select("p_type").distinct().select(say("c", F.col("p_type")).alias("id"), F.col("p_type").alias("name"), F.lit("stored").alias("note")),
+        "store": table(spark, d, "nation").where("n_nationkey < 5").select(say("t", F.col("n_nationkey")).alias("id"), say("store", F.col("n_nationkey")).alias("name")),
+        "offer": part.where("p_partkey % 3 = 0").select(say("o", key).alias("id"), say("old", key).alias("product_id"), F.lit("m1").alias("market"), F.lit(9.5).alias("price")),
+        "tag": part.where("p_partkey % 6 = 0").select(say("g", key).alias("id"), say("old", key).alias("product_id"), F.lit("even").alias("tag"), F.lit(0).alias("n")),
+    }
+    return nested_write(once.unionByName(again), tables, _PLAN)
+
+
+_WRITTEN = """WITH q AS (SELECT p_partkey AS k, p_partkey*2 AS r, CASE p_partkey%4 WHEN 0 THEN 'create' WHEN 2 THEN 'update' ELSE 'upsert' END AS action, p_name AS name FROM part UNION ALL SELECT p_partkey, p_partkey*2+1000000000, 'update', p_name || ' again' FROM part WHERE p_partkey*2%7=0),
+e AS (SELECT *, p_partkey%3=0 AS there, k%23=0 AS unkeyed, k%3>0 AND k%7>4 AS astray FROM q JOIN part ON p_partkey=k),
+w AS (SELECT *, min(CASE WHEN action<>'update' AND NOT unkeyed AND NOT astray THEN r END) OVER (PARTITION BY k) AS begun FROM e),
+v AS (SELECT *, CASE WHEN unkeyed THEN 'no key' WHEN astray THEN 'related row not found' WHEN action='create' AND (there OR r>begun) THEN 'exists already' WHEN action='update' AND NOT there AND NOT coalesce(begun<r, false) THEN 'not found' END AS error, CASE WHEN there THEN 'old' || k ELSE substr(sha256('product|s' || k),1,32) END AS id FROM w),
+g AS (SELECT * FROM v WHERE error IS NULL),
+c AS (SELECT 'c' || p_type AS id, p_type AS name, 'stored' AS note FROM part WHERE p_type LIKE 'S%' GROUP BY p_type UNION ALL SELECT substr(sha256('category|' || p_type),1,32), p_type, arg_min('made by ' || k, r) FROM g WHERE k%5>0 AND p_type NOT LIKE 'S%' GROUP BY p_type)
+"""
+
+
+@named(_WRITTEN + "SELECT r AS request_id, error FROM v WHERE error IS NOT NULL")
+def nested_refused(spark, d):
+    """Requests that are refused whole."""
+    return _written(spark, d)["refused"]
+
+
+@named(_WRITTEN + "SELECT coalesce(n.id, s.id) AS id, coalesce(n.slug, s.slug) AS slug, coalesce(n.name, s.name) AS name, coalesce(n.price, 0.5) AS price, CASE WHEN n.id IS NOT NULL AND n.k%5>0 THEN (SELECT c.id FROM c WHERE c.name=n.p_type) WHEN s.id IS NOT NULL THEN 'c0' END AS category_id, CASE WHEN n.k%3>0 THEN 't' || (n.k%7) END AS store_id FROM (SELECT id, 's' || k AS slug, arg_max(name, r) AS name, any_value(p_retailprice) AS price, k, p_type FROM g GROUP BY id, k, p_type) n FULL JOIN (SELECT 'old' || p_partkey AS id, 's' || p_partkey AS slug, 'stored' AS name FROM part WHERE p_partkey%3=0) s ON s.id=n.id")
+def nested_products(spark, d):
+    """Parents after the requests, with the ids of their category and store."""
+    return _written(spark, d)["product"]
+
+
+@named(_WRITTEN + "SELECT id, name, note FROM c")
+def nested_categories(spark, d):
+    """Related rows that were there or that the first request made."""
+    return _written(spark, d)["category"]
+
+
+@named(_WRITTEN + "SELECT coalesce(s.id, substr(sha256('offer|' || n.id || '|' || n.market),1,32)) AS id, coalesce(n.id, s.product_id) AS product_id, coalesce(n.market, 'm1') AS market, coalesce(n.price, 9.5) AS price FROM (SELECT g.id, 'm' || (l_suppkey%4) AS market, max(l_extendedprice) AS price FROM g JOIN lineitem ON l_partkey=k WHERE k%6>0 GROUP BY 1, 2) n FULL JOIN (SELECT 'o' || p_partkey AS id, 'old' || p_partkey AS product_id FROM part WHERE p_partkey%3=0) s ON s.product_id=n.id AND n.market='m1'")
+def nested_offers(spark, d):
+    """Children that are replaced or made: the last of each market counts."""
+    return _written(spark, d)["offer"]
+
+
+@named(_WRITTEN + ", t AS (SELECT id, p_brand AS tag, 1 AS n FROM g WHERE r<1000000000 UNION ALL SELECT id, 'even', 2 FROM g WHERE r<1000000000 AND k%2=0 UNION ALL SELECT id, 'more', 4 FROM g WHERE r>=1000000000) SELECT coalesce(s.id, substr(sha256('tag|' || t.id || '|' || t.tag),1,32)) AS id, coalesce(t.id, s.product_id) AS product_id, coalesce(t.tag, 'even') AS tag, coalesce(s.n, t.n) AS n FROM t FULL JOIN (SELECT 'g' || p_partkey AS id, 'old' || p_partkey AS product_id, 0 AS n FROM part WHERE p_partkey%6=0) s ON s.product_id=t.id AND t.tag='even'")
+def nested_tags(spark, d):
+    """Children that are made only where there are none."""
+    return _written(spark, d)["tag"]
