@@ -23,6 +23,10 @@ from vitrine.llm.urls import host_of
 LEAST_PAGES, LEAST_BLOCK_PAGES = 5, 20
 #: Within an article, near copies must not pass for different texts: one of so many pages at least must differ in the rest.
 COPIES_EACH = 3
+#: A block of fewer words within an article, with text of the article before and after it, is taken for a heading, which may recur.
+LEAST_WORDS = 5
+#: Of several articles those are taken that hold at least one of so many parts of the largest one's text.
+TEASER = 4
 SHINGLE = 5
 #: Shares that a host's pages are dealt to where its templates don't fit a broadcast.
 SALTS = 16
@@ -38,12 +42,15 @@ SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPES = frozenset("html body article main section div table ul ol dl blockquote td th nav aside footer header form button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login menu modal nav navbar navigation newsletter notice overlay pagination popup promo promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login menu modal nav navbar navigation newsletter notice overlay pagination popup promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 #: Words that make a name of furniture with one of NAMES: before it, and after it.
 BEFORE = frozenset("site page main top bottom left right global primary secondary side google user reader cookie gdpr privacy social sticky mobile".split())
-AFTER = frozenset("bar bars box slot unit area block banner list links link menu section container wrapper wrap form thread panel popup modal notice widget widgets buttons button icons inner outer top bottom left right main primary secondary 1 2 3".split())
-CONTAINERS = frozenset("div section ul ol dl table header figure center".split())
+AFTER = frozenset("bar bars box slot unit area block banner list links link menu section container wrapper wrap form thread panel popup modal notice widget widgets buttons button icons message messages this item items inner outer top bottom left right main primary secondary 1 2 3".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that any of NAMES may mark; others, blocks of text and their parts, only these of them.
+CONTAINERS = frozenset("article div section ul ol dl table header figure center".split())
+NAMES_OF_TEXT = frozenset("ad ads adv advert adverts advertisement advertising comment comments consent cookie cookies gdpr newsletter promo replies reply share sharing sponsor sponsored subscribe".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(script|style|noscript|template|textarea|title|iframe|svg|math|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -55,12 +62,12 @@ _PART = re.compile(r"[-_]+")
 
 
 class Node:
-    __slots__ = ("tag", "named", "parts", "gone", "mark", "size", "span")
+    __slots__ = ("tag", "named", "parts", "gone", "mark", "size", "span", "short")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.parts, self.mark, self.size, self.span = tag, [], None, 0, (0, 0)
         self.named = {k.lower(): (a or b or c or "") for k, a, b, c in _NAMED.findall(attributes)} if "=" in attributes or "hidden" in attributes else {}
-        self.gone = False
+        self.gone = self.short = False
 
 
 def parse(page: str) -> Node:
@@ -121,10 +128,10 @@ def digest_subtrees(root: Node) -> None:
 
 def removable(node: Node, inside: bool, page_size: int) -> bool:
     """Whether recurrence may delete the element: not the page itself, the article or, within it, part of a sentence
-    or table or a container of more than half of the page's text."""
+    or table, a heading, a short block between others or a container of more than half of the page's text."""
     if node.tag in ("#", "html", "body", "article", "main"):
         return False
-    if inside and node.tag not in TEXT_BLOCKS and 2 * node.size > page_size:
+    if inside and (node.tag in HEADINGS or node.short or (node.tag not in TEXT_BLOCKS and 2 * node.size > page_size)):
         return False
     return not (inside and (node.tag in CELLS or node.tag in INLINE or node.tag in VOID))
 
@@ -134,13 +141,13 @@ def template_key(node: Node, inside: bool) -> int:
     return node.mark ^ 1 if inside and node.tag in TEXT_BLOCKS else node.mark
 
 
-def named_furniture(name: str) -> bool:
+def named_furniture(name: str, names: frozenset = NAMES) -> bool:
     """Whether a class or id, whole, names furniture: sidebar, ad-slot or site_footer, but not post-header."""
     parts = [x for x in _PART.split(name) if x]
     if not parts or len(parts) > 4:
         return False
     for k, part in enumerate(parts):
-        if part in NAMES and all(x in BEFORE or x in NAMES for x in parts[:k]) and all(x in AFTER or x in NAMES or x.isdigit() for x in parts[k + 1 :]):
+        if part in names and all(x in BEFORE or x in NAMES for x in parts[:k]) and all(x in AFTER or x in NAMES or x.isdigit() for x in parts[k + 1 :]):
             return True
     return False
 
@@ -148,29 +155,61 @@ def named_furniture(name: str) -> bool:
 def furniture(node: Node, inside: bool, page_size: int) -> str | None:
     """Why the element is page furniture: "element" by its tag, role or state, "name" by class or id; else None.
 
-    A header counts outside the article only. Names count for containers, and not for one that holds more
-    than half of the page's text.
+    A header counts outside the article only. Names count for all elements but headings and table cells, fewer
+    of them for blocks of text, and not for one that holds more than half of the page's text.
     """
     if node.tag in FURNITURE or (node.tag == "header" and not inside):
         return "element"
     named = node.named
-    if not named or node.tag in ("#", "html", "body", "main", "article"):
+    if not named or node.tag in ("#", "html", "body", "main"):
         return None
     if named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower():
         return "element"
-    if node.tag not in CONTAINERS or 2 * node.size > page_size:
+    if node.tag in HEADINGS or node.tag in CELLS or 2 * node.size > page_size:
         return None
     names = (named.get("class", "") + " " + named.get("id", "")).lower().split()
-    return "name" if any(named_furniture(n) and not (inside and "header" in _PART.split(n)) for n in names) else None
+    of = NAMES if node.tag in CONTAINERS else NAMES_OF_TEXT
+    return "name" if any(named_furniture(n, of) and not (inside and "header" in _PART.split(n)) for n in names) else None
 
 
 def measure(root: Node) -> None:
-    """Give every element the length of its text without what tags alone mark as furniture."""
+    """Give every element the length of its text without what tags alone mark as furniture, and whether it is a short
+    block with text of its article before and after it."""
     for node, inside in reversed(list(_walk(root))):
         if node.tag in FURNITURE or (node.tag == "header" and not inside):
             node.size = 0
         else:
             node.size = sum(len(p.strip()) if isinstance(p, str) else p.size for p in node.parts)
+    for top in _tops(root):
+        words, blocks = 0, []
+        todo: list = [(top, False)]
+        while todo:
+            part, end = todo.pop()
+            if isinstance(part, str):
+                words += len(part.split())
+            elif end:
+                part.span = (part.span[0], words)
+            else:
+                part.span = (words, words)
+                todo.append((part, True))
+                todo += [(c, False) for c in reversed(part.parts)]
+                if part.tag in TEXT_BLOCKS:
+                    blocks.append(part)
+        for part in blocks:
+            a, b = part.span
+            part.short = 0 < a and b < words and b - a < LEAST_WORDS
+
+
+def _tops(root: Node) -> list[Node]:
+    """The outermost articles, in page order."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("article", "main") or node.named.get("role") == "main":
+            out.append(node)
+        else:
+            todo += [c for c in reversed(node.parts) if isinstance(c, Node)]
+    return out
 
 
 def strip(root: Node, templates: frozenset | set = frozenset()) -> dict[str, int]:
@@ -199,9 +238,22 @@ def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
     return left_text(root)
 
 
+def _shown_tops(root: Node) -> list[Node]:
+    """The outermost articles that don't lie within what strip() removed."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.gone:
+            continue
+        if node.tag in ("article", "main") or node.named.get("role") == "main":
+            out.append(node)
+        else:
+            todo += [c for c in reversed(node.parts) if isinstance(c, Node)]
+    return out
+
+
 def left_text(root: Node) -> str:
-    """The text of what strip() left."""
-    found = False
+    """The text of what strip() left: of the articles, without those much smaller than the largest, else of all."""
     out: list[str] = []
 
     def text_of(top: Node) -> None:
@@ -214,19 +266,11 @@ def left_text(root: Node) -> str:
                 edge = [] if part.tag in INLINE else [" "]
                 todo += [*edge, *reversed(part.parts), *edge]
 
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node.gone:
-            continue
-        if node.tag in ("article", "main") or node.named.get("role") == "main":
-            found = True
-            text_of(node)
-            out.append(" ")
-        else:
-            todo += [c for c in reversed(node.parts) if isinstance(c, Node)]
-    if not found:
-        text_of(root)
+    tops = [t for t in _shown_tops(root) if not t.gone]
+    largest = max((t.size for t in tops), default=0)
+    for top in [t for t in tops if TEASER * t.size >= largest] or [root]:
+        text_of(top)
+        out.append(" ")
     return " ".join("".join(out).split())
 
 
@@ -288,8 +332,9 @@ def _subtrees(batches):
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(blocks, pa.bool_()), pa.array(articles, pa.bool_()), pa.array(contents, pa.int64())], names=["host", "mark", "block", "inside", "content"])
 
 
-def _extract(html_at: int, keep: list[int]):
-    """Main text and removal counts of each page; the last two columns are its host and the host's templates."""
+def _extract(html_at: int, keep: list[int], told=None):
+    """Main text and removal counts of each page; the last two columns are its host and, in rows that aren't pages, the templates
+    of the host's pages after it. told: a broadcast of all hosts' templates instead."""
 
     def run(batches):
         last, known = None, frozenset()
@@ -297,15 +342,22 @@ def _extract(html_at: int, keep: list[int]):
         for batch in batches:
             texts, counts = [], []
             marks = batch.column(batch.num_columns - 1)
+            is_page = marks.is_null()
             for k, (page, host) in enumerate(zip(batch.column(html_at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), strict=True)):
-                if host is None or host != last:
-                    last, known = host, frozenset(marks[k].as_py() or ())
+                if told is not None:
+                    known = told.value.get(host, frozenset())
+                elif not is_page[k].as_py():
+                    last, known = host, frozenset(marks[k].as_py())
+                    continue
+                elif host != last:
+                    last, known = host, frozenset()
                 root = parse(page or "")
                 if known:
                     digest_subtrees(root)
                 counts.append(strip(root, known))
                 texts.append(left_text(root))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(texts, pa.string()), pa.array(counts, kind)], names=[*[batch.schema.names[i] for i in keep], "main_text", "removed"])
+            pages = batch.filter(is_page)
+            yield pa.RecordBatch.from_arrays([*[pages.column(i) for i in keep], pa.array(texts, pa.string()), pa.array(counts, kind)], names=[*[batch.schema.names[i] for i in keep], "main_text", "removed"])
 
     return run
 
@@ -334,10 +386,10 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", leas
     First go, per host, subtrees that are the same on pages with least_pages different main texts, however
     many pages the host has; within an article a block of text goes from least_block_pages on, and only if
     the rest of those articles differs on one of COPIES_EACH pages, so that near copies don't delete one
-    another. Inline elements and table rows of an article, and its containers of more than half of a page's text,
-    stay. Then go elements that are furniture by tag, role or state, and containers that name themselves menu,
-    footer, advert and the like. Of what is left the article is taken, where a page marks one. On hosts of fewer
-    than least_pages pages nothing is found to recur.
+    another. Headings, short blocks between others, inline elements and table rows of an article, and its containers of more than half of a page's text,
+    stay. Then go elements that are furniture by tag, role or state, and those that name themselves menu,
+    footer, advert, comment and the like. Of what is left the article is taken, where a page marks one; of several those
+    that aren't much smaller than the largest (TEASER). On hosts of fewer than least_pages pages nothing is found to recur.
 
     Character references are decoded and white space becomes one space. Null or empty html gives an empty
     text; null urls and urls without a host form one host; an empty table gives no rows; repeated rows stay.
@@ -347,13 +399,17 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", leas
     columns = list(dict.fromkeys([*kept, html_col, url_col]))
     host = F.xxhash64(host_of(F.col(url_col)))
     found = templates(pages, url_col, html_col, least_pages, least_block_pages)
-    keyed = pages.select(F.struct(*columns).alias("page"), host.alias("host"), F.pmod(F.xxhash64(html_col), F.lit(SALTS)).cast("int").alias("salt"))
+    keyed = pages.select(*[F.col(f"`{c}`") for c in columns], host.alias("__host"))
     rows, size = weight(found)
-    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
-        told = keyed.join(F.broadcast(found), "host", "left")
-    else:  # each host's pages go to SALTS tasks, to a copy of its templates each
-        told = keyed.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
-    told = told.select("page.*", F.col("host").alias("__host"), F.col("marks").alias("__marks"))
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:  # counted: small enough for every worker
+        shipped = pages.sparkSession.sparkContext.broadcast({r.host: frozenset(r.marks) for r in found.collect()})
+        told = keyed.withColumn("__marks", F.lit(None).cast("array<long>"))
+    else:  # each host's pages go to SALTS shares, its templates once before each
+        shipped = None
+        salted = keyed.withColumns({"__marks": F.lit(None).cast("array<long>"), "__salt": F.pmod(F.xxhash64(F.col(f"`{html_col}`")), F.lit(SALTS)).cast("int")})
+        heads = found.select(F.col("host").alias("__host"), F.col("marks").alias("__marks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+        both = salted.unionByName(heads, allowMissingColumns=True)
+        told = both.repartition("__host", "__salt").sortWithinPartitions("__host", "__salt", F.col("__marks").isNull()).drop("__salt")
     kind = T.StructType([T.StructField(r, T.IntegerType()) for r in RULES])
     schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField("main_text", T.StringType()), T.StructField("removed", kind)])
-    return told.mapInArrow(_extract(columns.index(html_col), [columns.index(c) for c in kept]), schema)
+    return told.mapInArrow(_extract(columns.index(html_col), [columns.index(c) for c in kept], shipped), schema)
