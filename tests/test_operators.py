@@ -105,7 +105,7 @@ def test_records_of_one_new_product_meet(spark):
     now = F.lit("2030-01-01").cast("timestamp_ntz")
     got = save.save_products(records, spark.createDataFrame([], product), spark.createDataFrame([], offer), spark.createDataFrame([], "offer_id string, price double, recorded_at timestamp_ntz"), now)
     made = got["products"].collect()
-    assert [(p.name, p.category, p.publication_status, p.store) for p in made] == [("first", "Ofertas", "LIVE_PARTIAL", "Amazon")]
+    assert [(p.name, p.category, p.publication_status, p.store) for p in made] == [("first", "Ofertas", "LIVE_PARTIAL", "Shopee")]  # the best offer's store
     assert sorted((o.marketplace, o.is_best, o.status) for o in got["offers"].collect()) == [("AMAZON", False, "PENDING_AFFILIATE"), ("SHOPEE", True, "PENDING_AFFILIATE")]
     assert got["history"].count() == 2 and sorted(r.error for r in got["refused"].collect()) == ["no external id", "no valid price"]
 
