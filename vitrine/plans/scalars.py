@@ -71,7 +71,7 @@ def url_cases(spark, d):
 
 _VALUES = {
     "whole": [("1.234 avaliações", 1234), ("abc", None), ("(12)", 12)],
-    "stock": [("Indisponível no momento", 0), ("Somente 3 em estoque", 3), ("Em estoque", None), ("https://schema.org/OutOfStock", 0)],
+    "stock": [("Indisponível no momento", 0), ("Somente 3 em estoque", 3), ("Em estoque", None), ("https://schema.org/OutOfStock", None), ("Temporariamente sem estoque.", 0), ("Não disponível", 0), ("Currently unavailable.", 0), ("Restam apenas 7 unidades", 7), ("Somente hoje: em 3 dias", None)],
     "shown": [("true", "Sim"), ("false", "Não"), ('["a","b"]', "a, b"), ("null", "Não informado"), ("12.5", "12.5"), ('"x y"', "x y"), ('{"a":1}', '{"a":1}')],
     "null_kind": [("null", "JsonNull"), (None, "DbNull"), ("1", None)],
     "ids": [('[" a","b","a",""]', "a|b"), ("nothing", ""), ('{"a":1}', ""), (None, "")],
