@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.operators.where import where
+from vitrine.storage import save
 
 _AGG = {"count": F.count, "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
 
@@ -85,7 +86,8 @@ def best_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def numbered(rows: DataFrame, key: str, name: str = "_number") -> DataFrame:
     """All rows with their number from 0 in order of the key: ranges are numbered apart, after the counts of earlier ones."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(tasks, key).sortWithinPartitions(key).withColumn(name, F.monotonically_increasing_id())
+    # Stored, so that counts and numbers are of the same ranges.
+    placed = save(rows.repartitionByRange(tasks, key).sortWithinPartitions(key).withColumn(name, F.monotonically_increasing_id()), "numbered")
     part = F.shiftright(F.col(name), 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
