@@ -182,8 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates. First each is confirmed on full sets against the best connected class of its bucket. Buckets
     that then still hold several components are compared by signature, block against block, which leaves
     clusters of similar classes; each cluster is confirmed on full sets, block against block. Blocks give a
-    spanning forest, so rows stay in proportion to documents. A linked pair goes unseen with a chance below
-    1e-5 at the limit itself, less above it.
+    spanning forest, so rows stay in proportion to documents. With 25 bands of 5 a pair of likeness s shares no
+    band with chance (1 - s**5)**25: 5e-5 at 0.80, 4e-7 at 0.85, less above; such a pair is linked only through others.
 
     Null or blank texts have no shingles and stand alone; rows with a null id come back with null
     component_id and kept false; repeated ids count as one document; other columns are ignored.
