@@ -27,7 +27,7 @@ def _discovered(spark, d) -> tuple[DataFrame, DataFrame]:
     twice = part.where("p_partkey % 4 = 0").select(F.col("p_type").alias("category_id"), (F.col("p_partkey") + 1000000).alias("position"), _mlb(F.col("p_partkey")).alias("external_id"), F.when(size % 7 == 0, "ITEM").otherwise("PRODUCT").alias("type"))
     line, price = F.col("l_linenumber"), F.col("l_extendedprice")
     offers = table(spark, d, "lineitem").select(
-        _mlb(F.col("l_partkey")).alias("external_id"), (F.col("l_orderkey") * 10 + line).alias("place"), F.when(line < 7, _text("l_orderkey")).alias("item_id"), F.round(price * (1 - F.col("l_discount")), 2).alias("price"), F.when(F.col("l_quantity") < 2, price).alias("original_price"),
+        _mlb(F.col("l_partkey")).alias("external_id"), (F.col("l_orderkey") * 10 + line).alias("place"), F.when(line < 7, _text("l_orderkey")).alias("item_id"), (F.floor(price * (1 - F.col("l_discount")) * 100) / 100).alias("price"), F.when(F.col("l_quantity") < 2, price).alias("original_price"),
         F.when(F.col("l_returnflag") == "R", "closed").when(line < 3, "active").alias("status"), F.when(line % 2 == 1, F.concat(F.lit("http://x/"), _text("l_orderkey"))).alias("permalink"), F.lit(None).cast("string").alias("image"),
     )
     details = part.select(_mlb(F.col("p_partkey")).alias("external_id"), F.when(size % 11 == 0, " ").otherwise(F.col("p_name")).alias("title"), F.lit("http://i/").alias("image"))
@@ -37,7 +37,7 @@ def _discovered(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 _DISCOVERED = """WITH h AS (SELECT p_type AS c, p_partkey AS pos, 'MLB' || p_partkey AS id, p_size%7<>0 AS product, p_size%11<>0 AS titled, p_name FROM part UNION ALL SELECT p_type, p_partkey+1000000, 'MLB' || p_partkey, p_size%7<>0, p_size%11<>0, p_name FROM part WHERE p_partkey%4=0),
-o AS (SELECT 'MLB' || l_partkey AS id, l_orderkey*10+l_linenumber AS place, round(l_extendedprice*(1-l_discount),2) AS price, l_extendedprice AS old, CASE WHEN l_linenumber%2=1 THEN 'http://x/' || l_orderkey END AS link FROM lineitem WHERE l_quantity<2 AND l_linenumber<7 AND l_returnflag<>'R'),
+o AS (SELECT 'MLB' || l_partkey AS id, l_orderkey*10+l_linenumber AS place, floor(l_extendedprice*(1-l_discount)*100)/100 AS price, l_extendedprice AS old, CASE WHEN l_linenumber%2=1 THEN 'http://x/' || l_orderkey END AS link FROM lineitem WHERE l_quantity<2 AND l_linenumber<7 AND l_returnflag<>'R'),
 b AS (SELECT * FROM o WHERE price>0 AND old>price QUALIFY row_number() OVER (PARTITION BY id ORDER BY (old-price)/old DESC, place)=1),
 f AS (SELECT h.*, md5(c || ':' || h.id || ':' || pos || ':7') AS key, price, old, link, CAST(round((old-price)/old*100) AS INTEGER) AS discount, coalesce(titled AND round((old-price)/old*100)>0, false) AS good FROM h LEFT JOIN b ON b.id=h.id WHERE product AND h.id NOT IN (SELECT 'MLB' || o_custkey*2 FROM orders)),
 n AS (SELECT *, (row_number() OVER (PARTITION BY c ORDER BY key)-1)//4 AS batch FROM f),
