@@ -23,8 +23,8 @@ from vitrine.llm.urls import host_of
 LEAST_PAGES, LEAST_BLOCK_PAGES = 5, 20
 #: Within an article, near copies must not pass for different texts: one of so many pages at least must differ in the rest.
 COPIES_EACH = 3
-#: A block of fewer words within an article, with text of the article before and after it, is taken for a heading, which may recur.
-LEAST_WORDS = 5
+#: A block of fewer words and characters within an article, with text of the article before and after it, is taken for a heading, which may recur.
+LEAST_WORDS, HEADING_CHARS = 5, 200
 #: Of several articles those are taken that hold at least one of so many parts of the largest one's text.
 TEASER = 4
 SHINGLE = 5
@@ -181,23 +181,32 @@ def measure(root: Node) -> None:
         else:
             node.size = sum(len(p.strip()) if isinstance(p, str) else p.size for p in node.parts)
     for top in _tops(root):
-        words, blocks = 0, []
-        todo: list = [(top, False)]
+        pieces, blocks = 0, []  # texts that aren't blank so far; (block, texts before it, texts up to its end)
+        todo: list = [top]
         while todo:
-            part, end = todo.pop()
+            part = todo.pop()
             if isinstance(part, str):
-                words += len(part.split())
-            elif end:
-                part.span = (part.span[0], words)
+                pieces += bool(part) and not part.isspace()
+            elif isinstance(part, list):
+                part[2] = pieces
+            else:
+                if part.tag in TEXT_BLOCKS and part.size < HEADING_CHARS:
+                    blocks.append([part, pieces, pieces])
+                    todo.append(blocks[-1])
+                todo += reversed(part.parts)
+        for block, before, upto in blocks:
+            block.short = 0 < before and upto < pieces and _words(block) < LEAST_WORDS
+
+
+def _words(node: Node) -> int:
+    n, todo = 0, [node]
+    while todo:
+        for part in todo.pop().parts:
+            if isinstance(part, str):
+                n += len(part.split())
             else:
-                part.span = (words, words)
-                todo.append((part, True))
-                todo += [(c, False) for c in reversed(part.parts)]
-                if part.tag in TEXT_BLOCKS:
-                    blocks.append(part)
-        for part in blocks:
-            a, b = part.span
-            part.short = 0 < a and b < words and b - a < LEAST_WORDS
+                todo.append(part)
+    return n
 
 
 def _tops(root: Node) -> list[Node]:
