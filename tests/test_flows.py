@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions import jsons
-from vitrine.operators import discovery, favorites, publish
+from vitrine.operators import discovery, favorites, publish, workflow
 from vitrine.operators.nested import MISSING, NO_RELATED, Plan, ToMany, ToOne, nested_write
 from vitrine.operators.where import where
 from vitrine.sources import landed, redirects
@@ -101,3 +101,11 @@ def test_json_filters(spark, test, found):
 def test_bodies_that_are_not_json_are_kept(spark):
     df = spark.createDataFrame([("{ \"b\": 1, \"a\": 2.50 }",), ("<p>",), ("null",), (None,)], "t string")
     assert [tuple(r.b) for r in df.select(jsons.body(F.col("t")).alias("b")).collect()] == [(True, '{"a":2.5,"b":1}'), (False, "<p>"), (True, "null"), (False, None)]
+
+
+def test_long_messages_are_cut_before_they_meet_the_queue(spark):
+    rows = spark.range(20).select("id", F.lit("PROCESSING").alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("string").alias("product_id"))
+    done = workflow.finish(rows, rows.select("id", "product_id", F.repeat(F.lit("x"), 3000).alias("error")))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r.status, len(r.error_message)) for r in done.collect()} == {("ERROR", 2000)}

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from vitrine.operators.query import clamp
 
+#: Characters that are kept of a message.
+MESSAGE = 2000
+
 
 def claim(queue: DataFrame, limit=5, created: str = "created_at", id: str = "id") -> DataFrame:
     """The queue with its oldest pending rows in processing, one attempt more and no error."""
@@ -16,20 +19,24 @@ def claim(queue: DataFrame, limit=5, created: str = "created_at", id: str = "id"
     return rows.withColumns({"attempts": F.col("attempts") + F.when(taken, 1).otherwise(0), "error_message": F.when(~taken, F.col("error_message")), "status": F.when(taken, "PROCESSING").otherwise(F.col("status"))}).select(*queue.columns)
 
 
+def _ended(results: DataFrame, id: str) -> DataFrame:
+    """Results (id, product_id, error) to be joined, messages cut first; by shuffle, since Spark takes texts for short ones and would broadcast them."""
+    return results.select(id, F.col("product_id").alias("_product"), F.substring("error", 1, MESSAGE).alias("_error"), F.lit(True).alias("_done")).hint("merge")
+
+
 def finish(queue: DataFrame, results: DataFrame, id: str = "id", now: Column | None = None) -> DataFrame:
     """Rows in processing with a result (id, product_id, error) become SUCCESS or ERROR; messages keep 2000 characters.
 
     processed_at, where the queue has it, is set to `now`.
     """
-    got = results.select(id, F.col("product_id").alias("_product"), F.col("error").alias("_error"), F.lit(True).alias("_done"))
-    rows = queue.join(got, id, "left")
+    rows = queue.join(_ended(results, id), id, "left")
     done, failed = F.coalesce("_done", F.lit(False)) & (F.col("status") == "PROCESSING"), F.col("_error").isNotNull()
     stamp = {"processed_at": F.when(done, F.current_timestamp() if now is None else now).otherwise(F.col("processed_at"))} if "processed_at" in queue.columns else {}
     return rows.withColumns(
         stamp
         | {
             "product_id": F.when(done & ~failed, F.col("_product")).otherwise(F.col("product_id")),
-            "error_message": F.when(done & failed, F.substring("_error", 1, 2000)).when(~done, F.col("error_message")),
+            "error_message": F.when(done & failed, F.col("_error")).when(~done, F.col("error_message")),
             "status": F.when(done & failed, "ERROR").when(done, "SUCCESS").otherwise(F.col("status")),
         }
     ).select(*queue.columns)
@@ -54,17 +61,16 @@ def affected(queue: DataFrame, ids: Column, allowed: Column) -> DataFrame:
 
 def queue_results(opportunities: DataFrame, results: DataFrame, now: Column, id: str = "id") -> DataFrame:
     """Opportunities after their queue rows ended (id, product_id, error): PUBLISHED with product and time, or ERROR with one attempt more."""
-    got = results.select(F.col(id), F.col("product_id").alias("_product"), F.col("error").alias("_error"), F.lit(True).alias("_done"))
     hit = F.coalesce("_done", F.lit(False)) & F.col("status").isin("QUEUED", "READY_TO_QUEUE", "ERROR")
     good, bad = hit & F.col("_error").isNull(), hit & F.col("_error").isNotNull()
     changed = {
         "product_id": F.when(good, F.col("_product")).otherwise(F.col("product_id")),
         "published_at": F.when(good, now).otherwise(F.col("published_at")),
-        "error_message": F.when(bad, F.substring("_error", 1, 2000)).when(~good, F.col("error_message")),
+        "error_message": F.when(bad, F.col("_error")).when(~good, F.col("error_message")),
         "attempts": F.col("attempts") + F.when(bad, 1).otherwise(0),
         "status": F.when(good, "PUBLISHED").when(bad, "ERROR").otherwise(F.col("status")),
     }
-    return opportunities.join(got, id, "left").withColumns(changed).select(*opportunities.columns)
+    return opportunities.join(_ended(results, id), id, "left").withColumns(changed).select(*opportunities.columns)
 
 
 def batch_problems(items: DataFrame, existing: DataFrame, most: int = 10) -> DataFrame:
