@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.operators import save as flow
+from vitrine.operators import identity
+from vitrine.operators import offers as offers_rules
 from vitrine.operators.components import components
 from vitrine.operators.ordered import with_previous
 
@@ -191,3 +193,23 @@ def test_components_and_previous_rows(spark):
     shuffled = r.sample(rows, len(rows))
     back = with_previous(spark.createDataFrame(shuffled, "k int, n int, v int"), ["k"], ["n"], ["v"]).collect()
     assert len(back) == len(rows) and all((x.previous.v if x.previous else None) == (x.v - 10 if x.n else None) for x in back)
+
+
+def test_facts_meet_records_however_tasks_are_merged(spark):
+    """Facts and records that joins have dealt by component already: their tasks are merged by size, few of facts, many of records."""
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        each = spark.range(300).select(F.concat(F.lit("c"), "id").alias("component"))
+        facts = spark.range(300).select(F.concat(F.lit("c"), "id").alias("component"), F.lit("offer").alias("kind"), F.concat(F.lit("p"), "id").alias("product_id"), F.lit("AMAZON").alias("marketplace"), F.concat(F.lit("x"), "id").alias("value"))
+        records = spark.range(9000).select(F.concat(F.lit("c"), F.col("id") % 300).alias("component"), F.col("id").alias("seq"), F.lit("AMAZON").alias("marketplace"), F.concat(F.lit("x"), F.col("id") % 300).alias("external_id"), F.lit(None).cast("string").alias("canonical_key"), F.lit(None).cast("string").alias("_target"))
+        got = identity._follow(records.join(each.hint("merge"), "component"), facts.join(each.hint("merge"), "component", "left_semi")).collect()
+        assert len(got) == 9000 and all(r.product_id == f"p{r.seq % 300}" and not r.is_new for r in got)
+        rows = records.select("component", "seq", F.lit(5.0).alias("price")).join(each.hint("merge"), "component")
+        stored = facts.select("component", F.lit(-1).cast("long").alias("seq"), F.lit(5.0).alias("price")).join(each.hint("merge"), "component", "left_semi")
+        assert {r.seq for r in offers_rules.price_log(stored.unionByName(rows), ["component"], "seq", "price").collect()} == {-1}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

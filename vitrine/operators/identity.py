@@ -100,7 +100,9 @@ def _follow(records: DataFrame, facts: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     told = facts.select("component", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("seq"), "kind", F.col("product_id").alias("product"), "marketplace", "value", none.alias("key"), none.alias("target"))
     asked = records.select("component", F.lit(1).alias("stage"), F.col("seq").cast("long").alias("seq"), F.lit("record").alias("kind"), _new_id(F.col("marketplace"), F.col("external_id"), F.col("seq")).alias("product"), "marketplace", F.col("external_id").alias("value"), F.col("canonical_key").alias("key"), F.col("_target").alias("target"))
-    rows = told.unionByName(asked).select(*_STEP).repartition("component").sortWithinPartitions("component", "stage", "seq")
+    # By a hash of the component: both sides may be dealt by component already, when Spark leaves out the exchange and merges the
+    # tasks of each side by itself, so that a component's facts and records no longer meet.
+    rows = told.unionByName(asked).select(*_STEP).repartition(F.xxhash64("component")).sortWithinPartitions("component", "stage", "seq")
     return rows.mapInArrow(_steps, _SAID)
 
 

@@ -50,7 +50,8 @@ def price_log(observations: DataFrame, keys: list[str], at: str, price: str, tol
     moment = F.col(at) if dict(observations.dtypes)[at] in ("int", "bigint") else F.col(at).cast("timestamp_ntz")
     rows = observations.select(*keys, moment.alias(at), F.col(price).cast("double").alias(price))
     schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
-    return rows.repartition(*keys).sortWithinPartitions(*keys, at, price).mapInArrow(_kept(len(keys), tolerance), schema)
+    # By a hash of the keys: Spark leaves out an exchange by keys that the rows are already dealt by, and may then split or merge those tasks.
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, at, price).mapInArrow(_kept(len(keys), tolerance), schema)
 
 
 def _kept(keys: int, tolerance: float):
