@@ -109,3 +109,12 @@ def test_long_messages_are_cut_before_they_meet_the_queue(spark):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert {(r.status, len(r.error_message)) for r in done.collect()} == {("ERROR", 2000)}
+
+
+def test_loops_are_told_in_few_rounds_and_by_shuffle(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(redirects, "save", lambda df, tag, kept=redirects.save: rounds.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, tag))
+    hops = [(f"x{i}", f"x{(i + 1) % 3}") for i in range(3)] + [(f"t{i}", f"t{i + 1}" if i < 4 else "x0") for i in range(5)] + [(f"s{i}", f"e{i}") for i in range(2000)]
+    got = {r.url: (r.end, r.hops) for r in redirects.ends(spark.createDataFrame(hops, "url string, final_url string")).collect()}
+    assert {got[u] for u in ("x0", "x1", "x2", "t0", "t4")} == {(None, 2009)} and got["s7"] == ("e7", 1) and len(got) == 2008
+    assert len(rounds) <= 7 and not any("Broadcast" in p for p in rounds)

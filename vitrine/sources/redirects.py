@@ -12,6 +12,8 @@ from vitrine.storage import save
 MOST_HOPS = 20
 #: Hosts where a product page may be; its links may also be short ones.
 PAGE_HOSTS = ("amazon.com.br",)
+#: What is known of a jump: it may go on, it is at its end, it goes round.
+MOVES, ENDED, LOOPS = "moves", "ended", "loops"
 LOOP, FAR, STRAY, WRONG_END = "redirect loop", "too many redirects", "redirect to another host", "ends on another host"
 
 
@@ -19,26 +21,28 @@ def ends(redirects: DataFrame, domains: tuple[str, ...] | None = None) -> DataFr
     """(url, end, hops, stray) of every landed redirect (url, final_url): where following it leads, in how many hops, and the
     first address on the way, or at its end, that isn't on `domains`, null if there is none; end is null for loops.
 
-    Each round joins the table with itself and doubles all jumps, so chains of up to 2**k hops take k joins; a jump that
-    isn't at its end after more hops than there are addresses goes round. Of several targets the least
-    counts; an address that leads to itself is an end.
+    Each round joins what still moves with the jumps of all and doubles its own, so chains of up to 2**k hops take k joins;
+    what has come to its end is set aside. `low` is the least address that a jump passes; if the jump onward has the same, that address is
+    passed twice and the way goes round, which takes about as many rounds as the loop's length doubles. Of several targets the least counts;
+    an address that leads to itself is an end. Joins are by shuffle: stored addresses are compressed, so Spark takes them for few.
     """
     off = (lambda c: F.when(~urls.on_any(urls.host(c), domains), c)) if domains else (lambda c: F.lit(None).cast("string"))
     known = redirects.where("url is not null and final_url is not null and url <> final_url").groupBy("url").agg(F.min("final_url").alias("end"))
-    jumps = save(known.withColumns({"hops": F.lit(1).cast("long"), "stray": off(F.col("end"))}), "jumps")
-    count, reach = jumps.count(), 1
-    while True:
-        onward = jumps.select(F.col("url").alias("end"), F.col("end").alias("_end"), F.col("hops").alias("_hops"), F.col("stray").alias("_stray"))
-        moving = jumps.join(onward.select("end").distinct(), "end", "left_semi")
-        if moving.isEmpty():
-            return jumps
-        if reach > count:
-            round_ = moving.select("url", F.lit(True).alias("_round"))
-            return jumps.join(round_, "url", "left").select("url", F.when(F.col("_round").isNull(), F.col("end")).alias("end"), "hops", "stray")
-        joined = jumps.join(onward, "end", "left")
-        # Numbers of hops are kept below the count, so that those of loops don't outgrow a long.
-        jumps = save(joined.select("url", F.coalesce("_end", "end").alias("end"), F.least(F.col("hops") + F.coalesce("_hops", F.lit(0)), F.lit(count + 1)).alias("hops"), F.coalesce("stray", "_stray").alias("stray")), "jumps")
-        reach *= 2
+    moving = save(known.withColumns({"hops": F.lit(1).cast("long"), "stray": off(F.col("end")), "low": F.col("end"), "state": F.lit(MOVES)}), "jumps")
+    count, settled = moving.count(), None
+    while not moving.isEmpty():
+        every = moving if settled is None else moving.unionByName(settled)
+        onward = every.select(F.col("url").alias("end"), *[F.col(c).alias(f"_{c}") for c in ("end", "hops", "stray", "low", "state")])
+        joined = moving.join(onward.hint("merge"), "end", "left")
+        last = F.col("_state").isNull()
+        state = F.when(last, ENDED).when((F.col("_state") == MOVES) & (F.col("low") == F.col("_low")), LOOPS).otherwise(F.col("_state"))
+        told = {"state": state, "hops": F.col("hops") + F.coalesce("_hops", F.lit(0)), "stray": F.coalesce("stray", "_stray"), "low": F.least("low", "_low"), "end": F.coalesce("_end", "end")}
+        # Loops have more hops than there are addresses.
+        rows = save(joined.select("url", *[c.alias(k) for k, c in told.items()]).withColumn("hops", F.when(F.col("state") == LOOPS, count + 1).otherwise(F.col("hops"))), "jumps")
+        done, moving = rows.where(F.col("state") != MOVES), rows.where(F.col("state") == MOVES)
+        settled = done if settled is None else settled.unionByName(done)
+    found = moving if settled is None else settled
+    return found.select("url", F.when(F.col("state") == ENDED, F.col("end")).alias("end"), "hops", "stray")
 
 
 def follow(links: DataFrame, redirects: DataFrame, link: str = "url", domains: tuple[str, ...] | None = None, end_domains: tuple[str, ...] | None = None, most: int = MOST_HOPS) -> DataFrame:
@@ -48,7 +52,7 @@ def follow(links: DataFrame, redirects: DataFrame, link: str = "url", domains: t
     `end_domains`. Rows with a null link stay, with a null destination.
     """
     found = ends(redirects, domains).select(F.col("url").alias(link), F.struct("end", "hops", "stray").alias("_to"))
-    rows = links.join(found, link, "left")
+    rows = links.join(found.hint("merge"), link, "left")
     end = F.when(F.col("_to").isNull(), F.col(link)).otherwise(F.col("_to.end"))
 
     def outside(c: Column, hosts) -> Column:
@@ -72,7 +76,7 @@ def load_pages(links: DataFrame, redirects: DataFrame, landed: DataFrame, link:
     or without text, couldn't be loaded.
     """
     there = landed.where("url is not null and trim(html) <> ''").groupBy(F.col("url").alias("destination")).agg(F.min("html").alias("html"))
-    rows = follow(links, redirects, link, PAGE_DOMAINS, PAGE_HOSTS).join(there, "destination", "left")
+    rows = follow(links, redirects, link, PAGE_DOMAINS, PAGE_HOSTS).join(there.hint("merge"), "destination", "left")
     error = F.when(F.trim(F.coalesce(F.col(link), F.lit(""))) == "", "blank URL").when(F.col("redirect_error").isNotNull(), F.col("redirect_error")).when(F.col("html").isNull(), "page not landed")
     marked = save(rows.withColumn("error", error), "loaded")
     pages = marked.where("error is null").select(*links.columns, F.col("destination").alias("final_url"), "html")
