@@ -115,3 +115,11 @@ def test_first_row_or_error(spark):
     assert query.first_row(df, [("id", "asc")]) == {"id": 1, "name": "a"} and query.first_row(df.where("id > 5")) is None
     with pytest.raises(LookupError, match="no such row"):
         query.first_row(df.where("id > 5"), missing="no such row")
+
+
+def test_one_best_offer_where_ids_repeat(spark):
+    rows = [("p", 1, 5.0, True), ("p", 1, 2.0, True), ("p", 2, 2.0, True), ("q", 1, 3.0, True), ("q", 1, 3.0, True), ("q", 1, 1.0, False), ("r", 4, None, True)]
+    frame = spark.createDataFrame(rows, "product_id string, id int, price double, available boolean").withColumns({"status": F.lit("ACTIVE"), "active": F.lit(True)})
+    got = offers.flag_best(frame)
+    assert sorted((r.product_id, r.id, r.price, r.is_best) for r in got.where("product_id <> 'r'").collect()) == [("p", 1, 2.0, True), ("p", 1, 5.0, False), ("p", 2, 2.0, False), ("q", 1, 1.0, False), ("q", 1, 3.0, False), ("q", 1, 3.0, True)]
+    assert [r.is_best for r in got.where("product_id = 'r'").collect()] == [True]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.money import TOLERANCE
@@ -17,11 +17,21 @@ def best_offers(offers: DataFrame, product: str = "product_id", price: str = "pr
     return best_per_key(offers.where("active"), [product], F.desc(F.coalesce(good, F.lit(False))), F.col(price), F.col(id))
 
 
-def flag_best(offers: DataFrame, product: str = "product_id", price: str = "price", id: str = "id") -> DataFrame:
-    """All offers with is_best recomputed: the least by availability, price and id of each product, by partial aggregates."""
+def flag_best(offers: DataFrame, product: str = "product_id", price: str = "price", id: str = "id", distinct_ids: bool = False) -> DataFrame:
+    """All offers with is_best recomputed: the least by availability, price and id of each product, by partial aggregates.
+
+    Of several offers alike in all three one is the best, so these are numbered apart, which ids that are distinct within
+    a product don't need.
+    """
     good = F.coalesce(F.col("available") & ~F.col("status").isin("UNAVAILABLE", "ERROR"), F.lit(False))
-    best = offers.where("active").groupBy(product).agg(F.min_by(id, F.struct(~good, F.col(price), F.col(id))).alias("_best"))
-    return offers.join(best, product, "left").withColumn("is_best", F.coalesce(F.col(id) == F.col("_best"), F.lit(False))).select(*[c for c in offers.columns if c != "is_best"], "is_best")
+    place = F.struct((~good).alias("late"), F.col(price).alias("price"), F.col(id).alias("id"))
+    best = offers.where("active").groupBy(product).agg(F.min(place).alias("_best"))
+    first = F.coalesce(F.col("active") & place.eqNullSafe(F.col("_best")), F.lit(False))
+    rows = offers.join(best, product, "left").withColumn("is_best", first).select(*[c for c in offers.columns if c != "is_best"], "is_best")
+    if distinct_ids:
+        return rows
+    one = F.row_number().over(Window.partitionBy(product).orderBy(id)) == 1
+    return rows.where("not is_best").unionByName(rows.where("is_best").withColumn("is_best", one))
 
 
 def publication_status(offers: DataFrame, product: str = "product_id") -> DataFrame:
