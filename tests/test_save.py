@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.operators import save as flow
+from vitrine.operators import components as component_module
 from vitrine.operators import identity
 from vitrine.operators import offers as offers_rules
 from vitrine.operators.components import components
@@ -213,3 +214,12 @@ def test_facts_meet_records_however_tasks_are_merged(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_refused_records_take_no_snapshots_and_labels_no_broadcast(spark, monkeypatch):
+    given, tags, plans = scene(2), [], []
+    monkeypatch.setattr(flow, "save", lambda df, tag, kept=flow.save: tags.append(tag) or kept(df, tag))
+    monkeypatch.setattr(component_module, "save", lambda df, tag, kept=component_module.save: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, tag))
+    got = flow.refused_records(frame(spark, given[0], RECORD), frame(spark, given[1], PRODUCT), frame(spark, given[2], OFFER))
+    assert sorted(r.seq for r in got.collect()) == sorted(one_by_one(*given)[3])
+    assert tags == ["checked", "assigned"] and plans and not any("Broadcast" in p for p in plans)

@@ -41,18 +41,19 @@ def assign(records: DataFrame, products: DataFrame, offers: DataFrame) -> DataFr
     """
     code = _node("c", F.col("marketplace"), F.col("external_id"))
     known = products.select(F.col("id").alias("target_product_id"), F.col("id").alias("_target"))
-    held = save(records.join(known, "target_product_id", "left").withColumns({"_code": code, "_key": _node("k", F.col("canonical_key"))}), "records")
+    held = save(records.join(known.hint("merge"), "target_product_id", "left").withColumns({"_code": code, "_key": _node("k", F.col("canonical_key"))}), "records")
     mentioned = held.select(F.col("_code").alias("node")).union(held.select("_key")).where("node is not null").distinct()
     facts = (
         offers.select(F.lit("offer").alias("kind"), "product_id", "marketplace", F.col("external_id").alias("value"), _node("c", F.col("marketplace"), F.col("external_id")).alias("node"))
         .unionByName(products.select(F.lit("ml").alias("kind"), F.col("id").alias("product_id"), F.lit(CATALOG_MARKET).alias("marketplace"), F.col("ml_id").alias("value"), _node("c", F.lit(CATALOG_MARKET), F.col("ml_id")).alias("node")))
         .unionByName(products.select(F.lit("key").alias("kind"), F.col("id").alias("product_id"), F.lit(None).cast("string").alias("marketplace"), F.col("canonical_key").alias("value"), _node("k", F.col("canonical_key")).alias("node")))
     )
-    facts = facts.join(mentioned, "node", "left_semi")
+    facts = facts.join(mentioned.hint("merge"), "node", "left_semi")
     targets = held.where("_target is not null").select(F.lit("target").alias("kind"), F.col("_target").alias("product_id"), F.lit(None).cast("string").alias("marketplace"), F.lit(None).cast("string").alias("value"), F.col("_code").alias("node")).distinct()
     facts = save(facts.unionByName(targets), "facts")
     edges = held.select(F.col("_code").alias("a"), F.col("_key").alias("b")).distinct().union(facts.select("node", _node("p", F.col("product_id"))))
-    labels = components(edges)
+    # Stored tables are compressed, so Spark takes them for few: joins are by shuffle.
+    labels = components(edges).hint("merge")
 
     placed = held.join(labels.withColumnRenamed("node", "_code"), "_code", "left").withColumn("component", F.coalesce("component", "_code"))
     found = {
@@ -61,7 +62,7 @@ def assign(records: DataFrame, products: DataFrame, offers: DataFrame) -> DataFr
         "_by_key": facts.where("kind = 'key'").groupBy(F.col("node").alias("_key")).agg(F.min("product_id").alias("_by_key")),
     }
     for name, lookup in found.items():
-        placed = placed.join(lookup, "_key" if name == "_by_key" else "_code", "left")
+        placed = placed.join(lookup.hint("merge"), "_key" if name == "_by_key" else "_code", "left")
     placed = save(placed.withColumn("_found", F.coalesce("_by_code", "_by_ml", "_target", "_by_key")).drop("_by_code", "_by_ml", "_by_key"), "placed")
 
     of_facts = facts.join(labels, "node").groupBy("component").agg(F.min("product_id").alias("_p"), F.max("product_id").alias("_q"), F.min(F.when(F.col("kind") == "key", F.col("value"))).alias("_held"), F.max(F.when(F.col("kind") == "key", F.col("value"))).alias("_held_too"))
