@@ -118,3 +118,18 @@ def test_loops_are_told_in_few_rounds_and_by_shuffle(spark, monkeypatch):
     got = {r.url: (r.end, r.hops) for r in redirects.ends(spark.createDataFrame(hops, "url string, final_url string")).collect()}
     assert {got[u] for u in ("x0", "x1", "x2", "t0", "t4")} == {(None, 2009)} and got["s7"] == ("e7", 1) and len(got) == 2008
     assert len(rounds) <= 7 and not any("Broadcast" in p for p in rounds)
+
+
+def test_links_are_taken_apart_once_and_joined_by_shuffle(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(publish, "save", lambda df, tag, kept=publish.save: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, tag))
+    items = spark.createDataFrame([(1, 1, "a", "https://meli.la/old-b"), (1, 2, "b", " "), (2, 1, "c", "https://meli.la/old-b"), (2, 2, "d", "https://meli.la/d")], "batch int, position int, id string, link string")
+    opportunities = spark.createDataFrame([(i, "READY_TO_QUEUE", f"u{i}", f"https://meli.la/old-{i}", None, None, None, None) for i in "abcd"], "id string, status string, source_url string, affiliate_link string, product_id string, error_message string, queued_at timestamp_ntz, published_at timestamp_ntz")
+    queue = spark.createDataFrame([], "id string, url string, marketplace string, affiliate_link string, opportunity_id string, status string, error_message string, product_id string, processed_at timestamp_ntz")
+    products = spark.createDataFrame([], "id string, affiliate_link string, active boolean, price double, old_price double, installments string, stock int")
+    offers = spark.createDataFrame([], "id string, product_id string, marketplace string, affiliate_link string, active boolean, price double, old_price double, installments string, stock int")
+    got = publish.publish(items, opportunities, queue, products, offers, F.lit(NOW).cast("timestamp_ntz"))
+    # b is of a's batch, though its own link is blank, so a's link isn't another's; c's is.
+    assert {r.id: r.error for r in got["results"].collect()} == {"a": "batch refused", "b": "blank", "c": "link of another opportunity", "d": "batch refused"}
+    plans += [got[name]._jdf.queryExecution().executedPlan().toString() for name in ("results", "opportunities", "queue", "products", "offers")]
+    assert sum("decode(" in p for p in plans) == 1 and not any("Broadcast" in p for p in plans)
