@@ -223,3 +223,59 @@ def test_refused_records_take_no_snapshots_and_labels_no_broadcast(spark, monkey
     got = flow.refused_records(frame(spark, given[0], RECORD), frame(spark, given[1], PRODUCT), frame(spark, given[2], OFFER))
     assert sorted(r.seq for r in got.collect()) == sorted(one_by_one(*given)[3])
     assert tags == ["checked", "assigned"] and plans and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_components_equal_one_by_one(spark, monkeypatch, seed):
+    """Components of more rows than LARGE are told by aggregates where they are plain."""
+    monkeypatch.setattr(identity, "LARGE", 2)
+    test_batches_equal_one_by_one(spark, seed)
+
+
+def _tables(monkeypatch, module) -> list:
+    kept = []
+
+    def save(df, tag, real=module.save):
+        kept.append((tag, out := real(df, tag)))
+        return out
+
+    monkeypatch.setattr(module, "save", save)
+    return kept
+
+
+def test_components_are_sought_among_keys_and_products(spark, monkeypatch):
+    """A code is no node: of 500 records of one key with a code each nothing is left to connect but the key and its product."""
+    kept = _tables(monkeypatch, component_module)
+    records = [record(n, "AMAZON", f"c{n}", gtin="12345678", target_product_id=None) for n in range(500)]
+    products = [{"id": "p", "name": "p", "canonical_key": "gtin:12345678", "category": "TV"}]
+    got = flow.refused_records(frame(spark, records, RECORD), frame(spark, products, PRODUCT), frame(spark, [], OFFER))
+    assert got.isEmpty() and [rows.count() for tag, rows in kept if tag == "edges"] == [2]
+
+
+def test_offers_and_history_take_no_other_snapshots(spark, monkeypatch):
+    given = scene(2)
+    _, offers, added, _ = one_by_one(*given)
+    frames = frame(spark, given[0], RECORD), frame(spark, given[1], PRODUCT), frame(spark, given[2], OFFER)
+    kept = _tables(monkeypatch, flow)
+    got = flow.offers_after(*frames, F.lit(NOW).cast("timestamp_ntz")).collect()
+    assert {(r.product_id, r.marketplace): r.price for r in got} == {k: o["price"] for k, o in offers.items()}
+    logged = flow.prices_logged(*frames, spark.createDataFrame(given[3], "offer_id string, price double, recorded_at timestamp_ntz"))
+    assert sorted((r.offer_id, r.seq, r.price) for r in logged.collect()) == sorted(added)
+    assert [tag for tag, _ in kept] == ["checked", "assigned"] * 2
+
+
+def test_few_rows_of_a_hot_product_are_fetched(spark):
+    """Of 3000 records of a product those are fetched that it takes something from."""
+    said = spark.range(3000).select(F.lit("p").alias("product_id"), "id")
+    picked = said.groupBy("product_id").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max(F.when(F.col("id") < 7, F.col("id"))).alias("c"), F.max("id").alias("d"))
+    rows = flow._fetched(picked, ["product_id"], ["a", "b", "c", "d"], spark.range(3000).select(F.col("id").alias("seq"), F.lit("t").alias("title")), ["title"])
+    assert sorted(r.seq for r in rows.collect()) == [0, 6, 2999]
+
+
+def test_arrow_columns_are_listed_unchanged():
+    import pyarrow as pa
+
+    from vitrine.operators.ordered import listed
+
+    for values, kind in (([1, None, 2**62 + 1], pa.int64()), ([2**62 + 1, 3], pa.int64()), (["a", None], pa.string()), ([True, None], pa.bool_()), ([1.5, None], pa.float64()), ([datetime(2020, 1, 1), None], pa.timestamp("us"))):
+        assert listed(pa.array(values, kind)) == values

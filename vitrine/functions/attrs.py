@@ -25,7 +25,9 @@ def identifiers(attributes: Column) -> dict[str, Column]:
 
 def canonical_key(brand: Column, gtin: Column, ean: Column, mpn: Column, model: Column) -> Column:
     """gtin:<code>, else brand-model:<BRAND>:<CODE>, else null; gtin before ean, mpn before model."""
-    return F.coalesce(F.concat(F.lit("gtin:"), F.coalesce(gtin, ean)), F.concat(F.lit("brand-model:"), product_code(brand), F.lit(":"), F.coalesce(mpn, model)))
+    code, named = F.coalesce(gtin, ean), F.coalesce(mpn, model)
+    # The brand is cleaned only where it is part of a key.
+    return F.when(code.isNotNull(), F.concat(F.lit("gtin:"), code)).when(named.isNotNull(), F.concat(F.lit("brand-model:"), product_code(brand), F.lit(":"), named))
 
 
 def union_distinct(*arrays: Column, most: int | None = None) -> Column:

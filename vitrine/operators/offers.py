@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.money import TOLERANCE
+from vitrine.operators.ordered import listed
 from vitrine.operators.query import best_per_key
 
 
@@ -17,14 +18,19 @@ def best_offers(offers: DataFrame, product: str = "product_id", price: str = "pr
     return best_per_key(offers.where("active"), [product], F.desc(F.coalesce(good, F.lit(False))), F.col(price), F.col(id))
 
 
+def best_first(price: str = "price", id: str = "id") -> tuple[Column, Column, Column]:
+    """What active offers of a product are ordered by: whether they can't be had, price, id."""
+    return ~F.coalesce(F.col("available") & ~F.col("status").isin("UNAVAILABLE", "ERROR"), F.lit(False)), F.col(price), F.col(id)
+
+
 def flag_best(offers: DataFrame, product: str = "product_id", price: str = "price", id: str = "id", distinct_ids: bool = False) -> DataFrame:
     """All offers with is_best recomputed: the least by availability, price and id of each product, by partial aggregates.
 
     Of several offers alike in all three one is the best, so these are numbered apart, which ids that are distinct within
     a product don't need.
     """
-    good = F.coalesce(F.col("available") & ~F.col("status").isin("UNAVAILABLE", "ERROR"), F.lit(False))
-    place = F.struct((~good).alias("late"), F.col(price).alias("price"), F.col(id).alias("id"))
+    late, *rest = best_first(price, id)
+    place = F.struct(late.alias("late"), *[c.alias(n) for n, c in zip(("price", "id"), rest, strict=True)])
     best = offers.where("active").groupBy(product).agg(F.min(place).alias("_best"))
     first = F.coalesce(F.col("active") & place.eqNullSafe(F.col("_best")), F.lit(False))
     rows = offers.join(best, product, "left").withColumn("is_best", first).select(*[c for c in offers.columns if c != "is_best"], "is_best")
@@ -52,20 +58,20 @@ def offer_status(stock: Column, link: Column, before: Column) -> Column:
     )
 
 
-def price_log(observations: DataFrame, keys: list[str], at: str, price: str, tolerance: float = TOLERANCE) -> DataFrame:
-    """(keys, at, price) of the observations that differ from the last one kept, in order of time.
+def price_log(observations: DataFrame, keys: list[str], at: str, price: str, tolerance: float = TOLERANCE, also: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(keys, at, price, also) of the observations that differ from the last one kept, in order of time.
 
     The fold compares with what was kept, so a slow drift is logged once it exceeds the tolerance.
     """
     moment = F.col(at) if dict(observations.dtypes)[at] in ("int", "bigint") else F.col(at).cast("timestamp_ntz")
-    rows = observations.select(*keys, moment.alias(at), F.col(price).cast("double").alias(price))
+    rows = observations.select(*keys, moment.alias(at), F.col(price).cast("double").alias(price), *also)
     schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
     # By a hash of the keys: Spark leaves out an exchange by keys that the rows are already dealt by, and may then split or merge those tasks.
     return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, at, price).mapInArrow(_kept(len(keys), tolerance), schema)
 
 
 def _kept(keys: int, tolerance: float):
-    """Of rows (keys, time, price) in order those that differ from the last one kept; only that one is held.
+    """Of rows (keys, time, price, ...) in order those that differ from the last one kept; only that one is held.
 
     Only a key's first row and rows whose price isn't that of the row before can be kept; the others aren't looked at.
     """
@@ -85,9 +91,10 @@ def _kept(keys: int, tolerance: float):
                 code = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
                 change[1:] |= code[1:] != code[:-1]
             keep = np.zeros(n, dtype=bool)
-            for i in np.flatnonzero(change).tolist():
-                row = ["NaN" if (x := batch.column(k)[i].as_py()) != x else x for k in range(keys)]
-                p = price[i].as_py()
+            at = np.flatnonzero(change)
+            changed = batch.select(range(keys + 2)).take(pa.array(at))
+            for i, p, *row in zip(at.tolist(), listed(changed.column(keys + 1)), *(listed(c) for c in changed.columns[:keys]), strict=True):
+                row = ["NaN" if x != x else x for x in row]
                 if row != key:
                     key, last = row, p
                     keep[i] = True

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.storage import save
 
 
+def listed(column: pa.Array) -> list:
+    """An Arrow column's values as Python's, nulls as None. By NumPy, which is many times faster, where that changes none."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_boolean(kind) or (not column.null_count and (pa.types.is_integer(kind) or pa.types.is_floating(kind))):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def in_ranges(rows: DataFrame, keys: list[str], part: str = "_part") -> DataFrame:
     """The rows stored in ranges of the keys, the number of its range with each: a key's rows may lie in several."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -23,5 +23,5 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     """The table written and read back: later steps start from its files, whatever executors are lost."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
