@@ -264,6 +264,16 @@ def test_offers_and_history_take_no_other_snapshots(spark, monkeypatch):
     assert [tag for tag, _ in kept] == ["checked", "assigned"] * 2
 
 
+def test_products_store_of_offers_what_they_take(spark, monkeypatch):
+    given = scene(1)
+    products = one_by_one(*given)[0]
+    kept = _tables(monkeypatch, flow)
+    got = flow.products_after(frame(spark, given[0], RECORD), frame(spark, given[1], PRODUCT), frame(spark, given[2], OFFER), F.lit(NOW).cast("timestamp_ntz")).collect()
+    assert {(r.id, r.name, r.price, r.store, r.canonical_key) for r in got} == {(p["id"], p["name"], p["price"], p["store"], p["canonical_key"]) for p in products.values()}
+    (stored,) = [rows for tag, rows in kept if tag == "offers"]
+    assert not {"title", "url", "image", "seller", "external_id"} & set(stored.columns)
+
+
 def test_few_rows_of_a_hot_product_are_fetched(spark):
     """Of 3000 records of a product those are fetched that it takes something from."""
     said = spark.range(3000).select(F.lit("p").alias("product_id"), "id")

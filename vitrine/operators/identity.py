@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import money
+from vitrine.functions.money import TOLERANCE
 from vitrine.operators.components import components
 from vitrine.operators.ordered import listed, with_previous
 from vitrine.storage import save
@@ -158,6 +159,7 @@ def _step_by_step(records: DataFrame, products: DataFrame, offers: DataFrame) ->
 
 #: What the steps look at of a row; other columns of records go through unread.
 _STEP = ["component", "stage", "seq", "kind", "product_id", "marketplace", "external_id", "canonical_key", "_target", "price", "auto_created"]
+_READ = [c for c in _STEP if c != "stage"]
 
 
 def _follow(records: DataFrame, facts: DataFrame) -> DataFrame:
@@ -173,56 +175,56 @@ def _follow(records: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_steps([f.name for f in kept]), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} {t}" for c, t in TOLD.items())]))
 
 
-class _Owners:
-    """A value's owner and an owner's value: setting one releases the owner's old value."""
-
-    def __init__(self):
-        self.owner, self.value = {}, {}
-
-    def set(self, value, owner, slot=None) -> None:
-        self.owner.pop(self.value.get(slot or owner), None)
-        self.value[slot or owner], self.owner[value] = value, owner
-
-
 def _steps(kept: list[str]):
     kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
 
     def run(batches):
-        at = codes = catalog = keys = engine = prices = None
+        # A value's owner and an owner's value: setting one releases the owner's old value.
+        at = coded = code_of = catalog = ml_of = keys = key_of = engine = prices = None
         for batch in batches:
             out = []
-            read = batch.select(_STEP)
-            for component, _, seq, kind, product, market, value, key, target, price, auto in zip(*(listed(c) for c in read.columns), strict=True):
+            say = out.append
+            read = batch.select(_READ)
+            for component, seq, kind, product, market, value, key, target, price, auto in zip(*(listed(c) for c in read.columns), strict=True):
                 if component != at:
-                    at, codes, catalog, keys, engine, prices = component, _Owners(), _Owners(), _Owners(), set(), {}
+                    at, coded, code_of, catalog, ml_of, keys, key_of, engine, prices = component, {}, {}, {}, {}, {}, {}, set(), {}
                 if kind == "record":
                     in_catalog = market == CATALOG_MARKET
-                    owner = keys.owner.get(key) if key is not None else None
-                    found = codes.owner.get((market, value)) or (catalog.owner.get(value) if in_catalog else None) or target or owner
+                    code = (market, value)
+                    owner = keys.get(key) if key is not None else None
+                    found = coded.get(code) or (catalog.get(value) if in_catalog else None) or target or owner
                     mine = found or ":".join(["new", *filter(None, (market, value)), str(seq)])
-                    if in_catalog and catalog.owner.get(value) not in (None, mine):
-                        out.append((None, False, False, False, ML_TAKEN, False, False, None))
+                    if in_catalog and catalog.get(value) not in (None, mine):
+                        say((None, False, False, False, ML_TAKEN, False, False, None))
                         continue
                     slot = (mine, market)
-                    by_code = codes.value.get(slot) == (market, value)
-                    gate = found is None or by_code or mine in engine or (in_catalog and catalog.value.get(mine) == value)
-                    before = prices.get(slot)
+                    was, before = code_of.get(slot), prices.get(slot)
+                    by_code = was == code
+                    gate = found is None or by_code or mine in engine or (in_catalog and ml_of.get(mine) == value)
                     takes = key is not None and owner in (None, mine)
-                    out.append((mine, found is None, takes, key is not None and owner == mine, None, by_code, gate, None if before is None else abs(price - before) > money.TOLERANCE))
-                    codes.set((market, value), mine, slot)
+                    say((mine, found is None, takes, takes and owner is not None, None, by_code, gate, None if before is None else abs(price - before) > TOLERANCE))
+                    if not by_code:
+                        coded.pop(was, None)
+                        code_of[slot] = code
+                    coded[code] = mine
                     if in_catalog:
-                        catalog.set(value, mine)
+                        catalog.pop(ml_of.get(mine), None)
+                        ml_of[mine], catalog[value] = value, mine
                     if takes:
-                        keys.set(key, mine)
+                        keys.pop(key_of.get(mine), None)
+                        key_of[mine], keys[key] = key, mine
                     if auto:
                         engine.add(mine)
                     prices[slot] = price
                 elif kind == "offer":
-                    codes.set((market, value), product, (product, market))
+                    coded.pop(code_of.get((product, market)), None)
+                    code_of[product, market], coded[market, value] = (market, value), product
                 elif kind == "ml":
-                    catalog.set(value, product)
+                    catalog.pop(ml_of.get(product), None)
+                    ml_of[product], catalog[value] = value, product
                 elif kind == "key":
-                    keys.set(value, product)
+                    keys.pop(key_of.get(product), None)
+                    key_of[product], keys[value] = value, product
                 elif kind == "auto":
                     engine.add(product)
             if out:
